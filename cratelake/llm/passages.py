@@ -1,0 +1,131 @@
+"""Operators 3 and 4: repeated passages, by sparse suffix array and by De Bruijn compaction."""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cratelake.llm.wordspans import cut_words, repeated_windows, slices
+
+
+def compact(runs: DataFrame) -> DataFrame:
+    """Glue runs that go on from one another, in the document and in the source, to longest ones.
+
+    Runs of one diagonal (document, source, shift) come from several partitions, one for each
+    minimiser; sorted by start, a run that begins where the last ended continues it.
+    """
+    shift = F.col("start") - F.col("src_start")
+    by = Window.partitionBy("doc_id", "src_doc", "_shift").orderBy("start")
+    r = runs.withColumn("_shift", shift)
+    r = r.withColumn("_new", (F.coalesce(F.lag(F.col("start") + F.col("n")).over(by), F.lit(-1)) < F.col("start")).cast("int"))
+    r = r.withColumn("_path", F.sum("_new").over(by))
+    out = r.groupBy("doc_id", "src_doc", "_shift", "_path").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("_end"))
+    return out.select("doc_id", "start", (F.col("_end") - F.col("start")).alias("n"), "src_doc", (F.col("start") - F.col("_shift")).alias("src_start"))
+
+
+def sparse_suffix_repeats(docs: DataFrame, min_words: int = 50, k: int = 16) -> DataFrame:
+    """Passages of at least ``min_words`` words that also start earlier.
+
+    Sparse suffix array: of all suffixes only those at minimiser positions are kept (about one in
+    nine or more at these parameters), each with fingerprints of the ``min_words``-word stretches
+    around it. They are range-free sorted by minimiser within a hash-dealt partition; neighbours
+    with equal stretches match, and matches on one diagonal are extended to the left and right as
+    far as they go on. Returns (doc_id, start, n_words, match_doc_id, match_start), in words.
+
+    Nulls and blank texts give no rows; of copies all but the one with the smallest doc_id are
+    repeats; an empty table gives an empty result; other columns are ignored.
+    """
+    m = compact(repeated_windows(docs, min_words, k))
+    return m.select(
+        "doc_id", "start", (F.col("n") + (min_words - 1)).alias("n_words"), F.col("src_doc").alias("match_doc_id"), F.col("src_start").alias("match_start")
+    )
+
+
+def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10) -> DataFrame:
+    """Repeated paths of the De Bruijn graph whose edges are k-word grams.
+
+    Edges are dealt by minimiser, so that equal edges meet; an edge that occurred before carries the
+    coordinate of its first place. Repeated edges that follow one another without a branch, in the
+    document and from the source coordinate on, are compacted to one path by ``compact``. Returns
+    (doc_id, start, n_words, src_doc, src_start) of each path: words start .. start+n_words-1 repeat.
+
+    Defined cases as in ``sparse_suffix_repeats``.
+    """
+    p = compact(repeated_windows(docs, k, minimiser))
+    return p.select("doc_id", "start", (F.col("n") + (k - 1)).alias("n_words"), "src_doc", "src_start")
+
+
+def _covered(n: int, spans) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int32)
+    for x in spans:
+        a, b = min(n, x["start"]), min(n, x["start"] + x["n_words"])
+        edge[a] += 1
+        edge[b] -= 1
+    return np.cumsum(edge[:-1]) > 0
+
+
+def _cut(digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part, data, off in slices(whole, "text"):
+                s, e, d = cut_words(data, off)
+                begin = np.searchsorted(d, np.arange(len(off)), "left")
+                raw, spans = data.tobytes(), part.column("_spans").to_pylist()
+                texts = part.column("text")
+                n_words, removed, out = [], [], []
+                for i in range(len(part)):
+                    a, b = int(begin[i]), int(begin[i + 1])
+                    gone = _covered(b - a, spans[i] or ())
+                    n_words.append(b - a)
+                    removed.append(int(gone.sum()))
+                    if digest:
+                        ws = raw[off[i] : off[i + 1]].split()
+                        kept = ws if not removed[-1] else [w for w, g in zip(ws, gone, strict=True) if not g]
+                        out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                    elif not removed[-1]:
+                        out.append(texts[i].as_py())
+                    else:
+                        # whole stretches go, with the white space before each of their words
+                        keep = np.ones(int(off[i + 1] - off[i]), bool)
+                        last = int(off[i])
+                        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                        for x, y in zip(edges[::2], edges[1::2], strict=True):
+                            lo = int(e[a + x - 1]) if x else int(off[i])
+                            keep[lo - last : int(e[a + y - 1]) - last] = False
+                        mine = data[off[i] : off[i + 1]]
+                        out.append(mine[keep].tobytes().decode("utf-8", "replace").lstrip(" \t\n\x0b\x0c\r"))
+                rest = [part.column(c) for c in part.schema.names if c not in ("text", "_spans")]
+                names = [c for c in part.schema.names if c not in ("text", "_spans")]
+                yield pa.RecordBatch.from_arrays(
+                    [*rest, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], [*names, "n_words", "n_removed", "out"]
+                )
+
+    return run
+
+
+def cut_passages(docs: DataFrame, spans: DataFrame, digest: bool = False) -> DataFrame:
+    """Take the words of ``spans`` (doc_id, start, n_words) out of the texts.
+
+    Returns the columns of ``docs`` but text, then n_words, n_removed and the text that is left
+    (digest: the SHA-256 of the kept words joined by one space). Texts without a span stay as they
+    are, byte for byte; rows with null ids have no spans.
+    """
+    by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))
+    j = docs.join(by_doc, docs["doc_id"] == by_doc["_id"], "left").drop("_id")
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["n_words long", "n_removed long", "out string"])
+    return j.mapInArrow(_cut(digest), schema).withColumnRenamed("out", "kept_sha256" if digest else "text")
+
+
+def op3_suffix_repeats(spark, sf_dir: str) -> DataFrame:
+    return sparse_suffix_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_debruijn(spark, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return cut_passages(docs, debruijn_repeats(docs), digest=True)
