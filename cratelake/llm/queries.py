@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from cratelake.llm import passages
+from cratelake.llm import language, packing, passages, quality_model, simhash
 
 QUERIES = {
     "op3_suffix_repeats": passages.op3_suffix_repeats,
     "op4_debruijn": passages.op4_debruijn,
+    "op5_packing": packing.op5_packing,
+    "op6_language": language.op6_language,
+    "op7_simhash": simhash.op7_simhash,
+    "op9_quality": quality_model.op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
