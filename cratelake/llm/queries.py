@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from cratelake.llm import language, packing, passages, quality_model, simhash
+from cratelake.llm import fixity, language, mixing, packing, passages, quality_model, quality_rules, sampling, simhash
 
 QUERIES = {
+    "op1_fingerprints": sampling.op1_fingerprints,
+    "op2_mixing": mixing.op2_mixing,
     "op3_suffix_repeats": passages.op3_suffix_repeats,
     "op4_debruijn": passages.op4_debruijn,
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
     "op7_simhash": simhash.op7_simhash,
+    "op8_rules": quality_rules.op8_rules,
     "op9_quality": quality_model.op9_quality,
+    "op10_fixity": fixity.op10_fixity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_fixity": fixity.OP10_SQL}
