@@ -100,7 +100,7 @@ def links(prints: DataFrame, bits: int = 4, cell: int = CELL) -> DataFrame:
     if bits % 2:
         raise ValueError("bits must be even")
     n = prints.count()
-    blocks = bits + (3 if n < 2_000_000 else 5 if n < 100_000_000 else 7)
+    blocks = bits + (4 if n < 1_000_000 else 5 if n < 20_000_000 else 7)
     u = embed(F.col("fp"))
     keys = F.array(*[F.struct(F.lit(i).alias("c"), u.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_masks(bits, blocks))])
     cells = prints.select("fp", F.explode(keys).alias("x")).select("fp", F.xxhash64("x.c", "x.k").alias("cell"))
