@@ -11,24 +11,29 @@ from pyspark.sql import functions as F
 from cratelake.llm.common import staged, words
 
 #: Samples of a fingerprint, and how many of them a row of the aggregation draws.
-SAMPLES, CHUNK = 64, 8
-LEVELS = 1 << 16
+SAMPLES, CHUNK = 64, 4
+LEVELS, COARSE = 1 << 16, 1 << 12
 
 
 @lru_cache
-def _gamma_quantiles() -> tuple[str, str]:
-    """Quantiles of Gamma(2, 1) at the middles of LEVELS equal steps, and their logarithms, as text:
-    1 - (1 + x) exp(-x) = p, solved by Newton's method."""
+def _gamma_quantiles(levels: int) -> list[float]:
+    """Quantiles of Gamma(2, 1) at the middles of equal steps: 1 - (1 + x) exp(-x) = p, solved by
+    Newton's method."""
     x, xs = 0.01, []
-    for i in range(LEVELS):
-        p = (i + 0.5) / LEVELS
+    for i in range(levels):
+        p = (i + 0.5) / levels
         for _ in range(30):
             step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
             x = max(x / 4, x - step)
             if abs(step) < 1e-12:
                 break
         xs.append(x)
-    return ",".join(f"{v:.9g}" for v in xs), ",".join(f"{math.log(v):.9g}" for v in xs)
+    return xs
+
+
+def _table(values: list[float]) -> Column:
+    """A constant array; as text it's folded to one literal, not to an expression for each value."""
+    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 def signatures(texts: DataFrame, key: str, columns: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -43,34 +48,38 @@ def signatures(texts: DataFrame, key: str, columns: list[str], samples: int = SA
     ``texts`` should come partitioned by ``key``, which identifies its rows: then no word is
     shuffled. Null texts are empty; the samples of a text without a word are all 0.
     """
-    gamma, log_gamma = (F.split(F.lit(s), ",").cast("array<double>") for s in _gamma_quantiles())
+    gamma, log_gamma = _table(_gamma_quantiles(COARSE)), _table([math.log(x) for x in _gamma_quantiles(LEVELS)])
     sized = texts.select(key, *[words(F.col(c)).alias(f"_w{i}") for i, c in enumerate(columns)])
     sized = sized.select(key, *[F.size(f"_w{i}").alias(f"_n{i}") for i in range(len(columns))], F.concat(*[f"_w{i}" for i in range(len(columns))], F.array(F.lit(""))).alias("_all"))
     each = sized.select(key, *[f"_n{i}" for i in range(len(columns))], F.posexplode("_all").alias("_at", "_word"))
     ends = [reduce(lambda a, b: a + b, [F.col(f"_n{j}") for j in range(i + 1)]) for i in range(len(columns))]
     inside = [(F.col("_at") < e) & (F.col("_at") >= (ends[i - 1] if i else F.lit(0))) for i, e in enumerate(ends)]
     bag = each.groupBy(key, F.xxhash64("_word").alias("_h")).agg(*[F.sum(x.cast("int")).alias(f"_f{i}") for i, x in enumerate(inside)])
-    bag = bag.select(key, "_h", *[F.when(F.col(f"_f{i}") > 0, F.ln(F.col(f"_f{i}").cast("double"))).alias(f"_l{i}") for i in range(len(columns))])
+    # a row a weight: mostly a word weighs the same in all columns that have it, and is drawn for once
+    cs = range(len(columns))
+    weights = F.array_distinct(F.array(*[F.col(f"_f{c}") for c in cs]))
+    bag = bag.select(key, "_h", *[f"_f{c}" for c in cs], F.explode(weights).alias("_f"))
+    bag = bag.select(key, "_h", *[((F.col(f"_f{c}") == F.col("_f")) & (F.col("_f") > 0)).alias(f"_has{c}") for c in cs], F.ln(F.greatest(F.col("_f"), F.lit(1)).cast("double")).alias("_l"))
     dealt = bag.select("*", F.explode(F.array(*[F.lit(j) for j in range(samples // CHUNK)])).alias("_j"))
-    # one hash a sample: 16 bits choose r, 16 c, 32 b
+    # one hash a sample: 12 bits choose r, 16 c, 32 b
     drawn = dealt.select("*", *[F.xxhash64("_h", F.col("_j") * CHUNK + i).alias(f"_x{i}") for i in range(CHUNK)])
     bits = lambda i, low, n: F.shiftrightunsigned(f"_x{i}", low).bitwiseAND(F.lit((1 << n) - 1))
+    has = [f"_has{c}" for c in cs]
     drawn = drawn.select(
-        key, "_j", *[f"_l{c}" for c in range(len(columns))], *[f"_x{i}" for i in range(CHUNK)],
-        *[F.get(gamma, bits(i, 0, 16).cast("int")).alias(f"_r{i}") for i in range(CHUNK)],
-        *[F.get(log_gamma, bits(i, 16, 16).cast("int")).alias(f"_c{i}") for i in range(CHUNK)],
-        *[(bits(i, 32, 32).cast("double") / float(1 << 32)).alias(f"_b{i}") for i in range(CHUNK)],
+        key, "_j", *has, "_l", *[f"_x{i}" for i in range(CHUNK)], *[F.get(gamma, bits(i, 0, 12).cast("int")).alias(f"_r{i}") for i in range(CHUNK)],
+        *[F.get(log_gamma, bits(i, 16, 16).cast("int")).alias(f"_c{i}") for i in range(CHUNK)], *[(bits(i, 32, 32).cast("double") * 2.0**-32).alias(f"_b{i}") for i in range(CHUNK)],
     )
+    keep = [key, "_j", *has, *[f"_x{i}" for i in range(CHUNK)], *[f"_r{i}" for i in range(CHUNK)], *[f"_c{i}" for i in range(CHUNK)], *[f"_b{i}" for i in range(CHUNK)]]
+    drawn = drawn.select(*keep, *[F.floor(F.col("_l") / F.col(f"_r{i}") + F.col(f"_b{i}")).alias(f"_t{i}") for i in range(CHUNK)])
 
-    def least(c: int, i: int) -> Column:
-        r, b = F.col(f"_r{i}"), F.col(f"_b{i}")
-        t = F.floor(F.col(f"_l{c}") / r + b)
-        ln_a = F.col(f"_c{i}") - r * (t.cast("double") - b) - r
-        sample = F.xxhash64(f"_x{i}", t).bitwiseAND(F.lit(0xFFFFFFFF))
-        # rank in the high bits, sample in the low ones: one least long gives both
-        return F.min(F.when(F.col(f"_l{c}").isNotNull(), F.shiftleft((ln_a * float(1 << 22)).cast("long"), 32).bitwiseOR(sample)))
+    def value(i: int) -> Column:
+        """Rank by ln a in the high bits, the sample in the low ones: one least long gives both."""
+        ln_a = F.col(f"_c{i}") - F.col(f"_r{i}") * (F.col(f"_t{i}").cast("double") - F.col(f"_b{i}") + 1.0)
+        sample = F.xxhash64(f"_x{i}", f"_t{i}").bitwiseAND(F.lit(0xFFFFFFFF))
+        return F.shiftleft((ln_a * float(1 << 22)).cast("long"), 32).bitwiseOR(sample)
 
-    got = drawn.groupBy(key, "_j").agg(*[least(c, i).alias(f"_m{c}_{i}") for c in range(len(columns)) for i in range(CHUNK)])
+    drawn = drawn.select(key, "_j", *has, *[value(i).alias(f"_v{i}") for i in range(CHUNK)])
+    got = drawn.groupBy(key, "_j").agg(*[F.min(F.when(F.col(f"_has{c}"), F.col(f"_v{i}"))).alias(f"_m{c}_{i}") for c in cs for i in range(CHUNK)])
     low = lambda c, i: F.coalesce(F.col(f"_m{c}_{i}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0))
     parts = got.select(key, F.struct("_j", *[F.array(*[low(c, i) for i in range(CHUNK)]).alias(f"v{c}") for c in range(len(columns))]).alias("_p"))
     whole = parts.groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_p"))
