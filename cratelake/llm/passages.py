@@ -10,8 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratelake.llm.common import staged
 from cratelake.llm.wordspans import cut_words, repeated_windows, slices
 
+#: Words of a verified block. Blocks begin at multiples of it in the source, so that a document of n
+#: words is asked for some 2 n different ones at most, however many others repeat it.
+BLOCK = 64
+PROOF = "array<struct<own: boolean, start: int, doc: bigint, at: int, n: int, digest: binary>>"
+
 
 def compact(runs: DataFrame) -> DataFrame:
     """Glue runs that go on from one another, in the document and in the source, to longest ones.
@@ -69,6 +75,23 @@ def _covered(n: int, spans) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+_PROOF = pa.list_(pa.struct([("own", pa.bool_()), ("start", pa.int32()), ("doc", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+
+
+def _proofs(doc_id: int, ws: list[bytes], spans, wanted) -> list[dict]:
+    """Digests of the blocks of a document's own spans, by their place in the source, and of those
+    that others want of it."""
+    of = lambda a, n: hashlib.blake2b(b" ".join(ws[a : a + n]), digest_size=16).digest()
+    out = [{"own": False, "start": None, "doc": doc_id, "at": w["at"], "n": w["n"], "digest": of(w["at"], w["n"])} for w in wanted]
+    for x in spans:
+        here, at, end = x["start"], x["src_start"], x["src_start"] + x["n_words"]
+        while at < end:
+            n = min(end - at, BLOCK - at % BLOCK)
+            out.append({"own": True, "start": x["start"], "doc": x["src_doc"], "at": at, "n": n, "digest": of(here, n)})
+            here, at = here + n, at + n
+    return out
+
+
 def _cut(digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,14 +100,18 @@ def _cut(digest: bool):
                 begin = np.searchsorted(d, np.arange(len(off)), "left")
                 raw, spans = data.tobytes(), part.column("_spans").to_pylist()
                 texts = part.column("text")
+                wanted = part.column("_wanted").to_pylist() if "_wanted" in part.schema.names else None
+                ids, proofs = part.column("doc_id").to_pylist(), []
                 n_words, removed, out = [], [], []
                 for i in range(len(part)):
                     a, b = int(begin[i]), int(begin[i + 1])
                     gone = _covered(b - a, spans[i] or ())
                     n_words.append(b - a)
                     removed.append(int(gone.sum()))
+                    ws = raw[off[i] : off[i + 1]].split() if digest or spans[i] or wanted and wanted[i] else []
+                    if wanted is not None:
+                        proofs.append(_proofs(ids[i], ws, spans[i] or (), wanted[i] or ()))
                     if digest:
-                        ws = raw[off[i] : off[i + 1]].split()
                         kept = ws if not removed[-1] else [w for w, g in zip(ws, gone, strict=True) if not g]
                         out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                     elif not removed[-1]:
@@ -99,11 +126,12 @@ def _cut(digest: bool):
                             keep[lo - last : int(e[a + y - 1]) - last] = False
                         mine = data[off[i] : off[i + 1]]
                         out.append(mine[keep].tobytes().decode("utf-8", "replace").lstrip(" \t\n\x0b\x0c\r"))
-                rest = [part.column(c) for c in part.schema.names if c not in ("text", "_spans")]
-                names = [c for c in part.schema.names if c not in ("text", "_spans")]
-                yield pa.RecordBatch.from_arrays(
-                    [*rest, pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], [*names, "n_words", "n_removed", "out"]
-                )
+                names = [c for c in part.schema.names if c not in ("text", "_spans", "_wanted")]
+                cols = [*map(part.column, names), pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+                names += ["n_words", "n_removed", "out"]
+                if wanted is not None:
+                    cols, names = [*cols, pa.array(proofs, _PROOF)], [*names, "_proof"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
@@ -116,10 +144,50 @@ def cut_passages(docs: DataFrame, spans: DataFrame, digest: bool = False) -> Dat
     are, byte for byte; rows with null ids have no spans.
     """
     by_doc = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "n_words")).alias("_spans"))
-    j = docs.join(by_doc, docs["doc_id"] == by_doc["_id"], "left").drop("_id")
-    others = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["n_words long", "n_removed long", "out string"])
-    return j.mapInArrow(_cut(digest), schema).withColumnRenamed("out", "kept_sha256" if digest else "text")
+    return _apply(docs, by_doc, digest).withColumnRenamed("out", "kept_sha256" if digest else "text")
+
+
+def _apply(docs: DataFrame, by_doc: DataFrame, digest: bool) -> DataFrame:
+    # the spans are hashed, a row a document, so that the texts need not be sorted
+    j = docs.join(by_doc.hint("shuffle_hash"), docs["doc_id"] == by_doc["_id"], "left").drop("_id")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text"]
+    proof = [f"_proof {PROOF}"] if "_wanted" in by_doc.columns else []
+    return j.mapInArrow(_cut(digest), ", ".join([*fields, "n_words long", "n_removed long", "out string", *proof]))
+
+
+def _requests(spans: DataFrame) -> DataFrame:
+    """(_id, its own spans, the blocks (at, n) that spans of others and its own take from it)."""
+    begin, end = F.col("src_start"), F.col("src_start") + F.col("n_words")
+
+    def block(b):
+        lo, hi = F.greatest(begin, (b * BLOCK).cast("int")), F.least(end, ((b + 1) * BLOCK).cast("int"))
+        return F.struct(F.col("src_doc").alias("_id"), F.lit(None).alias("own"), F.struct(lo.cast("int").alias("at"), (hi - lo).cast("int").alias("n")).alias("part"))
+
+    of = F.struct(F.col("doc_id").alias("_id"), F.struct("start", "n_words", "src_doc", "src_start").alias("own"), F.lit(None).alias("part"))
+    blocks = F.transform(F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK)), block)
+    rows = spans.select(F.inline(F.concat(F.array(of), blocks)))
+    return rows.groupBy("_id").agg(F.collect_list("own").alias("_spans"), F.collect_set("part").alias("_wanted"))
+
+
+def cut_verified(docs: DataFrame, spans: DataFrame, digest: bool = False) -> DataFrame:
+    """``cut_passages`` of spans (doc_id, start, n_words, src_doc, src_start) whose words are those at
+    their source coordinates.
+
+    The pass that cuts the texts also takes 128-bit digests of the words of every block of a span,
+    here and in its source; only the digests are compared. A span with a block that differs, found
+    by a collision of window hashes, is left in: then, which is next to never, the texts are cut
+    once more without it. Of rows that share an id any may hold the words. Other cases as in
+    ``cut_passages``.
+    """
+    last = "kept_sha256" if digest else "text"
+    got = staged(_apply(docs, _requests(spans), digest), "cut")
+    proofs = got.select("doc_id", F.inline("_proof"))
+    block = ["doc", "at", "n", "digest"]
+    wrong = proofs.groupBy(*block).agg(F.bool_or(~F.col("own")).alias("_there")).filter(~F.col("_there")).select(*block)
+    if wrong.isEmpty():
+        return got.drop("_proof").withColumnRenamed("out", last)
+    bad = proofs.filter("own").join(wrong, block, "left_semi").select("doc_id", "start", F.col("doc").alias("src_doc")).distinct()
+    return cut_passages(docs, spans.join(bad, ["doc_id", "start", "src_doc"], "left_anti"), digest)
 
 
 def op3_suffix_repeats(spark, sf_dir: str) -> DataFrame:
@@ -128,4 +196,4 @@ def op3_suffix_repeats(spark, sf_dir: str) -> DataFrame:
 
 def op4_debruijn(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return cut_passages(docs, debruijn_repeats(docs), digest=True)
+    return cut_verified(docs, debruijn_repeats(docs), digest=True)

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cratelake.llm import fixity, language, mixing, packing, passages, quality_model, quality_rules, sampling, simhash
 from cratelake.llm.graph import components
@@ -67,6 +68,21 @@ def test_cut_keeps_clean_texts(docs):
     assert all(digests[i] == hashlib.sha256(b" ".join(w for w, g in zip(ws, gone, strict=True) if not g)).hexdigest() for i, (ws, gone) in want.items())
 
 
+def test_cut_leaves_spans_that_differ_from_their_source(spark, docs):
+    want = repeats(20)
+    some = docs.filter("doc_id IS NOT NULL")
+    true = passages.debruijn_repeats(some)
+    false = spark.createDataFrame([(9, 100, 200, 4, 0), (9, 1000, 130, 5, 10)], "doc_id long, start int, n_words int, src_doc long, src_start int")
+    for spans in (true, true.unionByName(false.select(*[F.col(c).cast(t) for c, t in true.dtypes]))):
+        got = {r["doc_id"]: r for r in passages.cut_verified(some, spans, digest=True).collect()}
+        assert sorted(got) == sorted(want)
+        for i, (ws, gone) in want.items():
+            kept = [w for w, g in zip(ws, gone, strict=True) if not g]
+            assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+    none = passages.cut_verified(some.limit(0), passages.debruijn_repeats(some.limit(0)))
+    assert none.count() == 0
+
+
 def test_simhash(docs):
     def fp(t):
         ws = (t or "").encode().lower().split()
