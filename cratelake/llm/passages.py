@@ -15,7 +15,7 @@ from cratelake.llm.wordspans import cut_words, repeated_windows, slices
 
 #: Words of a verified block. Blocks begin at multiples of it in the source, so that a document of n
 #: words is asked for some 2 n different ones at most, however many others repeat it.
-BLOCK = 64
+BLOCK = 128
 PROOF = "array<struct<own: boolean, start: int, doc: bigint, at: int, n: int, digest: binary>>"
 
 
@@ -52,7 +52,7 @@ def sparse_suffix_repeats(docs: DataFrame, min_words: int = 50, k: int = 16) ->
     )
 
 
-def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10) -> DataFrame:
+def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10, key_bits: int = 64) -> DataFrame:
     """Repeated paths of the De Bruijn graph whose edges are k-word grams.
 
     Edges are dealt by minimiser, so that equal edges meet; an edge that occurred before carries the
@@ -62,7 +62,7 @@ def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10) -> DataF
 
     Defined cases as in ``sparse_suffix_repeats``.
     """
-    p = compact(repeated_windows(docs, k, minimiser))
+    p = compact(repeated_windows(docs, k, minimiser, key_bits=key_bits))
     return p.select("doc_id", "start", (F.col("n") + (k - 1)).alias("n_words"), "src_doc", "src_start")
 
 
@@ -81,8 +81,8 @@ _PROOF = pa.list_(pa.struct([("own", pa.bool_()), ("start", pa.int32()), ("doc",
 def _proofs(doc_id: int, ws: list[bytes], spans, wanted) -> list[dict]:
     """Digests of the blocks of a document's own spans, by their place in the source, and of those
     that others want of it."""
-    of = lambda a, n: hashlib.blake2b(b" ".join(ws[a : a + n]), digest_size=16).digest()
-    out = [{"own": False, "start": None, "doc": doc_id, "at": w["at"], "n": w["n"], "digest": of(w["at"], w["n"])} for w in wanted]
+    of = lambda a, n: hashlib.blake2b(b" ".join(ws[a : a + n]), digest_size=12).digest()
+    out = [{"own": False, "start": None, "doc": doc_id, "at": w[0], "n": w[1] + 1, "digest": of(w[0], w[1] + 1)} for w in (divmod(w, BLOCK) for w in wanted)]
     for x in spans:
         here, at, end = x["start"], x["src_start"], x["src_start"] + x["n_words"]
         while at < end:
@@ -156,12 +156,12 @@ def _apply(docs: DataFrame, by_doc: DataFrame, digest: bool) -> DataFrame:
 
 
 def _requests(spans: DataFrame) -> DataFrame:
-    """(_id, its own spans, the blocks (at, n) that spans of others and its own take from it)."""
+    """(_id, its own spans, the blocks that spans of others and its own take from it: at * BLOCK + n - 1)."""
     begin, end = F.col("src_start"), F.col("src_start") + F.col("n_words")
 
     def block(b):
         lo, hi = F.greatest(begin, (b * BLOCK).cast("int")), F.least(end, ((b + 1) * BLOCK).cast("int"))
-        return F.struct(F.col("src_doc").alias("_id"), F.lit(None).alias("own"), F.struct(lo.cast("int").alias("at"), (hi - lo).cast("int").alias("n")).alias("part"))
+        return F.struct(F.col("src_doc").alias("_id"), F.lit(None).alias("own"), (lo.cast("long") * BLOCK + (hi - lo) - 1).alias("part"))
 
     of = F.struct(F.col("doc_id").alias("_id"), F.struct("start", "n_words", "src_doc", "src_start").alias("own"), F.lit(None).alias("part"))
     blocks = F.transform(F.sequence(F.floor(begin / BLOCK), F.floor((end - 1) / BLOCK)), block)
@@ -173,7 +173,7 @@ def cut_verified(docs: DataFrame, spans: DataFrame, digest: bool = False) -> Dat
     """``cut_passages`` of spans (doc_id, start, n_words, src_doc, src_start) whose words are those at
     their source coordinates.
 
-    The pass that cuts the texts also takes 128-bit digests of the words of every block of a span,
+    The pass that cuts the texts also takes 96-bit digests of the words of every block of a span,
     here and in its source; only the digests are compared. A span with a block that differs, found
     by a collision of window hashes, is left in: then, which is next to never, the texts are cut
     once more without it. Of rows that share an id any may hold the words. Other cases as in
@@ -196,4 +196,4 @@ def op3_suffix_repeats(spark, sf_dir: str) -> DataFrame:
 
 def op4_debruijn(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return cut_verified(docs, debruijn_repeats(docs), digest=True)
+    return cut_verified(docs, debruijn_repeats(docs, key_bits=40), digest=True)

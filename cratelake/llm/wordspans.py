@@ -136,7 +136,7 @@ def _first_of(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _emit(width: int, k: int, text: str):
+def _emit(width: int, k: int, text: str, key_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.filter(pc.is_valid(whole.column("doc_id")))
@@ -152,7 +152,7 @@ def _emit(width: int, k: int, text: str):
                 if not len(at):
                     continue
                 win = grams(h, width)[at]
-                low = sliding_min(grams(h, k), width - k + 1)[at]
+                low = sliding_min(grams(h, k), width - k + 1)[at] >> np.uint64(64 - key_bits)
                 begin = np.searchsorted(d, np.arange(len(off)), "left")
                 doc, pos = ids[d[at]], (at - begin[d[at]]).astype(np.int32)
                 lead = _first_of(win)
@@ -217,15 +217,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (tag[mine], doc[mine], pos[mine])
 
 
-def repeated_windows(docs: DataFrame, width: int, k: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int, k: int, text: str = "text", doc_id: str = "doc_id", key_bits: int = 64) -> DataFrame:
     """Runs of windows that also start earlier, as (doc_id, start, n, src_doc, src_start): windows
     start .. start+n-1 of doc_id equal windows src_start .. of src_doc, which come before them in
     the order of (doc_id, start). Every window with an earlier equal is in some row.
 
     Null texts have no words; rows with a null id have no windows; rows that share an id are taken
-    for one document. Texts shorter than the window never repeat.
+    for one document. Texts shorter than the window never repeat. Windows count as equal that agree in
+    ``key_bits`` bits of their minimiser and TAG bytes of their own hash; who compares their words
+    afterwards may take fewer bits to the shuffle.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    emitted = rows.mapInArrow(_emit(width, k, "text"), ROWS)
+    emitted = rows.mapInArrow(_emit(width, k, "text", key_bits), ROWS)
     dealt = emitted.repartition(F.col("key")).sortWithinPartitions("key", "doc_id", "start")
     return dealt.mapInArrow(_compare, SPANS)
