@@ -19,6 +19,28 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(parts(path), -1), r"(?<=.)\.[^.]*$", "")
 
 
+def short_id(value: Column) -> Column:
+    return F.substring(F.sha2(value, 256), 1, 12)
+
+
+def source_group(path: Column) -> Column:
+    return F.when(F.size(parts(path)) > 3, F.get(parts(path), F.lit(2))).otherwise("_root")
+
+
+def content_path(path: Column) -> Column:
+    """A curated path without its zone and role; any other as it is."""
+    p = parts(path)
+    return F.when((zone(path) == "CURATED") & (F.size(p) > 2), F.array_join(F.slice(p, F.lit(3), F.size(p)), "/")).otherwise(path)
+
+
+def source_token(path: Column) -> Column:
+    """What follows the first ``_`` of a generated (lower-case) name, without a collision number;
+    null for loops, which begin with a tempo or a key."""
+    s = F.regexp_replace(stem(path), "-[0-9]+$", "")
+    loop = F.substring_index(s, "_", 1).rlike("^([0-9]{2,3}|[a-g][sb]?m?)$")
+    return F.when((s == F.lower(s)) & ~loop, F.nullif(F.regexp_extract(s, "^[^_]*_(.*)$", 1), F.lit("")))
+
+
 def parts_text(path: Column) -> Column:
     return F.replace(F.translate(F.lower(path), "_.", "  "), F.lit("/"), F.lit(" / "))
 

@@ -141,6 +141,24 @@ def cascading_lookup(spark, d):
     return catalog.cascading(moved, legacy)
 
 
+def path_keys(spark, d):
+    p = F.col("path")
+    return bed.locations(spark, d).select("doc_id", paths.short_id(p).alias("short_id"), paths.source_group(p).alias("source_group"), paths.content_path(p).alias("content_path"))
+
+
+def token_vocabulary(spark, d):
+    """Source tokens of generated one-shot names, of those that stand three times or more."""
+    loc = bed.locations(spark, d).select(paths.source_token(F.col("path")).alias("token")).filter("token IS NOT NULL")
+    return loc.groupBy("token").agg(F.count("*").alias("n")).filter("n >= 3")
+
+
+def latest_scan(spark, d):
+    """Each day of events is a scan, complete unless its last event is an error."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    scans = e.groupBy("day").agg(F.max("ts").alias("completed_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last"), F.count("*").alias("file_count"))
+    return scans.filter("last <> 'error'").agg(F.max_by(F.col("day").cast("string"), "completed_at").alias("scan_id"), F.max_by("file_count", "completed_at").alias("file_count"))
+
+
 def near_dup_groups(spark, d):
     """Star comparison in blocks: the least id of a block is kept, each other row is scored to it."""
     f = bed.features(spark, d).withColumn("family", F.floor(F.col("sample_id") / 10))
@@ -194,7 +212,7 @@ def route_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     catalogue_zones, role_classify, instrument_suggest, bpm_tempo, content_identity, exact_dedup_plan, spread_roundrobin, stratified_pick, preferred_picks, similar_to,
-    snapshot_merge, scan_drift, set_registry, cascading_lookup, near_dup_groups, confusion, precision_recall, route_counts,
+    snapshot_merge, scan_drift, set_registry, cascading_lookup, near_dup_groups, confusion, precision_recall, route_counts, path_keys, token_vocabulary, latest_scan,
 )}
 
 _SIM = "list_transform(range(1, 17), lambda i: CASE WHEN f.v[i] IS NULL OR t.v[i] IS NULL THEN NULL ELSE pow((f.v[i] - low[i]) / span[i] - (t.v[i] - low[i]) / span[i], 2) END)"
@@ -231,6 +249,13 @@ SELECT folder, count(*) AS files, count(*) FILTER (WHERE path LIKE '%.wav') AS w
 x AS (SELECT size, mtime_ms, name, min(payload) AS e FROM l GROUP BY ALL), p AS (SELECT size, mtime_ms, min(payload) AS q FROM l GROUP BY ALL HAVING min(payload) = max(payload)),
 n AS (SELECT doc_id, size, mtime_ms, CASE WHEN doc_id % 4 = 1 THEN 'other' ELSE name END AS name FROM i)
 SELECT doc_id, size, mtime_ms, name, coalesce(e, q) AS payload, CASE WHEN e IS NOT NULL THEN 'exact' WHEN q IS NOT NULL THEN 'pair' ELSE 'measure' END AS status FROM n LEFT JOIN x USING (size, mtime_ms, name) LEFT JOIN p USING (size, mtime_ms)""",
+    "path_keys": f"""WITH {LOC}, p AS (SELECT *, string_split(path, '/') AS parts FROM loc) SELECT doc_id, sha256(path)[1:12] AS short_id, CASE WHEN len(parts) > 3 THEN parts[3] ELSE '_root' END AS source_group,
+  CASE WHEN {ZONE} = 'CURATED' AND len(parts) > 2 THEN array_to_string(parts[3:], '/') ELSE path END AS content_path FROM p""",
+    "token_vocabulary": f"""WITH {LOC}, s AS (SELECT regexp_replace(regexp_replace(split_part(path, '/', -1), '\\.[^.]*$', ''), '-[0-9]+$', '') AS s FROM loc),
+t AS (SELECT nullif(regexp_extract(s, '^[^_]*_(.*)$', 1), '') AS token FROM s WHERE s = lower(s) AND NOT regexp_matches(split_part(s, '_', 1), '^([0-9]{{2,3}}|[a-g][sb]?m?)$'))
+SELECT token, count(*) AS n FROM t WHERE token IS NOT NULL GROUP BY token HAVING count(*) >= 3""",
+    "latest_scan": """WITH s AS (SELECT ts::DATE AS day, max(ts) AS completed_at, arg_max(event_type, (ts, event_id)) AS last, count(*) AS file_count FROM events GROUP BY ALL)
+SELECT arg_max(day::VARCHAR, completed_at) AS scan_id, arg_max(file_count, completed_at) AS file_count FROM s WHERE last <> 'error'""",
     "near_dup_groups": _near_sql(),
     "confusion": f"WITH {TRUTH} SELECT truth, predicted, count(*) AS n FROM t GROUP BY ALL",
     "precision_recall": f"""WITH {TRUTH}, r AS (SELECT unnest({QUOTED(DOMAIN)}) AS role), s AS (SELECT role, (SELECT count(*) FROM t WHERE truth = role) AS support, (SELECT count(*) FROM t WHERE truth = role AND predicted = role) AS tp, (SELECT count(*) FROM t WHERE predicted = role) AS named FROM r),
