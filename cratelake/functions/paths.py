@@ -36,7 +36,11 @@ def content_path(path: Column) -> Column:
 def source_token(path: Column) -> Column:
     """What follows the first ``_`` of a generated (lower-case) name, without a collision number;
     null for loops, which begin with a tempo or a key."""
-    s = F.regexp_replace(stem(path), "-[0-9]+$", "")
+    return source_token_raw(F.regexp_replace(stem(path), "-[0-9]+$", ""))
+
+
+def source_token_raw(s: Column) -> Column:
+    """The same of a stem whose collision number, if any, stays."""
     loop = F.substring_index(s, "_", 1).rlike("^([0-9]{2,3}|[a-g][sb]?m?)$")
     return F.when((s == F.lower(s)) & ~loop, F.nullif(F.regexp_extract(s, "^[^_]*_(.*)$", 1), F.lit("")))
 

@@ -54,7 +54,7 @@ def role(path: Column, duration: Column | None = None) -> Column:
     loop = paths.loop_word(path) | path.rlike(r"(?i)(?<![0-9])[0-9]{2,3}\s*bpm(?![0-9])")
     steps.append(_result("DRUM-LOOPS", "medium", F.when(loop, "path:loop")))
     if duration is not None:
-        shown = F.format_number(duration, "0.00")
+        shown = F.call_function("format_number", duration, F.lit("0.00"))
         steps.append(_result("_REVIEW", "low", F.when(duration < ONE_SHOT, F.concat(F.lit("duration:"), shown, F.lit("<oneshot")))))
         steps.append(_result("DRUM-LOOPS", "medium", F.when(duration >= ONE_SHOT, F.concat(F.lit("duration:"), shown, F.lit(">=oneshot")))))
     return F.coalesce(*steps, _result("_REVIEW", "low", F.lit("unmatched")))
