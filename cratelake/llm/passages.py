@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratelake.llm.common import staged
-from cratelake.llm.wordspans import cut_words, repeated_windows, slices
+from cratelake.llm.wordspans import TAG, cut_words, repeated_windows, slices
 
 #: Words of a verified block. Blocks begin at multiples of it in the source, so that a document of n
 #: words is asked for some 2 n different ones at most, however many others repeat it.
@@ -52,7 +52,7 @@ def sparse_suffix_repeats(docs: DataFrame, min_words: int = 50, k: int = 16) ->
     )
 
 
-def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10, key_bits: int = 64) -> DataFrame:
+def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10, key_bits: int = 64, tag_bytes: int = TAG) -> DataFrame:
     """Repeated paths of the De Bruijn graph whose edges are k-word grams.
 
     Edges are dealt by minimiser, so that equal edges meet; an edge that occurred before carries the
@@ -62,7 +62,7 @@ def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10, key_bits
 
     Defined cases as in ``sparse_suffix_repeats``.
     """
-    p = compact(repeated_windows(docs, k, minimiser, key_bits=key_bits))
+    p = compact(repeated_windows(docs, k, minimiser, key_bits=key_bits, tag_bytes=tag_bytes))
     return p.select("doc_id", "start", (F.col("n") + (k - 1)).alias("n_words"), "src_doc", "src_start")
 
 
@@ -169,14 +169,15 @@ def _requests(spans: DataFrame) -> DataFrame:
     return rows.groupBy("_id").agg(F.collect_list("own").alias("_spans"), F.collect_set("part").alias("_wanted"))
 
 
-def cut_verified(docs: DataFrame, spans: DataFrame, digest: bool = False) -> DataFrame:
+def cut_verified(docs: DataFrame, spans: DataFrame, digest: bool = False, again: Callable[[], DataFrame] | None = None) -> DataFrame:
     """``cut_passages`` of spans (doc_id, start, n_words, src_doc, src_start) whose words are those at
     their source coordinates.
 
     The pass that cuts the texts also takes 96-bit digests of the words of every block of a span,
     here and in its source; only the digests are compared. A span with a block that differs, found
     by a collision of window hashes, is left in: then, which is next to never, the texts are cut
-    once more without it. Of rows that share an id any may hold the words. Other cases as in
+    once more without it, or by the spans that ``again`` finds with longer hashes, so that a true
+    earlier copy which the collision hid is not left in. Of rows that share an id any may hold the words. Other cases as in
     ``cut_passages``.
     """
     last = "kept_sha256" if digest else "text"
@@ -186,6 +187,8 @@ def cut_verified(docs: DataFrame, spans: DataFrame, digest: bool = False) -> Dat
     wrong = proofs.groupBy(*block).agg(F.bool_or(~F.col("own")).alias("_there")).filter(~F.col("_there")).select(*block)
     if wrong.isEmpty():
         return got.drop("_proof").withColumnRenamed("out", last)
+    if again is not None:
+        return cut_passages(docs, again().select("doc_id", "start", "n_words"), digest)
     bad = proofs.filter("own").join(wrong, block, "left_semi").select("doc_id", "start", F.col("doc").alias("src_doc")).distinct()
     return cut_passages(docs, spans.join(bad, ["doc_id", "start", "src_doc"], "left_anti"), digest)
 
@@ -196,4 +199,4 @@ def op3_suffix_repeats(spark, sf_dir: str) -> DataFrame:
 
 def op4_debruijn(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return cut_verified(docs, debruijn_repeats(docs, key_bits=40), digest=True)
+    return cut_verified(docs, debruijn_repeats(docs, key_bits=40, tag_bytes=5), digest=True, again=lambda: debruijn_repeats(docs))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cratelake.llm import fixity, language, mixing, packing, passages, quality_model, quality_rules, sampling, simhash
+from cratelake.llm import fixity, language, mixing, packing, passages, quality_model, quality_rules, sampling, simhash, wordspans
 from cratelake.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,6 +83,29 @@ def test_cut_leaves_spans_that_differ_from_their_source(spark, docs):
     assert none.count() == 0
 
 
+def test_hidden_true_copy_is_looked_up_again(spark, docs):
+    want = repeats(20)
+    some = docs.filter("doc_id IS NOT NULL")
+    true = passages.debruijn_repeats(some)
+    # the span of text 6 names text 9 for its source, as after a collision; its true source is text 5
+    hidden = true.withColumn("src_doc", F.when(F.col("doc_id") == 6, 9).otherwise(F.col("src_doc")).cast("long"))
+    got = {r["doc_id"]: r for r in passages.cut_verified(some, hidden, digest=True, again=lambda: true).collect()}
+    assert all(got[i]["n_removed"] == sum(gone) for i, (_, gone) in want.items())
+
+
+def test_windows_that_agree_in_40_bits_are_no_repeats(monkeypatch):
+    grams = wordspans.grams
+    high = ~np.uint64((1 << 40) - 1)
+    monkeypatch.setattr(wordspans, "grams", lambda h, k: grams(h, k) & high)
+    text = lambda seed: f"{passage(seed, 30)} {' '.join(['hot'] * 16)} {passage(seed + 1, 30)}"
+    batch = wordspans.pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [text(2 * i) for i in range(40)]})
+    rows = wordspans.pa.Table.from_batches(wordspans._emit(50, 16, "text", 64)(iter([batch]))).combine_chunks()
+    rows = rows.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()
+    assert sum(b.num_rows for b in wordspans._compare(iter(rows.to_batches()))) == 0
+    same = np.array([5, 5, 5, 7, 5], np.uint64)
+    assert wordspans._first_of(same, np.array([1, 2, 1, 1, 2], np.uint64)).tolist() == [0, 1, 0, 3, 1]
+
+
 def test_simhash(docs):
     def fp(t):
         ws = (t or "").encode().lower().split()
