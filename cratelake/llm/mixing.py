@@ -94,7 +94,7 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return leaf.withColumn("first", F.sum("n").over(run) - F.col("n")).select("source", "shard", "first", "n")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_rows: int = 256, depth: int = 4, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_rows: int = 256, depth: int = 4, seed: int = 17, key: tuple = ()) -> DataFrame:
     """The draws of a mix of sized rows (doc_id, source, size): doc_id, source, size, source_size,
     target, pass, shard, place.
 
@@ -106,9 +106,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_rows: in
 
     Null sources are one source, the last; null ids are drawn like any; rows without words are
     drawn with their block; repeated rows count as often as they come, to the same draws; an empty
-    table gives an empty result.
+    table gives an empty result. Columns ``key`` that tell rows apart are carried into the draws and
+    mixed into the hashes, so that rows of one id, or without one, are drawn each for itself.
     """
-    rows = staged(docs.select("doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "sizes")
+    rows = staged(docs.select("doc_id", *key, "source", F.coalesce("size", F.lit(0)).cast("long").alias("size")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     goal = targets(sources.select("source", "source_size"), weights, most)
     goal = goal.join(sources.select(F.col("source").alias("_s"), "_rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_rows: in
     goal = goal.withColumn("_part", F.round(F.col("target") - F.col("_whole") * F.col("source_size")).cast("long")).withColumn("_blocks", F.ceil(F.col("_rows") / block_rows))
     goal = staged(goal, "goal")
     g = F.broadcast(goal.select(F.col("source").alias("_s"), "source_size", "target", "_whole", "_part", "_blocks"))
-    rows = rows.join(g, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("_block", F.pmod("_key", F.col("_blocks")))
+    rows = rows.join(g, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "size", *key)).withColumn("_block", F.pmod("_key", F.col("_blocks")))
     blocks = rows.groupBy("source", "_block").agg(F.sum("size").alias("_words"), F.first("_whole").alias("_whole"), F.first("_part").alias("_part"))
     permuted = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 1), "_block"), "_block")
     blocks = blocks.withColumn("_before", F.sum("_words").over(permuted) - F.col("_words"))
@@ -133,11 +134,11 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = 3, block_rows: in
     dealt = dealt.join(shards, F.col("source").eqNullSafe(F.col("_t")) & (F.col("_draw") >= F.col("first")) & (F.col("_draw") < F.col("first") + F.col("n")))
     dealt = dealt.select(F.col("source").alias("_v"), F.col("_block").alias("_vb"), "pass", "shard", "_before")
     # inside a block documents stand by hash; in a part pass one is drawn if the target isn't reached before it
-    inner = Window.partitionBy("source", "_block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("source", "_block").orderBy("_key", "doc_id", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_run", F.sum("size").over(inner) - F.col("size"))
     out = rows.join(dealt, F.col("source").eqNullSafe(F.col("_v")) & (F.col("_block") == F.col("_vb")))
     out = out.filter((F.col("pass") < F.col("_whole")) | (F.col("_before") + F.col("_run") + F.col("size") / 2 <= F.col("_part")))
-    return out.select("doc_id", "source", "size", "source_size", "target", "pass", "shard", F.xxhash64(F.lit(seed + 3), "shard", "pass", "_key").alias("place"))
+    return out.select("doc_id", *key, "source", "size", "source_size", "target", "pass", "shard", F.xxhash64(F.lit(seed + 3), "shard", "pass", "_key").alias("place"))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
