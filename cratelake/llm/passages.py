@@ -1,4 +1,4 @@
-"""Operators 3 and 4: repeated passages, by sparse suffix array and by De Bruijn compaction."""
+"""Operators 3 and 4: repeated passages, by grouping word windows at minimiser positions."""
 
 from __future__ import annotations
 
@@ -37,11 +37,9 @@ def compact(runs: DataFrame) -> DataFrame:
 def sparse_suffix_repeats(docs: DataFrame, min_words: int = 50, k: int = 16) -> DataFrame:
     """Passages of at least ``min_words`` words that also start earlier.
 
-    Sparse suffix array: of all suffixes only those at minimiser positions are kept (about one in
-    nine or more at these parameters), each with fingerprints of the ``min_words``-word stretches
-    around it. They are range-free sorted by minimiser within a hash-dealt partition; neighbours
-    with equal stretches match, and matches on one diagonal are extended to the left and right as
-    far as they go on. Returns (doc_id, start, n_words, match_doc_id, match_start), in words.
+    In place of a sparse suffix array, whole windows of ``min_words`` words are grouped under their
+    minimiser; each is linked to the first one equal to it, and runs on one diagonal are glued.
+    Returns (doc_id, start, n_words, match_doc_id, match_start), in words.
 
     Nulls and blank texts give no rows; of copies all but the one with the smallest doc_id are
     repeats; an empty table gives an empty result; other columns are ignored.
@@ -53,12 +51,12 @@ def sparse_suffix_repeats(docs: DataFrame, min_words: int = 50, k: int = 16) ->
 
 
 def debruijn_repeats(docs: DataFrame, k: int = 20, minimiser: int = 10, key_bits: int = 64, tag_bytes: int = TAG) -> DataFrame:
-    """Repeated paths of the De Bruijn graph whose edges are k-word grams.
+    """Runs of repeated k-word grams, the edges of a De Bruijn graph.
 
-    Edges are dealt by minimiser, so that equal edges meet; an edge that occurred before carries the
-    coordinate of its first place. Repeated edges that follow one another without a branch, in the
-    document and from the source coordinate on, are compacted to one path by ``compact``. Returns
-    (doc_id, start, n_words, src_doc, src_start) of each path: words start .. start+n_words-1 repeat.
+    No graph is built: edges are dealt by minimiser, so that equal edges meet, and one that occurred
+    before carries the coordinate of its first place. Repeated edges that follow one another, in the
+    document and from the source coordinate on, are glued by ``compact``. Returns
+    (doc_id, start, n_words, src_doc, src_start): words start .. start+n_words-1 repeat.
 
     Defined cases as in ``sparse_suffix_repeats``.
     """
