@@ -48,6 +48,10 @@ def tree(leaf: DataFrame, fanout: int = 16, height: int = 3) -> DataFrame:
     return out
 
 
+def _numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("leaf")))
+
+
 def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3) -> DataFrame:
     """Records in which two replicas (leaves) differ: file, leaf, page_id, offset, length, status.
 
@@ -55,9 +59,10 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3)
     and last the leaves below them. status: ``altered`` (both have the record, with other bytes),
     ``missing`` (only the left), ``added`` (only the right). In a file whose records have shifted,
     leaves are matched by page, so that those which merely moved aren't reported; records repeated
-    under one page are matched by their hash. Equal or empty replicas give no row.
+    under one page are matched by their hash, copy by copy, and those left over in turn. Equal or empty replicas give no row.
     """
-    a, b = staged(leaves(left), "left"), staged(leaves(right), "right")
+    same = ["file", "page_id", "hash"]
+    a, b = staged(_numbered(leaves(left), same, "_copy"), "left"), staged(_numbered(leaves(right), same, "_copy"), "right")
     ta, tb = staged(tree(a, fanout, height), "tree"), staged(tree(b, fanout, height), "tree")
     bad = None
     for k in range(height, 0, -1):
@@ -67,13 +72,14 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3)
             x, y = (t.withColumn("_up", F.floor(F.col("node") / fanout) if k + 1 < height else F.lit(0).cast("long")).join(down, ["file", "_up"], "left_semi").drop("_up") for t in (x, y))
         x, y = x.withColumnRenamed("hash", "_a"), y.withColumnRenamed("hash", "_b")
         bad = x.join(y, ["file", "node"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("file", "node")
-    low = lambda t: t.withColumn("node", F.floor(F.col("leaf") / fanout)).join(bad, ["file", "node"], "left_semi").drop("node")
-    la, lb = low(a), low(b)
-    same = ["file", "page_id", "hash"]
+    # equal records of a sound node count too, as the copy that has no partner may lie there
+    low = lambda t: t.withColumn("node", F.floor(F.col("leaf") / fanout)).join(bad, ["file", "node"], "left_semi").select(*same)
+    la, lb = a.join(low(a), same, "left_semi"), b.join(low(b), same, "left_semi")
     # the same record may lie under a sound node of the other replica where records have shifted
-    only_a = la.join(b.select(*same), same, "left_anti").select(*[F.col(c).alias(f"a_{c}") if c not in ("file", "page_id") else F.col(c) for c in la.columns])
-    only_b = lb.join(a.select(*same), same, "left_anti").select(*[F.col(c).alias(f"b_{c}") if c not in ("file", "page_id") else F.col(c) for c in lb.columns])
-    j = only_a.join(only_b, ["file", "page_id"], "full_outer")
+    page = ["file", "page_id", "_turn"]
+    rest = lambda x, y: _numbered(x.join(y.select(*same, "_copy"), [*same, "_copy"], "left_anti").drop("_copy"), ["file", "page_id"], "_turn")
+    named = lambda t, p: t.select(*[F.col(c) if c in page else F.col(c).alias(p + c) for c in t.columns])
+    j = named(rest(la, b), "a_").join(named(rest(lb, a), "b_"), page, "full_outer")
     status = F.when(F.col("b_hash").isNull(), "missing").when(F.col("a_hash").isNull(), "added").otherwise("altered")
     pick = lambda c: F.coalesce(f"a_{c}", f"b_{c}").alias(c)
     return j.select("file", pick("leaf"), "page_id", pick("offset"), pick("length"), status.alias("status"))

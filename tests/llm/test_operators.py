@@ -238,6 +238,16 @@ def test_fixity_locates_damage(spark):
     assert {i for i, s in back.items() if s == "added"} == {i for i in range(300) if i % 97 == 77}
 
 
+def test_fixity_counts_repeated_pages(spark):
+    rows = [(i // 3 if i < 120 else i, "http://x", f"p{i // 3}" if i < 120 else f"q{i}") for i in range(200)]
+    audit = lambda x, y: sorted((r["page_id"], r["status"]) for r in fixity.audit(*[fixity.records(spark.createDataFrame(t, "page_id long, url string, html string"), 1000) for t in (x, y)]).collect())
+    lost = [r for i, r in enumerate(rows) if i not in (31, 64)]
+    assert audit(rows, lost) == [(10, "missing"), (21, "missing")]
+    assert audit(lost, rows) == [(10, "added"), (21, "added")]
+    altered = [(p, u, "bad" if i in (30, 31, 32, 150) else h) for i, (p, u, h) in enumerate(rows)]
+    assert audit(rows, altered) == [(10, "altered")] * 3 + [(150, "altered")]
+
+
 @pytest.mark.parametrize("run", [
     lambda d: passages.sparse_suffix_repeats(d), lambda d: passages.cut_passages(d, passages.debruijn_repeats(d)), lambda d: simhash.simhash_components(d),
     lambda d: packing.pack(packing.token_pieces(d)), lambda d: language.detect(d, language.fit(d)), lambda d: quality_rules.judge(d), lambda d: quality_model.scored(quality_model.measured(d), None),
