@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from functools import lru_cache, reduce
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,43 +11,21 @@ from cratelake.llm.common import staged, words
 
 #: Samples of a fingerprint, and how many of them a row of the aggregation draws.
 SAMPLES, CHUNK = 64, 4
-LEVELS, COARSE = 1 << 16, 1 << 12
-
-
-@lru_cache
-def _gamma_quantiles(levels: int) -> list[float]:
-    """Quantiles of Gamma(2, 1) at the middles of equal steps: 1 - (1 + x) exp(-x) = p, solved by
-    Newton's method."""
-    x, xs = 0.01, []
-    for i in range(levels):
-        p = (i + 0.5) / levels
-        for _ in range(30):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x / 4, x - step)
-            if abs(step) < 1e-12:
-                break
-        xs.append(x)
-    return xs
-
-
-def _table(values: list[float]) -> Column:
-    """A constant array; as text it's folded to one literal, not to an expression for each value."""
-    return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
 def signatures(texts: DataFrame, key: str, columns: list[str], samples: int = SAMPLES) -> DataFrame:
     """(key, one array of ``samples`` ints for each text column).
 
-    A text is a bag of words. For sample k a word has r and c from Gamma(2, 1) and b from U(0, 1),
-    all from a hash of the word and k; at weight w it has t = floor(ln w / r + b) and
-    ln a = ln c - r (t - b) - r, and the sample is a hash of the word and t where a is least. Two
-    texts agree in a sample with the probability of their generalised Jaccard similarity, the sum of
-    the lesser by that of the greater weights.
+    A text is a bag of words. For sample k a word has r and c from Gamma(2, 1), each the negative
+    logarithm of a product of two uniform numbers, and b from U(0, 1), all from 128 hash bits of the
+    word and k; at weight w it has t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, and the
+    sample is a hash of the word and t where a is least. Two texts agree in a sample with the
+    probability of their generalised Jaccard similarity, the sum of the lesser by that of the greater
+    weights, however many words they have.
 
     ``texts`` should come partitioned by ``key``, which identifies its rows: then no word is
     shuffled. Null texts are empty; the samples of a text without a word are all 0.
     """
-    gamma, log_gamma = _table(_gamma_quantiles(COARSE)), _table([math.log(x) for x in _gamma_quantiles(LEVELS)])
     sized = texts.select(key, *[words(F.col(c)).alias(f"_w{i}") for i, c in enumerate(columns)])
     sized = sized.select(key, *[F.size(f"_w{i}").alias(f"_n{i}") for i in range(len(columns))], F.concat(*[f"_w{i}" for i in range(len(columns))], F.array(F.lit(""))).alias("_all"))
     each = sized.select(key, *[f"_n{i}" for i in range(len(columns))], F.posexplode("_all").alias("_at", "_word"))
@@ -61,21 +38,26 @@ def signatures(texts: DataFrame, key: str, columns: list[str], samples: int = SA
     bag = bag.select(key, "_h", *[f"_f{c}" for c in cs], F.explode(weights).alias("_f"))
     bag = bag.select(key, "_h", *[((F.col(f"_f{c}") == F.col("_f")) & (F.col("_f") > 0)).alias(f"_has{c}") for c in cs], F.ln(F.greatest(F.col("_f"), F.lit(1)).cast("double")).alias("_l"))
     dealt = bag.select("*", F.explode(F.array(*[F.lit(j) for j in range(samples // CHUNK)])).alias("_j"))
-    # one hash a sample: 12 bits choose r, 16 c, 32 b
+    # two hashes a sample: 24 bits for each of the four uniform numbers behind r and c, 32 for b
     drawn = dealt.select("*", *[F.xxhash64("_h", F.col("_j") * CHUNK + i).alias(f"_x{i}") for i in range(CHUNK)])
-    bits = lambda i, low, n: F.shiftrightunsigned(f"_x{i}", low).bitwiseAND(F.lit((1 << n) - 1))
+    drawn = drawn.select("*", *[F.xxhash64(f"_x{i}").alias(f"_y{i}") for i in range(CHUNK)])
+    bits = lambda x, low, n: F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << n) - 1))
+    uniform = lambda x, low: (bits(x, low, 24).cast("double") + 0.5) * 2.0**-24
+    gamma = lambda x: -F.ln(uniform(x, 40) * uniform(x, 16))
+    mixed = lambda i: F.shiftleft(bits(f"_x{i}", 0, 16), 16).bitwiseOR(bits(f"_y{i}", 0, 16))
     has = [f"_has{c}" for c in cs]
+    tag = lambda i: F.col(f"_x{i}").bitwiseXOR(F.shiftrightunsigned(f"_y{i}", 32)).alias(f"_s{i}")
     drawn = drawn.select(
-        key, "_j", *has, "_l", *[f"_x{i}" for i in range(CHUNK)], *[F.get(gamma, bits(i, 0, 12).cast("int")).alias(f"_r{i}") for i in range(CHUNK)],
-        *[F.get(log_gamma, bits(i, 16, 16).cast("int")).alias(f"_c{i}") for i in range(CHUNK)], *[(bits(i, 32, 32).cast("double") * 2.0**-32).alias(f"_b{i}") for i in range(CHUNK)],
+        key, "_j", *has, "_l", *[tag(i) for i in range(CHUNK)], *[gamma(f"_x{i}").alias(f"_r{i}") for i in range(CHUNK)],
+        *[F.ln(gamma(f"_y{i}")).alias(f"_c{i}") for i in range(CHUNK)], *[(mixed(i).cast("double") * 2.0**-32).alias(f"_b{i}") for i in range(CHUNK)],
     )
-    keep = [key, "_j", *has, *[f"_x{i}" for i in range(CHUNK)], *[f"_r{i}" for i in range(CHUNK)], *[f"_c{i}" for i in range(CHUNK)], *[f"_b{i}" for i in range(CHUNK)]]
+    keep = [key, "_j", *has, *[f"_{x}{i}" for x in "srcb" for i in range(CHUNK)]]
     drawn = drawn.select(*keep, *[F.floor(F.col("_l") / F.col(f"_r{i}") + F.col(f"_b{i}")).alias(f"_t{i}") for i in range(CHUNK)])
 
     def value(i: int) -> Column:
         """Rank by ln a in the high bits, the sample in the low ones: one least long gives both."""
         ln_a = F.col(f"_c{i}") - F.col(f"_r{i}") * (F.col(f"_t{i}").cast("double") - F.col(f"_b{i}") + 1.0)
-        sample = F.xxhash64(f"_x{i}", f"_t{i}").bitwiseAND(F.lit(0xFFFFFFFF))
+        sample = F.col(f"_s{i}").bitwiseXOR(F.col(f"_t{i}")).bitwiseAND(F.lit(0xFFFFFFFF))
         return F.shiftleft((ln_a * float(1 << 22)).cast("long"), 32).bitwiseOR(sample)
 
     drawn = drawn.select(key, "_j", *has, *[value(i).alias(f"_v{i}") for i in range(CHUNK)])
@@ -109,9 +91,18 @@ def ring(ids: DataFrame) -> DataFrame:
     return led.join(F.broadcast(after), "_range").withColumn("next_id", F.coalesce("_lead", "_after")).drop("_lead", "_after", "_range")
 
 
+def one_row_an_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) without null ids; of rows that share an id the one with the least text stays."""
+    docs = docs.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs
+    return docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def op1_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Rows without an id are left out; an id identifies a row."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Null and blank texts have a fingerprint of zeros; rows without an id are left out; rows that
+    share an id are one document, that of the least text; an empty table gives an empty result."""
+    docs = one_row_an_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     order = ring(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")))
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_for"), F.floor(F.col("n_chars") / 4).cast("int").alias("_take"))
     heads = docs.join(asked, "doc_id").select(F.col("_for").alias("doc_id"), F.substring("text", F.lit(1), F.col("_take")).alias("_head"))
