@@ -18,7 +18,7 @@ def signatures(texts: DataFrame, key: str, columns: list[str], samples: int = SA
 
     A text is a bag of words. For sample k a word has r and c from Gamma(2, 1), each the negative
     logarithm of a product of two uniform numbers, and b from U(0, 1), all from 128 hash bits of the
-    word and k; at weight w it has t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r, and the
+    word and k; at weight w it has t = floor(ln w / r + b) and a = c exp(-r (t - b + 1)), and the
     sample is a hash of the word and t where a is least. Two texts agree in a sample with the
     probability of their generalised Jaccard similarity, the sum of the lesser by that of the greater
     weights, however many words they have.
@@ -49,16 +49,17 @@ def signatures(texts: DataFrame, key: str, columns: list[str], samples: int = SA
     tag = lambda i: F.col(f"_x{i}").bitwiseXOR(F.shiftrightunsigned(f"_y{i}", 32)).alias(f"_s{i}")
     drawn = drawn.select(
         key, "_j", *has, "_l", *[tag(i) for i in range(CHUNK)], *[gamma(f"_x{i}").alias(f"_r{i}") for i in range(CHUNK)],
-        *[F.ln(gamma(f"_y{i}")).alias(f"_c{i}") for i in range(CHUNK)], *[(mixed(i).cast("double") * 2.0**-32).alias(f"_b{i}") for i in range(CHUNK)],
+        *[gamma(f"_y{i}").alias(f"_c{i}") for i in range(CHUNK)], *[(mixed(i).cast("double") * 2.0**-32).alias(f"_b{i}") for i in range(CHUNK)],
     )
     keep = [key, "_j", *has, *[f"_{x}{i}" for x in "srcb" for i in range(CHUNK)]]
     drawn = drawn.select(*keep, *[F.floor(F.col("_l") / F.col(f"_r{i}") + F.col(f"_b{i}")).alias(f"_t{i}") for i in range(CHUNK)])
 
     def value(i: int) -> Column:
-        """Rank by ln a in the high bits, the sample in the low ones: one least long gives both."""
-        ln_a = F.col(f"_c{i}") - F.col(f"_r{i}") * (F.col(f"_t{i}").cast("double") - F.col(f"_b{i}") + 1.0)
+        """Rank by a in the high bits, the sample in the low ones: one least long gives both. The
+        fourth root keeps small values apart: a is at most c, some 36, and 1 / words where it counts."""
+        a = F.col(f"_c{i}") * F.exp(-F.col(f"_r{i}") * (F.col(f"_t{i}").cast("double") - F.col(f"_b{i}") + 1.0))
         sample = F.col(f"_s{i}").bitwiseXOR(F.col(f"_t{i}")).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftleft((ln_a * float(1 << 22)).cast("long"), 32).bitwiseOR(sample)
+        return F.shiftleft((F.sqrt(F.sqrt(a)) * float(1 << 29)).cast("long"), 32).bitwiseOR(sample)
 
     drawn = drawn.select(key, "_j", *has, *[value(i).alias(f"_v{i}") for i in range(CHUNK)])
     got = drawn.groupBy(key, "_j").agg(*[F.min(F.when(F.col(f"_has{c}"), F.col(f"_v{i}"))).alias(f"_m{c}_{i}") for c in cs for i in range(CHUNK)])
