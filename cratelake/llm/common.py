@@ -64,3 +64,16 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, rows_per_
     return left.join(before, cond, "left").select(
         *[left[c] for c in df.columns if c != "_b"], (left[out] + before["_before"]).cast("long").alias(out)
     )
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds ``out``, the row's number from 0 in the order of columns that tell all rows apart: ranges are
+    numbered on their own and moved by the sizes of those before, a row a range."""
+    from pyspark.sql import Window as W
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = staged(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return cut.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(out, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")

@@ -12,7 +12,8 @@ def records(pages: DataFrame, records_per_file: int = 1000) -> DataFrame:
     """WARC/1.0 resource records of (page_id, url, html): file, seq, page_id, record.
 
     A file holds a stretch of ids in their order. Null urls and bodies are empty; rows with a null
-    id are left out, as they have no place in the order.
+    id are left out, as they have no place in the order; repeated rows are records each; other
+    columns are ignored.
     """
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     head = F.concat(
@@ -24,12 +25,12 @@ def records(pages: DataFrame, records_per_file: int = 1000) -> DataFrame:
 
 
 def leaves(recs: DataFrame) -> DataFrame:
-    """(file, leaf, page_id, offset, length, hash): records hashed where they are read; only lengths
+    """(file, leaf, seq, page_id, offset, length, hash): records hashed where they are read; only lengths
     and hashes are shuffled, to find each record's number and offset in its file."""
     slim = recs.select("file", "seq", "page_id", F.octet_length("record").cast("long").alias("length"), F.sha2("record", 256).alias("hash"))
     line = Window.partitionBy("file").orderBy("seq", "hash")
     offset = F.coalesce(F.sum("length").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return slim.select("file", (F.row_number().over(line) - 1).cast("long").alias("leaf"), "page_id", offset.alias("offset"), "length", "hash")
+    return slim.select("file", (F.row_number().over(line) - 1).cast("long").alias("leaf"), "seq", "page_id", offset.alias("offset"), "length", "hash")
 
 
 def tree(leaf: DataFrame, fanout: int = 16, height: int = 3) -> DataFrame:
@@ -53,16 +54,19 @@ def _numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
 
 
 def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3) -> DataFrame:
-    """Records in which two replicas (leaves) differ: file, leaf, page_id, offset, length, status.
+    """Records in which two replicas (file, seq, page_id, record) differ: file, leaf, page_id, offset,
+    length, status.
 
     The roots of each file are compared; then, level by level, only children of nodes that differ,
-    and last the leaves below them. status: ``altered`` (both have the record, with other bytes),
-    ``missing`` (only the left), ``added`` (only the right). In a file whose records have shifted,
-    leaves are matched by page, so that those which merely moved aren't reported; records repeated
-    under one page are matched by their hash, copy by copy, and those left over in turn. Equal or empty replicas give no row.
+    and last the leaves below them. What lies under sound nodes is the same in both replicas, so the
+    leaves under the others differ by just what the files differ by, wherever records have shifted
+    to: they are matched by page and hash, copy by copy, and those left over by page, in turn.
+    status: ``altered`` (both have the record, with other bytes), ``missing`` (only the left),
+    ``added`` (only the right), ``moved`` (the same bytes at another place in the order). Differing
+    roots give at least one row; equal or empty replicas give none. Records without a file or page
+    are compared like any.
     """
-    same = ["file", "page_id", "hash"]
-    a, b = staged(_numbered(leaves(left), same, "_copy"), "left"), staged(_numbered(leaves(right), same, "_copy"), "right")
+    a, b = staged(leaves(left), "left"), staged(leaves(right), "right")
     ta, tb = staged(tree(a, fanout, height), "tree"), staged(tree(b, fanout, height), "tree")
     bad = None
     for k in range(height, 0, -1):
@@ -71,18 +75,18 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3)
             down = bad.withColumnRenamed("node", "_up")
             x, y = (t.withColumn("_up", F.floor(F.col("node") / fanout) if k + 1 < height else F.lit(0).cast("long")).join(down, ["file", "_up"], "left_semi").drop("_up") for t in (x, y))
         x, y = x.withColumnRenamed("hash", "_a"), y.withColumnRenamed("hash", "_b")
-        bad = x.join(y, ["file", "node"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("file", "node")
-    # equal records of a sound node count too, as the copy that has no partner may lie there
-    low = lambda t: t.withColumn("node", F.floor(F.col("leaf") / fanout)).join(bad, ["file", "node"], "left_semi").select(*same)
-    la, lb = a.join(low(a), same, "left_semi"), b.join(low(b), same, "left_semi")
-    # the same record may lie under a sound node of the other replica where records have shifted
-    page = ["file", "page_id", "_turn"]
-    rest = lambda x, y: _numbered(x.join(y.select(*same, "_copy"), [*same, "_copy"], "left_anti").drop("_copy"), ["file", "page_id"], "_turn")
-    named = lambda t, p: t.select(*[F.col(c) if c in page else F.col(c).alias(p + c) for c in t.columns])
-    j = named(rest(la, b), "a_").join(named(rest(lb, a), "b_"), page, "full_outer")
-    status = F.when(F.col("b_hash").isNull(), "missing").when(F.col("a_hash").isNull(), "added").otherwise("altered")
+        bad = staged(x.join(y, ["file", "node"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("file", "node"), "bad")
+    same, page = ["file", "page_id", "hash", "_copy"], ["file", "page_id", "_turn"]
+    low = lambda t: t.withColumn("node", F.floor(F.col("leaf") / fanout)).join(bad, ["file", "node"], "left_semi").drop("node")
+    la, lb = (_numbered(low(t), same[:-1], "_copy") for t in (a, b))
+    named = lambda t, keys, p: t.select(*[F.col(c) if c in keys else F.col(c).alias(p + c) for c in t.columns])
+    both = staged(named(la, same, "a_").join(named(lb, same, "b_"), same, "full_outer"), "matched")
+    moved = both.filter("a_seq <> b_seq").select("file", F.col("a_leaf").alias("leaf"), "page_id", F.col("a_offset").alias("offset"), F.col("a_length").alias("length"), F.lit("moved").alias("status"))
+    rest = lambda p, o: _numbered(both.filter(F.col(o + "leaf").isNull()).select("file", "page_id", *[F.col(p + c).alias(c) for c in ("leaf", "offset", "length")]), ["file", "page_id"], "_turn")
+    j = named(rest("a_", "b_"), page, "a_").join(named(rest("b_", "a_"), page, "b_"), page, "full_outer")
+    status = F.when(F.col("b_leaf").isNull(), "missing").when(F.col("a_leaf").isNull(), "added").otherwise("altered")
     pick = lambda c: F.coalesce(f"a_{c}", f"b_{c}").alias(c)
-    return j.select("file", pick("leaf"), "page_id", pick("offset"), pick("length"), status.alias("status"))
+    return j.select("file", pick("leaf"), "page_id", pick("offset"), pick("length"), status.alias("status")).unionByName(moved)
 
 
 def damaged(recs: DataFrame) -> DataFrame:

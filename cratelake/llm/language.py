@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cratelake.llm.documents import packed_row
 
 #: Buckets that character trigrams are hashed to: with the number of languages this bounds the model.
 BUCKETS = 1 << 15
@@ -55,10 +58,15 @@ class Model:
     log_p: np.ndarray  # languages x buckets
     penalty: float
 
-    def infer(self, text: str) -> tuple[str, float, dict[str, float]]:
-        """The main language, its score and the proportions of the chosen set."""
+    def __post_init__(self):
+        #: The mean log-likelihood of a trigram of each language under it.
+        self.usual = (np.exp(self.log_p) * self.log_p).sum(axis=1)
+
+    def infer(self, text: str) -> tuple[str, float, dict[str, float], float]:
+        """The main language, its score, the proportions of the chosen set and the surprise: how many
+        nats a trigram of the text is less likely under its mixture than one of the mixture's own."""
         if not self.langs or not _LETTER.search(text):
-            return "und", 0.0, {}
+            return "und", 0.0, {}, 0.0
         at, c = _gram_counts(text)
         log_p = self.log_p[:, at]
         single = log_p @ c
@@ -88,7 +96,8 @@ class Model:
             score = 1 / np.exp(z).sum()
         else:
             score = share[top]
-        return self.langs[chosen[top]], float(min(1.0, max(0.0, score))), {self.langs[i]: float(s) for i, s in zip(chosen, share, strict=True)}
+        usual = float(share @ self.usual[chosen])
+        return self.langs[chosen[top]], float(min(1.0, max(0.0, score))), {self.langs[i]: float(s) for i, s in zip(chosen, share, strict=True)}, float(usual - value / n)
 
 
 def fit(labelled: DataFrame, penalty: float = 4.0) -> Model:
@@ -108,34 +117,38 @@ def fit(labelled: DataFrame, penalty: float = 4.0) -> Model:
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds lang_pred, score (0 to 1) and mixture (a map of the chosen languages' proportions).
+    """(doc, text, lang_pred, score from 0 to 1, mixture, surprise): doc holds the other columns of
+    ``docs``, whatever their names; mixture is a map of the chosen languages' proportions.
 
     For each document expectation-maximisation gives the proportions of a set of languages; the set
-    grows while the log-likelihood gains more than the penalty for one more. ``und`` (score 0,
-    empty mixture) if the text is null or has no letter, or if nothing was learnt. Only the text is
-    read. Repeated rows get equal results; an empty table gives an empty one.
+    grows while the log-likelihood gains more than the penalty for one more. ``surprise`` tells a
+    text of no known language, whose trigrams are much rarer in the mixture than its own.
+    ``und`` (score and surprise 0, empty mixture) if the text is null or has no letter, or if nothing was
+    learnt. Only the text is read, all of it. Repeated rows get equal results; an empty table gives
+    an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        kinds = [pa.string(), pa.float64(), pa.map_(pa.string(), pa.float64()), pa.float64()]
         for b in batches:
             got = [m.infer(t or "") for t in b.column("text").to_pylist()]
-            new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([list(g[2].items()) for g in got], pa.map_(pa.string(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "score", "mixture"])
+            new = [pa.array([list(g[i].items()) if i == 2 else g[i] for g in got], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("text"), *new], ["doc", "text", "lang_pred", "score", "mixture", "surprise"])
 
-    clash = [c for c in docs.columns if c in ("lang_pred", "score", "mixture")]
-    docs = docs.drop(*clash)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + ["lang_pred string", "score double", "mixture map<string,double>"])
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(packed_row(docs), F.col("text").cast("string").alias("text"))
+    out = T.StructType([*rows.schema.fields, *T.StructType.fromDDL("lang_pred string, score double, mixture map<string,double>, surprise double").fields])
+    return rows.mapInArrow(run, out)
 
 
 def held_out(doc_id="doc_id"):
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    """Rows that nothing is learnt from; a row without an id is learnt from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.filter(~held_out()))
     got = detect(docs.select("doc_id", "text", held_out().alias("held_out")), model)
-    return got.select("doc_id", "held_out", "lang_pred", "score", "mixture")
+    return got.select("doc.doc_id", "doc.held_out", "lang_pred", "score", "mixture", "surprise")

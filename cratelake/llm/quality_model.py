@@ -58,10 +58,18 @@ class Discriminant:
     log_prior: np.ndarray
     temper: float
 
+    def __post_init__(self):
+        #: The inverse of each triangular factor, by forward substitution, once for all batches.
+        self.inverse = np.zeros_like(self.factor)
+        for k in (0, 1):
+            for i in range(len(STATS)):
+                row = np.eye(len(STATS))[i] - self.factor[k, i, :i] @ self.inverse[k, :i]
+                self.inverse[k, i] = row / self.factor[k, i, i]
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         value = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factor[k], (x - self.mean[k]).T)
+            z = self.inverse[k] @ (x - self.mean[k]).T
             value.append(self.log_prior[k] - 0.5 * (self.log_det[k] + (z * z).sum(axis=0)))
         return (value[1] - value[0]) / self.temper
 
@@ -73,7 +81,8 @@ def fit(labelled: DataFrame, shrink: float = 0.1, ridge: float = 0.05, temper: f
     """Learn from rows (x, quality in 0 or 1); None without rows of both classes.
 
     Only counts, sums and sums of products of each class reach the driver. Each class's covariance
-    is drawn by ``shrink`` to the pooled one's diagonal, plus ``ridge``.
+    is drawn by ``shrink`` to the pooled one's diagonal, plus ``ridge``. The log-odds are divided by
+    ``temper``, as the statistics aren't quite normal and their odds come out too sure.
     """
     d = len(STATS)
     pairs = [(i, j) for i in range(d) for j in range(i + 1)]
@@ -112,10 +121,11 @@ def scored(stats: DataFrame, model: Discriminant | None) -> DataFrame:
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Nulls and empty texts are scored as empty; a document with several labels counts with each;
-    labels other than 0 and 1 are left out; only the text is an input of a score."""
+    labels other than 0 and 1 are left out; only the text is an input of a score, all of it. Repeated
+    rows each get a row; a row without an id counts as not held out; other columns are ignored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     stats = staged(measured(docs), "stats")
     model = fit(stats.join(labels.filter(~out), "doc_id"))
     return scored(stats, model).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -2,26 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratelake.llm.common import staged, words
 
-#: Frequent function words of each language of the references.
-COMMON = {
-    "en": ("the", "of", "and", "to", "in", "a", "is", "that"),
-    "fr": ("de", "la", "le", "les", "et", "des", "en", "un"),
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los"),
-}
-#: Character classes, in the order of the histogram; the rest is a class of its own.
-CLASSES = ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[.,;:?'\"()\-]", "[!#*$%&|<>]")
-VOCABULARY = tuple(sorted({w for ws in COMMON.values() for w in ws}))
+#: Character classes in the order of the histogram; each is counted in what the ones before it leave
+#: of the text, and the rest is a class of its own.
+CLASSES = (("lower", "[a-z]+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", r"[.,;:?'\"()\-]+"), ("symbol", "[!#*$%&|<>@^~=+_/\\\\{}\\[\\]`]+"))
 
 
-def _count(text: Column, kind: str) -> Column:
-    """Characters of a class."""
-    return F.length(F.regexp_replace(text, f"[^{kind[1:-1]}]+", ""))
+def _classes(text: Column) -> Column:
+    """Counts of the character classes, the rest last."""
+    left, counts = text, []
+    for _, kind in CLASSES:
+        fewer = F.regexp_replace(left, kind, "")
+        counts.append(F.length(left) - F.length(fewer))
+        left = fewer
+    return F.array(*counts, F.length(left)).cast("array<long>")
 
 
 def with_repeat_words(t: DataFrame, w: str, out: str) -> DataFrame:
@@ -30,75 +28,129 @@ def with_repeat_words(t: DataFrame, w: str, out: str) -> DataFrame:
     and the words they cover added up by the gaps between their places."""
     n = F.size(w)
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    t = t.withColumn("_keyed", F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))))
+    t = t.withColumn("_h", F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    # a text without a repeated window, told by a set of their hashes, needs no sort
+    none = F.array().cast("array<struct<h: bigint, i: int>>")
+    keyed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    t = t.withColumn("_keyed", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(keyed))
     hash_at = lambda i: F.get("_keyed", i)["h"]  # noqa: E731  (of one element; the field of the whole array would be built for each)
     alike = lambda x, i: (x["h"] == hash_at(i - 1)) | (x["h"] == hash_at(i + 1))
     t = t.withColumn("_again", F.filter("_keyed", alike))
     t = t.withColumn("_place", F.sort_array("_again.i"))
     gaps = F.zip_with("_place", F.slice("_place", 2, F.greatest(F.size("_place") - 1, F.lit(0))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return t.withColumn(out, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")).drop("_keyed", "_again", "_place")
+    return t.withColumn(out, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")).drop("_h", "_keyed", "_again", "_place")
+
+
+def _row_key() -> Column:
+    """Rows that agree in it are equal in all that the rules read."""
+    return F.xxhash64(F.coalesce("lang", F.lit("")), F.isnull("lang"), F.coalesce("text", F.lit("")))
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """The counts behind the rules, one row for each row of ``docs``: doc_id, lang, n_words,
-    word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (shares of the character classes),
-    common (shares of the frequent words). Null texts count as empty."""
-    t = docs.select("doc_id", *(["lang"] if "lang" in docs.columns else [F.lit(None).cast("string").alias("lang")]), F.coalesce("text", F.lit("")).alias("text"))
+    """The counts behind the rules, one row for each row of ``docs``: doc_id, key, lang, n_words,
+    word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (shares of the character classes).
+    Null texts count as empty."""
+    t = with_lang(docs).select("doc_id", "lang", _row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     t = with_repeat_words(t.withColumn("w", words(F.col("text"))), "w", "n_repeat_words")
     text, w = F.col("text"), F.col("w")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    some = [_count(text, k) for k in CLASSES]
-    spaced = F.lower(F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" ")))
-    found = [(F.length("s") - F.length(F.replace(F.col("s"), F.lit(f" {x} "), F.lit("")))) / (len(x) + 2) for x in VOCABULARY]
-    t = t.select(
-        "doc_id", "lang", F.size(w).cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), _count(text, "[#*$%&|<>]").cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.length("text").alias("n_chars"), F.array(*some).alias("c"), spaced.alias("s"),
+    classes = F.transform(_classes(text), lambda x: x / F.greatest(F.length(text), F.lit(1)))
+    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    return t.select(
+        "doc_id", "key", "lang", F.size(w).cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), "n_repeat_words", classes.alias("chars"),
     )
-    other = F.col("n_chars") - sum((F.col("c")[i] for i in range(len(CLASSES))), F.lit(0))
-    hits = F.array(*[x.cast("long") for x in found])
-    shares = lambda c: F.transform(c, lambda x: x / F.greatest(F.col(f"_{c}"), F.lit(1)))
-    t = t.withColumn("chars", F.concat("c", F.array(other)).cast("array<long>")).withColumn("hits", hits)
-    rest = F.col("n_words") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
-    t = t.withColumn("common", F.concat("hits", F.array(rest))).withColumnsRenamed({"n_chars": "_chars"}).withColumn("_common", F.col("n_words"))
-    return t.withColumns({c: shares(c) for c in ("chars", "common")}).drop("c", "s", "hits", "_chars", "_common")
-
-
-def references(stats: DataFrame, min_words: int = 50) -> DataFrame:
-    """(lang, ref_chars, ref_common): each language's histograms, a row a language. A share is the
-    median over its documents of at least ``min_words`` words: neither long documents nor a part
-    that is junk move it far."""
-    share = lambda c, n: [F.percentile_approx(F.col(c)[i], 0.5) for i in range(n)]
+
+
+def with_lang(docs: DataFrame) -> DataFrame:
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return docs.select("doc_id", "text", lang.alias("lang"))
+
+
+def common_words(docs: DataFrame, top: int = 32, min_words: int = 50) -> DataFrame:
+    """(lang, word): of each language the words that stand in most of its documents of at least
+    ``min_words`` words; of equally frequent ones the first in order."""
+    t = with_lang(docs).filter("lang IS NOT NULL").select("lang", words(F.lower("text")).alias("w")).filter(F.size("w") >= min_words)
+    found = t.select("lang", F.explode(F.array_distinct("w")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return found.withColumn("_rank", rank).filter(F.col("_rank") <= top).select("lang", "word")
+
+
+def word_shares(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(key, lang, n_words, word, share): how large a part of a text's words each word of the
+    vocabulary is; of equal rows one. An empty word marks each text, so that one without any of the
+    words has a row too."""
+    t = with_lang(docs).select("lang", _row_key().alias("key"), words(F.lower("text")).alias("w"))
+    marked = vocabulary.select("word").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "word string"))
+    each = t.select("key", "lang", F.size("w").alias("n_words"), F.explode(F.concat("w", F.array(F.lit("")))).alias("word"))
+    n = each.join(marked, "word").groupBy("key", "word").agg(F.count("*").alias("n"), F.first("lang").alias("lang"), F.first("n_words").alias("n_words"))
+    copies = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("key"))
+    return n.select("key", "lang", "n_words", "word", F.when(F.col("word") == "", 0.0).otherwise(F.col("n") / copies / F.greatest("n_words", F.lit(1))).alias("share"))
+
+
+def char_references(stats: DataFrame, min_words: int = 50) -> DataFrame:
+    """(lang, ref_chars): a class's share is the median over the language's documents of at least
+    ``min_words`` words: neither long documents nor a part that is junk move it far."""
     good = stats.filter(F.col("lang").isNotNull() & (F.col("n_words") >= min_words))
-    return good.groupBy("lang").agg(F.array(*share("chars", len(CLASSES) + 1)).alias("ref_chars"), F.array(*share("common", len(VOCABULARY) + 1)).alias("ref_common"))
+    return good.groupBy("lang").agg(F.array(*[F.percentile_approx(F.col("chars")[i], 0.5) for i in range(len(CLASSES) + 1)]).alias("ref_chars"))
+
+
+def word_references(shares: DataFrame, vocabulary: DataFrame, min_words: int = 50) -> DataFrame:
+    """(lang, word, q): the mean share of each common word in the documents of its language."""
+    good = shares.filter(F.col("lang").isNotNull() & (F.col("n_words") >= min_words))
+    texts = good.filter("word = ''").groupBy("lang").agg(F.count("*").alias("_texts"))
+    sums = good.join(vocabulary, ["lang", "word"]).groupBy("lang", "word").agg(F.sum("share").alias("_sum"))
+    return sums.join(texts, "lang").select("lang", "word", (F.col("_sum") / F.col("_texts")).alias("q"))
+
+
+def _divergence(p: Column, q: Column) -> Column:
+    """What one class of two histograms adds to twice their Jensen-Shannon divergence (base 2)."""
+    half = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
+    return half(p, q) + half(q, p)
+
+
+def word_distances(shares: DataFrame, references: DataFrame) -> DataFrame:
+    """(key, lang, common): the Jensen-Shannon distance of each text's common words from every
+    language's, the rest of the words being one class. A word that the text lacks adds its whole q,
+    so that only the words it has are joined."""
+    whole = references.groupBy("lang").agg(F.sum("q").alias("_q"))
+    r = references.unionByName(whole.select("lang", F.lit("").alias("word"), F.lit(0.0).alias("q")))
+    has = F.col("word") != ""
+    hit = shares.select("key", "word", "share").join(r, "word").groupBy("key", "lang").agg(
+        F.sum(F.when(has, _divergence(F.col("share"), F.col("q")) - F.col("q")).otherwise(0.0)).alias("_d"), F.sum(F.when(has, F.col("share")).otherwise(0.0)).alias("_p")
+    )
+    rest = _divergence(F.greatest(F.lit(0.0), 1 - F.col("_p")), F.greatest(F.lit(0.0), 1 - F.col("_q")))
+    return hit.join(whole, "lang").select("key", "lang", F.sqrt(F.greatest(F.lit(0.0), (F.col("_d") + F.col("_q") + rest) / 2)).alias("common"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two histograms of shares."""
-    half = lambda x, y: F.when(x > 0, x * F.log2(2 * x / (x + y))).otherwise(0.0)
-    each = F.zip_with(p, q, lambda x, y: half(x, y) + half(y, x))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, _divergence), F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def judge(docs: DataFrame, max_chars: float = 0.13, max_common: float = 0.17, min_words: int = 50) -> DataFrame:
+def judge(docs: DataFrame, max_chars: float = 0.13, max_common: float = 0.25, min_words: int = 50, top: int = 32) -> DataFrame:
     """Counts, base_failed, char_distance, common_distance and kept of each document.
 
     base_failed: under ``min_words`` words, or over half of the words in repeated windows. The
     others are kept if the histograms of some language's reference are both near: character classes
-    within ``max_chars``, frequent words within ``max_common`` (Jensen-Shannon distance), each
-    widened for short texts, whose shares vary more, by a multiple of n_words ** -0.5. Without
-    any reference, as in a table without languages, nothing diverges. Null or blank texts fail the
-    base; null languages add to no reference; repeated rows each get a row.
+    within ``max_chars``, common words within ``max_common`` (Jensen-Shannon distance), each
+    widened for short texts, whose shares vary more, by a multiple of n_words ** -0.5. References
+    are learned from all rows with a language and at least ``min_words`` words. Without any, as in a
+    table without languages, nothing diverges. Null or blank texts fail the base; null languages add
+    to no reference; repeated rows each get a row; other columns are ignored.
     """
     stats = staged(measured(docs), "stats")
-    refs = references(stats, min_words).agg(F.collect_list(F.struct("ref_chars", "ref_common")).alias("refs"))
-    far = F.transform("refs", lambda r: F.struct(js_distance(F.col("chars"), r["ref_chars"]).alias("a"), js_distance(F.col("common"), r["ref_common"]).alias("b")))
+    vocabulary = staged(common_words(docs, top, min_words), "vocabulary")
+    shares = staged(word_shares(docs, vocabulary), "shares")
+    chars = char_references(stats, min_words).withColumnRenamed("lang", "_lang")
+    far = word_distances(shares, word_references(shares, vocabulary, min_words)).join(chars, F.col("lang") == F.col("_lang"))
+    by_key = far.groupBy("key").agg(F.collect_list(F.struct("common", "ref_chars")).alias("_refs"))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    d = stats.join(F.broadcast(refs)).withColumn("base_failed", base).withColumn("far", F.when(~F.col("base_failed"), far))
+    d = stats.join(by_key, "key", "left").withColumn("base_failed", base)
     loose = F.pow(F.greatest(F.col("n_words"), F.lit(1)).cast("double"), F.lit(-0.5))
-    best = F.array_min(F.transform("far", lambda x: F.struct(F.greatest(x["a"] / (max_chars + 0.75 * loose), x["b"] / (max_common + 1.7 * loose)).alias("worst"), x["a"].alias("a"), x["b"].alias("b"))))
-    d = d.withColumn("near", best)
-    kept = ~F.col("base_failed") & ((F.size("refs") == 0) | F.coalesce(F.col("near.worst") <= 1, F.lit(False)))
+    near = lambda r: F.struct(F.greatest(js_distance(F.col("chars"), r["ref_chars"]) / (max_chars + 0.75 * loose), r["common"] / (max_common + 1.7 * loose)).alias("worst"), js_distance(F.col("chars"), r["ref_chars"]).alias("a"), r["common"].alias("b"))
+    d = d.withColumn("near", F.when(~F.col("base_failed"), F.array_min(F.transform("_refs", near))))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("near.worst") <= 1, F.lit(True))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("near.a").alias("char_distance"), F.col("near.b").alias("common_distance"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from cratelake.llm import fixity, language, mixing, packing, passages, quality_model, quality_rules, sampling, simhash
+from cratelake.llm import debruijn, fixity, language, mixing, packing, quality_model, quality_rules, sampling, simhash, suffixes
 
 QUERIES = {
     "op1_fingerprints": sampling.op1_fingerprints,
     "op2_mixing": mixing.op2_mixing,
-    "op3_suffix_repeats": passages.op3_suffix_repeats,
-    "op4_debruijn": passages.op4_debruijn,
+    "op3_suffix_repeats": suffixes.op3_suffix_repeats,
+    "op4_debruijn": debruijn.op4_debruijn,
     "op5_packing": packing.op5_packing,
     "op6_language": language.op6_language,
     "op7_simhash": simhash.op7_simhash,

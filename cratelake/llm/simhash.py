@@ -8,20 +8,20 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cratelake.llm.common import staged
 from cratelake.llm.graph import components
 from cratelake.llm.wordspans import slices
 
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 #: Members up to which the pairs of a grid cell are compared one by one.
 CELL = 64
 EVEN = 0x5555555555555555
 
 
-def _majority(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
+def majority(h: np.ndarray, doc: np.ndarray, n: np.ndarray) -> np.ndarray:
     """For each document the bits set in over half of its hashes."""
     lanes = h.view(np.uint8).reshape(-1, 8)
     out = np.zeros((len(n), 8), np.uint8)
@@ -47,7 +47,7 @@ def _fingerprint(shingle: int):
                         mine = [digest(b" ".join(ws), 42)] if ws else []
                     n[i] = len(mine)
                     h += mine
-                fp = _majority(np.array(h, np.uint64), np.repeat(np.arange(len(n)), n), n)
+                fp = majority(np.array(h, np.uint64), np.repeat(np.arange(len(n)), n), n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return run
@@ -103,13 +103,14 @@ def links(prints: DataFrame, bits: int = 4, cell: int = CELL) -> DataFrame:
     blocks = bits + (4 if n < 1_000_000 else 5 if n < 20_000_000 else 7)
     u = embed(F.col("fp"))
     keys = F.array(*[F.struct(F.lit(i).alias("c"), u.bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(_masks(bits, blocks))])
-    cells = prints.select("fp", F.explode(keys).alias("x")).select("fp", F.xxhash64("x.c", "x.k").alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = cells.join(sizes, "cell")
-    few = crowded.filter(F.col("n") <= cell).repartition("cell").groupBy("cell").agg(F.collect_list("fp").alias("all"))
+    # the prints are few bytes, in few files: they are dealt to as many tasks as a shuffle has before they grow
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = prints.repartition(parts, "fp").select("fp", F.explode(keys).alias("x")).select("fp", F.xxhash64("x.c", "x.k").alias("cell"))
+    met = staged(cells.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1"), "cells")
+    few = met.filter(F.col("n") <= cell).groupBy("cell").agg(F.collect_list("fp").alias("all"))
     close = lambda a, b: (b > a) & (F.bit_count(embed(a).bitwiseXOR(embed(b))) <= bits) & (F.bit_count(a.bitwiseXOR(b)) <= bits)
     pairs = few.select(F.explode("all").alias("a"), "all").select("a", F.explode(F.filter("all", lambda b: close(F.col("a"), b))).alias("b"))
-    many = crowded.filter(F.col("n") > cell).select("fp").distinct()
+    many = met.filter(F.col("n") > cell).select("fp").distinct()
     met = many.select("fp", F.explode(_near(F.col("fp"), bits // 2)).alias("at")).groupBy("at").agg(F.sort_array(F.collect_set("fp")).alias("all"))
     stars = met.filter(F.size("all") > 1).select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 1 << 20)).alias("b"))
     return pairs.unionByName(stars).distinct()

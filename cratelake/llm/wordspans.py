@@ -1,11 +1,4 @@
-"""Repeated word windows, found at content-selected minimiser positions.
-
-Both exact-passage operators rest on this step. A window is ``width`` consecutive words of one
-document; its minimiser is the least hash among its ``k``-word grams, so equal windows meet under
-the same minimiser wherever they stand. Only one row per run of windows with one minimiser is
-shuffled, and equal windows are first combined inside a map task, so that a passage held by a third
-of all documents costs a reducer one row per map batch, not one per document.
-"""
+"""Words of many texts at once, their hashes, and runs of them."""
 
 from __future__ import annotations
 
@@ -13,22 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time in a task.
 SLICE = 4 << 20
-#: Bytes kept of a window's hashes: 64 bits of one and 32 of an independent one. All windows around
-#: one hot phrase have the same minimiser, so that its bits don't count here.
-TAG = 12
 
 SPANS = "doc_id long, start int, n int, src_doc long, src_start int"
-ROWS = f"key long, {SPANS}, tags binary"
 
 _B, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95
-#: Values of the bytes for the second, independent hash of a word.
-_BYTES = np.random.default_rng(29).integers(1, 1 << 63, 256, dtype=np.uint64)
 _WS = np.zeros(256, bool)
 _WS[[32, *range(9, 14)]] = True
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -66,11 +50,10 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return s, e, np.searchsorted(offsets, s, "right") - 1
 
 
-def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+def word_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     pw, inv = _powers(_B, len(data) + 1)
     c = np.zeros(len(data) + 1, np.uint64)
-    x = data.astype(np.uint64) + np.uint64(1) if values is None else values[data]
-    np.cumsum(x * pw[: len(data)], out=c[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)], out=c[1:])
     return mix((c[e] - c[s]) * inv[s] + (e - s).astype(np.uint64))
 
 
@@ -110,7 +93,7 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, n
         i = j
 
 
-def _paths(doc, pos, src_doc, src_pos) -> dict[str, np.ndarray]:
+def diagonals(doc, pos, src_doc, src_pos) -> dict[str, np.ndarray]:
     """Windows that follow one another both here and in their source make one span."""
     if not len(doc):
         return {"doc_id": doc, "start": pos, "n": pos, "src_doc": src_doc, "src_start": src_pos}
@@ -118,130 +101,3 @@ def _paths(doc, pos, src_doc, src_pos) -> dict[str, np.ndarray]:
     new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (src_doc[1:] != src_doc[:-1]) | (src_pos[1:] != src_pos[:-1] + 1)
     at = np.flatnonzero(new)
     return {"doc_id": doc[at], "start": pos[at], "n": np.diff(np.append(at, len(doc))), "src_doc": src_doc[at], "src_start": src_pos[at]}
-
-
-def _batch(key, spans: dict[str, np.ndarray], tags=None) -> pa.RecordBatch:
-    n = len(key)
-    cols = [pa.array(key.view(np.int64) if key.dtype == np.uint64 else key, pa.int64())]
-    for name, kind in (("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("src_doc", pa.int64()), ("src_start", pa.int32())):
-        cols.append(pa.array(spans[name], kind) if name in spans else pa.nulls(n, kind))
-    cols.append(tags if tags is not None else pa.nulls(n, pa.binary()))
-    return pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "start", "n", "src_doc", "src_start", "tags"])
-
-
-def _first_of(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
-    """For each element, the index of the first one equal to it, in ``more`` too."""
-
-    def lead_by(order: np.ndarray, *by: np.ndarray) -> np.ndarray:
-        new = np.ones(len(order), bool)
-        if len(order):
-            new[1:] = False
-        for y in by:
-            new[1:] |= y[order[1:]] != y[order[:-1]]
-        out = np.empty(len(order), np.int64)
-        out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-        return out
-
-    lead = lead_by(np.argsort(x, kind="stable"), x)
-    if any((m[lead] != m).any() for m in more):  # x alone collides
-        lead = lead_by(np.lexsort((*more, x)), x, *more)
-    return lead
-
-
-def _emit(width: int, k: int, text: str, key_bits: int, tag_bytes: int = TAG):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            whole = whole.filter(pc.is_valid(whole.column("doc_id")))
-            whole = whole.take(pc.sort_indices(whole, [("doc_id", "ascending")]))
-            for part, data, off in slices(whole, text):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                s, e, d = cut_words(data, off)
-                if len(s) < width:
-                    continue
-                h = word_hashes(data, s, e)
-                ok = d[: len(d) - width + 1] == d[width - 1 :]
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                win = grams(h, width)[at]
-                low = sliding_min(grams(h, k), width - k + 1)[at] >> np.uint64(64 - key_bits)
-                begin = np.searchsorted(d, np.arange(len(off)), "left")
-                doc, pos = ids[d[at]], (at - begin[d[at]]).astype(np.int32)
-                also = [grams(word_hashes(data, s, e, _BYTES), width)[at]] if tag_bytes > 8 else []
-                lead = _first_of(win, *also)
-                again = (lead != np.arange(len(at))) & ((doc[lead] != doc) | (pos[lead] != pos))
-                sp = _paths(doc[again], pos[again], doc[lead[again]], pos[lead[again]])
-                if len(sp["doc_id"]):
-                    yield _batch(mix(sp["doc_id"].view(np.uint64) + sp["start"].astype(np.uint64)), sp)
-                own = np.flatnonzero(lead == np.arange(len(at)))
-                od, op, ol = doc[own], pos[own], low[own]
-                new = np.ones(len(own), bool)
-                new[1:] = (ol[1:] != ol[:-1]) | (od[1:] != od[:-1]) | (op[1:] != op[:-1] + 1)
-                run_at = np.flatnonzero(new)
-                length = np.diff(np.append(run_at, len(own)))
-                tags = np.stack([x[own] for x in (win, *also)], axis=1).view(np.uint8)
-                tags = np.ascontiguousarray(tags[:, :tag_bytes])
-                blob_off = (np.append(run_at, len(own)) * tag_bytes).astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), len(run_at), [None, pa.py_buffer(blob_off), pa.py_buffer(tags)])
-                yield _batch(ol[run_at], {"doc_id": od[run_at], "start": op[run_at], "n": length}, blob)
-
-    return run
-
-
-def _compare(batches: Iterator[pa.RecordBatch], tag_bytes: int = TAG) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by minimiser and place; equal windows of a minimiser are neighbours after
-    one more sort, and all but the first are repeats. Of a minimiser that goes on in the next
-    batch, only the distinct windows seen so far are kept."""
-    kept_key, kept = None, None  # distinct windows of the last minimiser: both parts of the tag, doc, pos
-    for b in batches:
-        plain = b.filter(pc.is_null(b.column("tags")))
-        if len(plain):
-            yield plain.select(["doc_id", "start", "n", "src_doc", "src_start"])
-        b = b.filter(pc.is_valid(b.column("tags")))
-        if not len(b):
-            continue
-        key = b.column("key").to_numpy()
-        n = b.column("n").to_numpy()
-        blob = b.column("tags")
-        off = np.frombuffer(blob.buffers()[1], np.int32, len(blob) + 1, blob.offset * 4)
-        raw = np.frombuffer(blob.buffers()[2], np.uint8)[off[0] : off[-1]].reshape(-1, tag_bytes)
-        tag = np.zeros((len(raw), 16), np.uint8)
-        tag[:, :tag_bytes] = raw
-        tag, rest = np.ascontiguousarray(tag.view(np.uint64).T)
-        row = np.repeat(np.arange(len(b)), n)
-        within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        doc = b.column("doc_id").to_numpy()[row]
-        pos = (b.column("start").to_numpy()[row] + within).astype(np.int32)
-        k = key[row]
-        if kept_key is not None and k[0] == kept_key:
-            m = len(kept[0])
-            tag, rest, doc, pos = (np.concatenate(x) for x in zip(kept, (tag, rest, doc, pos), strict=True))
-            k = np.concatenate([np.full(m, kept_key), k])
-        else:
-            m = 0
-        lead = _first_of(mix(k.view(np.uint64)) ^ (tag * np.uint64(_Q)), k, tag, rest)
-        here = np.arange(len(k))
-        again = (lead != here) & ((doc[lead] != doc) | (pos[lead] != pos))
-        again[:m] = False
-        sp = _paths(doc[again], pos[again], doc[lead[again]], pos[lead[again]])
-        if len(sp["doc_id"]):
-            yield _batch(sp["doc_id"], sp).select(["doc_id", "start", "n", "src_doc", "src_start"])
-        kept_key = k[-1]
-        mine = (k == kept_key) & (lead == here)
-        kept = (tag[mine], rest[mine], doc[mine], pos[mine])
-
-
-def repeated_windows(docs: DataFrame, width: int, k: int, text: str = "text", doc_id: str = "doc_id", key_bits: int = 64, tag_bytes: int = TAG) -> DataFrame:
-    """Runs of windows that also start earlier, as (doc_id, start, n, src_doc, src_start): windows
-    start .. start+n-1 of doc_id equal windows src_start .. of src_doc, which come before them in
-    the order of (doc_id, start). Every window with an earlier equal is in some row.
-
-    Null texts have no words; rows with a null id have no windows; rows that share an id are taken
-    for one document. Texts shorter than the window never repeat. Windows count as equal that agree in
-    ``key_bits`` bits of their minimiser and ``tag_bytes`` bytes of their own hashes, 96 bits if not
-    said otherwise; who compares their words afterwards may take fewer to the shuffle.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    emitted = rows.mapInArrow(_emit(width, k, "text", key_bits, tag_bytes), ROWS)
-    dealt = emitted.repartition(F.col("key")).sortWithinPartitions("key", "doc_id", "start")
-    return dealt.mapInArrow(lambda batches: _compare(batches, tag_bytes), SPANS)
