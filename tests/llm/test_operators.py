@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from cratelake.llm import fixity, language, mixing, packing, passages, quality_model, quality_rules, sampling, simhash, wordspans
+from cratelake.llm import debruijn, fixity, language, mixing, packing, quality_model, quality_rules, sampling, simhash, suffixes
+from cratelake.llm.documents import Documents, compact, text_key, unpacked
 from cratelake.llm.graph import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -47,63 +48,117 @@ def repeats(width):
     return out
 
 
-@pytest.mark.parametrize("find, width", [(passages.sparse_suffix_repeats, 50), (passages.debruijn_repeats, 20)])
-def test_repeated_passages(docs, find, width):
+def runs_of(docs, width, **options):
+    texts = Documents(docs.select("doc_id", "text")).texts
+    if width == 50:
+        return compact(suffixes.repeated_windows(texts, 50, 16, **options)).withColumnRenamed("n", "n_words").withColumn("n_words", F.col("n_words") + 49)
+    return debruijn.debruijn_repeats(texts, width)
+
+
+@pytest.mark.parametrize("width, options", [(50, {}), (50, {"hot": 1}), (20, {})])
+def test_repeated_passages(docs, width, options):
     want = repeats(width)
     got = {i: [False] * len(ws) for i, (ws, _) in want.items()}
-    for r in find(docs).collect():
+    for r in runs_of(docs.filter("doc_id IS NOT NULL"), width, **options).collect():
+        here, there = want[r["doc_id"]][0], want[r["src_doc"]][0]
+        assert here[r["start"] : r["start"] + r["n_words"]] == there[r["src_start"] : r["src_start"] + r["n_words"]]
+        assert (r["src_doc"], r["src_start"]) < (r["doc_id"], r["start"])
         got[r["doc_id"]][r["start"] : r["start"] + r["n_words"]] = [True] * r["n_words"]
     assert got == {i: g for i, (_, g) in want.items()}
 
 
+def test_hot_minimisers_lose_no_edge(monkeypatch, docs):
+    monkeypatch.setattr(debruijn, "HOT_RUNS", 1)
+    monkeypatch.setattr(debruijn, "HOT_SHARE", 0)
+    assert len(debruijn.hot_minimisers(Documents(docs.filter("doc_id IS NOT NULL")).texts, 20, 10))
+    test_repeated_passages(docs, 20, {})
+
+
+def test_suffixes_of_one_key_over_many_batches(spark):
+    base, rows = passage(31, 16), []
+    for i in range(300):  # one gram of 16 words with 300 surroundings, of which each comes twice
+        j = i // 2
+        rows.append((i, f"{passage(1000 + j, 40)} {base} {passage(2000 + j, 40)}"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = suffixes.sparse_suffix_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["doc_id"], r["start"], r["n_words"], r["match_doc_id"], r["match_start"]) for r in got) == [(2 * j + 1, 0, 96, 2 * j, 0) for j in range(150)]
+
+
+def test_matches_reach_as_far_as_the_words_agree(spark):
+    shared = passage(41, 120).split()
+    rows = [(1, " ".join(["a", *shared[:70], "b"])), (2, " ".join(["c", "d", *shared, "e"])), (3, " ".join([*shared, "f"]))]
+    got = suffixes.sparse_suffix_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [(2, 2, 70, 1, 1), (2 + 1, 0, 70, 1, 1), (3, 21, 99, 2, 23)]
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    p, q, r = (passage(s, 40) for s in (51, 52, 53))
+    rows = [(1, f"{p} {q}"), (2, f"x {p} {q} y"), (3, f"{p} {r}"), (4, f"z {p} {r}")]
+    got = debruijn.debruijn_repeats(Documents(spark.createDataFrame(rows, "doc_id long, text string")).texts, 20).collect()
+    paths = {}
+    for x in got:
+        paths.setdefault(x["doc_id"], []).append((x["start"], x["n_words"], x["path"]))
+    two, three, four = (sorted(paths[i]) for i in (2, 3, 4))
+    # after the last edge inside p the graph branches to q and to r
+    assert [x[:2] for x in two] == [(1, 40), (22, 59)] and [x[:2] for x in three] == [(0, 40)]
+    assert [x[:2] for x in four] == [(1, 40), (22, 59)]
+    assert two[0][2] == three[0][2] == four[0][2] and len({two[1][2], four[1][2], two[0][2]}) == 3
+
+
+def cut_of(docs, spans, verified=False, digest=True):
+    d = Documents(docs)
+    return (d.without_verified if verified else d.without)(spans, 20, digest)
+
+
 def test_cut_keeps_clean_texts(docs):
     want = repeats(20)
-    cut = passages.cut_passages(docs, passages.debruijn_repeats(docs))
-    for r in cut.filter("doc_id IS NOT NULL").collect():
+    some = docs.filter("doc_id IS NOT NULL")
+    spans = runs_of(some, 20)
+    for r in unpacked(cut_of(some, spans, digest=False), ["doc_id", "text"], text="out").collect():
         ws, gone = want[r["doc_id"]]
         assert (r["text"] or "").encode().split() == [w for w, g in zip(ws, gone, strict=True) if not g]
         if not any(gone):
             assert r["text"] == TEXTS[r["doc_id"]]
-    digests = {r["doc_id"]: r["kept_sha256"] for r in passages.cut_passages(docs, passages.debruijn_repeats(docs), digest=True).collect()}
+    digests = {r["doc_id"]: r["out"] for r in cut_of(some, spans).select("doc.doc_id", "out").collect()}
     assert all(digests[i] == hashlib.sha256(b" ".join(w for w, g in zip(ws, gone, strict=True) if not g)).hexdigest() for i, (ws, gone) in want.items())
 
 
 def test_cut_leaves_spans_that_differ_from_their_source(spark, docs):
     want = repeats(20)
     some = docs.filter("doc_id IS NOT NULL")
-    true = passages.debruijn_repeats(some)
+    true = runs_of(some, 20).drop("path")
     false = spark.createDataFrame([(9, 100, 200, 4, 0), (9, 1000, 130, 5, 10)], "doc_id long, start int, n_words int, src_doc long, src_start int")
     for spans in (true, true.unionByName(false.select(*[F.col(c).cast(t) for c, t in true.dtypes]))):
-        got = {r["doc_id"]: r for r in passages.cut_verified(some, spans, digest=True).collect()}
+        got = {r["doc_id"]: r for r in cut_of(some, spans, verified=True).select("doc.doc_id", "n_words", "n_removed", "out").collect()}
         assert sorted(got) == sorted(want)
         for i, (ws, gone) in want.items():
             kept = [w for w, g in zip(ws, gone, strict=True) if not g]
-            assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
-    none = passages.cut_verified(some.limit(0), passages.debruijn_repeats(some.limit(0)))
-    assert none.count() == 0
+            assert (got[i]["n_words"], got[i]["n_removed"], got[i]["out"]) == (len(ws), len(ws) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
 
 
-def test_hidden_true_copy_is_looked_up_again(spark, docs):
-    want = repeats(20)
-    some = docs.filter("doc_id IS NOT NULL")
-    true = passages.debruijn_repeats(some)
-    # the span of text 6 names text 9 for its source, as after a collision; its true source is text 5
-    hidden = true.withColumn("src_doc", F.when(F.col("doc_id") == 6, 9).otherwise(F.col("src_doc")).cast("long"))
-    got = {r["doc_id"]: r for r in passages.cut_verified(some, hidden, digest=True, again=lambda: true).collect()}
-    assert all(got[i]["n_removed"] == sum(gone) for i, (_, gone) in want.items())
-
-
-def test_windows_that_agree_in_40_bits_are_no_repeats(monkeypatch):
-    grams = wordspans.grams
-    high = ~np.uint64((1 << 40) - 1)
-    monkeypatch.setattr(wordspans, "grams", lambda h, k: grams(h, k) & high)
-    text = lambda seed: f"{passage(seed, 30)} {' '.join(['hot'] * 16)} {passage(seed + 1, 30)}"
-    batch = wordspans.pa.RecordBatch.from_pydict({"doc_id": list(range(40)), "text": [text(2 * i) for i in range(40)]})
-    rows = wordspans.pa.Table.from_batches(wordspans._emit(50, 16, "text", 64)(iter([batch]))).combine_chunks()
-    rows = rows.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("start", "ascending")]).combine_chunks()
-    assert sum(b.num_rows for b in wordspans._compare(iter(rows.to_batches()))) == 0
-    same = np.array([5, 5, 5, 7, 5], np.uint64)
-    assert wordspans._first_of(same, np.array([1, 2, 1, 1, 2], np.uint64)).tolist() == [0, 1, 0, 3, 1]
+def test_rows_of_one_id_and_without_one_are_documents_in_turn(spark):
+    rows = [(1, passage(1, 60)), (1, passage(1, 60)), (1, passage(1, 60)), (2, "x " + passage(1, 55)), (2, passage(2, 70)), (None, passage(2, 70)), (None, passage(3, 30)), (None, passage(3, 30)), (None, None), (3, ""), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = {r["text"]: r["k"] for r in df.select("text", text_key(F.col("text")).alias("k")).collect()}
+    line = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, key[r[1]]))
+    seen, want = set(), []
+    for i, t in line:
+        ws = (t or "").split()
+        gone = [False] * len(ws)
+        for p in range(len(ws) - 19):
+            w = tuple(ws[p : p + 20])
+            if w in seen:
+                gone[p : p + 20] = [True] * 20
+            seen.add(w)
+        want.append((i is None, i or 0, len(ws), sum(gone), hashlib.sha256(" ".join(w for w, g in zip(ws, gone, strict=True) if not g).encode()).hexdigest()))
+    d = Documents(df)
+    got = d.without_verified(debruijn.debruijn_repeats(d.texts), 20, digest=True).select("doc.doc_id", "n_words", "n_removed", "out").collect()
+    assert sorted((r[0] is None, r[0] or 0, *r[1:]) for r in got) == sorted(want)
+    found = collections.Counter((r["doc_id"], r["n_words"]) for r in suffixes.sparse_suffix_repeats(df).collect())
+    assert found == {(1, 60): 2, (2, 55): 1, (None, 70): 1}
 
 
 def test_simhash(docs):
@@ -180,11 +235,19 @@ def test_fingerprints_estimate_generalised_jaccard(docs):
     assert nxt == {i: (i + 1) % len(TEXTS) for i in range(len(TEXTS))}
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000, 100_000, 1_000_000])
+def test_fingerprints_of_long_texts(spark, n):
+    """Within 3 standard errors of the truth, 1/2, whatever the number of words."""
+    text = lambda first: " ".join(f"w{i}" for i in range(first, first + n))
+    r = sampling.signatures(spark.createDataFrame([(1, text(0), text(n // 3))], "doc_id long, a string, b string"), "doc_id", ["a", "b"], samples=128).first()
+    assert abs(np.mean(np.array(r["a"]) == np.array(r["b"])) - 0.5) < 3 * (0.25 / 128) ** 0.5
+
+
 def test_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the quick brown fox and the dog", "en"), ("le renard brun et les chiens", "fr")] * 20)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     asked = spark.createDataFrame([(1, "the fox and the dog"), (2, "les chiens et le renard"), (3, None), (4, "12 ... !"), (5, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in language.detect(asked, model).collect()}
+    got = {r["doc"]["doc_id"]: r for r in language.detect(asked, model).collect()}
     assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "fr", "und", "und", "und"]
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
@@ -196,7 +259,10 @@ def test_rules_count_as_brute_force(docs):
         tri = [tuple(ws[j : j + 3]) for j in range(len(ws) - 2)]
         n = collections.Counter(tri)
         inside = {k for j, w in enumerate(tri) if n[w] > 1 for k in (j, j + 1, j + 2)}
+        lines = [x.strip() for x in (t or "").split("\n")]
+        dup = sum(x != "" and (t or "").split("\n").index(y) < j for j, (x, y) in enumerate(zip(lines, (t or "").split("\n"), strict=True)))
         assert (got[i]["n_words"], got[i]["n_repeat_words"], got[i]["word_chars"]) == (len(ws), len(inside), sum(map(len, ws)))
+        assert (got[i]["n_symbols"], got[i]["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in t or ""), dup)
         assert got[i]["base_failed"] == (len(ws) < 50 or 100 * len(inside) > 50 * len(ws))
         assert not (got[i]["kept"] and got[i]["base_failed"])
 
@@ -212,14 +278,26 @@ def test_discriminant(spark):
 
 def test_mixing_meets_targets(spark):
     rows = [(i, ["a", "b", None][i % 7 % 3], 1 + i * 7919 % 50) for i in range(3000)]
-    draws = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), block_rows=16).collect()
+    draws = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, size long"), block_rows=16, shard_draws=8).collect()
     taken, target = collections.Counter(), {}
     per = collections.Counter(r["doc_id"] for r in draws)
     for r in draws:
         taken[r["source"]] += r["size"]
         target[r["source"]] = r["target"]
-    assert all(abs(taken[s] - t) <= 50 for s, t in target.items()) and max(per.values()) <= 3
+    assert all(abs(taken[s] - t) <= 5 for s, t in target.items()) and max(per.values()) <= 3
     assert math.isclose(sum(target.values()), sum(s for _, _, s in rows))
+    # no shard draws a document's pass that another has; shards are of like size
+    assert len({(r["doc_id"], r["pass"]) for r in draws}) == len(draws)
+    shards = collections.Counter(r["shard"] for r in draws)
+    assert max(shards.values()) < 2 * min(shards.values()) + 50
+
+
+def test_the_tree_decides_who_draws(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], 1 + i % 9) for i in range(2000)], "doc_id long, source string, size long")
+    plain = mixing.mix(rows, block_rows=16).count()
+    split = mixing.split_quotas
+    monkeypatch.setattr(mixing, "split_quotas", lambda *a: split(*a).filter("shard < 4"))
+    assert 0 < mixing.mix(rows, block_rows=16).count() < plain / 2
 
 
 def test_hypergeometric_is_a_distribution(spark):
@@ -238,6 +316,12 @@ def test_fixity_locates_damage(spark):
     assert {i for i, s in back.items() if s == "added"} == {i for i in range(300) if i % 97 == 77}
 
 
+def test_fixity_reports_moved_records(spark):
+    recs = fixity.records(spark.createDataFrame([(i, "u", f"p{i}") for i in range(100)], "page_id long, url string, html string"), 1000)
+    swapped = recs.withColumn("seq", F.when(F.col("seq") == 3, 50).when(F.col("seq") == 50, 3).otherwise(F.col("seq")))
+    assert sorted((r["page_id"], r["status"]) for r in fixity.audit(recs, swapped).collect()) == [(3, "moved"), (50, "moved")]
+
+
 def test_fixity_counts_repeated_pages(spark):
     rows = [(i // 3 if i < 120 else i, "http://x", f"p{i // 3}" if i < 120 else f"q{i}") for i in range(200)]
     audit = lambda x, y: sorted((r["page_id"], r["status"]) for r in fixity.audit(*[fixity.records(spark.createDataFrame(t, "page_id long, url string, html string"), 1000) for t in (x, y)]).collect())
@@ -249,9 +333,10 @@ def test_fixity_counts_repeated_pages(spark):
 
 
 @pytest.mark.parametrize("run", [
-    lambda d: passages.sparse_suffix_repeats(d), lambda d: passages.cut_passages(d, passages.debruijn_repeats(d)), lambda d: simhash.simhash_components(d),
+    lambda d: suffixes.sparse_suffix_repeats(d), lambda d: cut_of(d, runs_of(d, 20), verified=True), lambda d: simhash.simhash_components(d),
     lambda d: packing.pack(packing.token_pieces(d)), lambda d: language.detect(d, language.fit(d)), lambda d: quality_rules.judge(d), lambda d: quality_model.scored(quality_model.measured(d), None),
     lambda d: mixing.mix(d.selectExpr("doc_id", "source", "n_chars AS size")), lambda d: sampling.signatures(d, "doc_id", ["text"]),
+    lambda d: fixity.audit(*[fixity.records(d.selectExpr("doc_id AS page_id", "source AS url", "text AS html"))] * 2), lambda d: simhash.links(d.selectExpr("doc_id AS fp")),
 ])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).count() == 0
