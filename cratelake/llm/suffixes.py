@@ -16,6 +16,8 @@ from cratelake.llm.wordspans import SPANS, cut_words, diagonals, grams, mix, sli
 
 #: Suffixes of one key up to which they are sorted and compared in one group of a task.
 HOT = 20_000
+#: Keys up to which they are broadcast: 16 MB.
+BROADCAST = 1_000_000
 #: Rows that a task sorts at a time.
 CHUNK = 20_000
 ROWS = "key long, more long, doc_id long, pos int, around binary"
@@ -102,8 +104,9 @@ def _compare(rows: dict[str, np.ndarray], reach: int) -> dict[str, np.ndarray]:
 
     Neighbours share a prefix; a suffix's window that begins ``o`` words before it is one of the block
     of suffixes that share ``reach - o`` following words, and of those that also share the ``o`` words
-    before it the first is the window's first place. So each suffix is extended to the left and
-    right along every earlier one with which it shares a window.
+    before it the last one with an earlier place is matched. So each suffix is extended to the left
+    and right along the nearest earlier ones with which it shares a window; in a text that repeats a
+    phrase over and over these follow one another too.
     """
     key, doc, pos, around = rows["key"], rows["doc_id"], rows["pos"], rows["around"]
     n, after, before = len(key), rows["around"][:, :reach], around[:, reach:]
@@ -120,14 +123,17 @@ def _compare(rows: dict[str, np.ndarray], reach: int) -> dict[str, np.ndarray]:
         ok = (before[:, o - 1] > 0 if o else np.ones(n, bool)) & (after[:, reach - o - 1] > 0 if o < reach else True)
         block = np.cumsum(other | (shared < reach - o)).astype(np.uint64)
         at = by_place[ok[by_place]]
-        _, first, of = np.unique((mix(block * _Q) ^ left)[at], return_index=True, return_inverse=True)
-        lead = at[first[of]]
-        again = (lead != at) & ((doc[lead] != doc[at]) | (pos[lead] != pos[at]))
-        out.append((at[again], lead[again], np.full(int(again.sum()), o)))
+        tag = (mix(block * _Q) ^ left)[at]
+        order = np.argsort(tag, kind="stable")
+        again = np.flatnonzero(tag[order[1:]] == tag[order[:-1]])
+        out.append((at[order[again + 1]], at[order[again]], np.full(len(again), o)))
     row, lead, o = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((-o, row))
-    row, lead, o = row[order], lead[order], o[order]
-    return diagonals(doc[row], pos[row] - o, doc[lead], pos[lead] - o)
+    doc, start, src_doc, src_start = doc[row], pos[row] - o, doc[lead], pos[lead] - o
+    order = np.lexsort((start, doc))
+    # a window that holds several of the suffixes is found with each of them
+    new = np.ones(len(order), bool)
+    new[1:] = (doc[order[1:]] != doc[order[:-1]]) | (start[order[1:]] != start[order[:-1]])
+    return diagonals(*[x[order[new]] for x in (doc, start, src_doc, src_start)])
 
 
 def _spans(x: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -140,7 +146,7 @@ def _neighbours(reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
-        first = None  # key, second hash and place of the first of the equal windows that come now
+        last = None  # hashes and place of the last window
 
         def ready(last: bool) -> Iterator[pa.RecordBatch]:
             rows = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
@@ -156,13 +162,11 @@ def _neighbours(reach: int):
             windows, b = b.filter(pc.invert(known)), b.filter(known)
             if len(windows):
                 k, m, doc, pos = (windows.column(c).to_numpy() for c in ("key", "more", "doc_id", "pos"))
-                if first is not None:
-                    k, m, doc, pos = (np.concatenate([[x], y]) for x, y in zip(first, (k, m, doc, pos), strict=True))
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
-                lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-                first = tuple(x[lead[-1]] for x in (k, m, doc, pos))
-                again = (lead != np.arange(len(k))) & ((doc[lead] != doc) | (pos[lead] != pos))
+                if last is not None:
+                    k, m, doc, pos = (np.concatenate([[x], y]) for x, y in zip(last, (k, m, doc, pos), strict=True))
+                lead = np.arange(len(k)) - 1
+                again = np.append(False, (k[1:] == k[:-1]) & (m[1:] == m[:-1]) & ((doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])))
+                last = tuple(x[-1] for x in (k, m, doc, pos))
                 order = np.lexsort((pos[again], doc[again]))
                 yield _spans(diagonals(*[x[order] for x in (doc[again], pos[again].astype(np.int64), doc[lead[again]], pos[lead[again]].astype(np.int64))]))
             if len(b):
@@ -192,9 +196,17 @@ def repeated_windows(texts: DataFrame, width: int, k: int, hot: int = HOT) -> Da
     the windows around them instead, and those that are equal meet alone. Windows are equal by 64
     bits of their gram's hash and 32 of each other word's.
     """
-    places = texts.mapInArrow(_positions(width, k), "key long, doc_id long, pos int")
-    often = places.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    kept = places.join(often, "key").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("pos", (F.col("_n") > hot).alias("hot"))).alias("_at"))
+    places = staged(texts.mapInArrow(_positions(width, k), "key long, doc_id long, pos int"), "places")
+    often = staged(places.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1"), "keys")
+    flag = F.struct("pos", (F.col("_n") > hot).alias("hot")).alias("_at")
+    if often.count() <= BROADCAST:
+        kept = places.join(F.broadcast(often), "key").select("doc_id", flag)
+    else:
+        # hot keys stand for over ``hot`` suffixes each, so they are few; their places aren't dealt by key, as those of the others are
+        top, rest = often.filter(F.col("_n") > hot), often.filter(F.col("_n") <= hot)
+        top = F.broadcast(top) if top.count() <= BROADCAST else top
+        kept = places.join(top, "key").select("doc_id", flag).unionByName(places.join(top, "key", "left_anti").join(rest, "key").select("doc_id", flag))
+    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("_at").alias("_at"))
     rows = texts.join(kept.hint("shuffle_hash"), texts["doc_id"] == kept["_id"]).drop("_id").mapInArrow(_suffixes(width, k), ROWS)
     dealt = rows.repartition("key").sortWithinPartitions("key", "around", "more", "doc_id", "pos")
     return dealt.mapInArrow(_neighbours(width - k), SPANS)
