@@ -39,7 +39,7 @@ ROLE_CODES = {
     "KICK": "BD", "SNARE": "SD", "CLAP": "CP", "RIM": "RS", "HAT-CLOSED": "CH", "HAT-OPEN": "OH", "SHAKER": "SH", "CYMBAL": "CY", "RIDE": "RD", "TOM": "TM",
     "PERC": "PC", "BASS": "BS", "STAB-CHORD": "ST", "FX": "FX", "VOCAL": "VX", "DRUM-LOOP": "DL", "BASS-LOOP": "BL", "SYNTH-LOOP": "SL", "VOCAL-LOOP": "VL", "TEXTURE-DRONE": "TX",
 }
-PROCESSING = {"TapeSat": "tape-saturated", "Orig": "original", "Tape": "tape", "X2": "processed-more", "X": "processed"}
+PROCESSING = {"Orig": "original", "Tape": "tape", "TapeSat": "tape-saturated", "X": "processed", "X2": "processed-more"}
 
 
 def lookup(values: dict[str, str], key: Column, default: str) -> Column:
@@ -148,7 +148,8 @@ def bucket_path(path: Column, to: Column) -> Column:
     return F.when(F.size(p) >= 3, F.concat_ws("/", to, F.array_join(F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), "/"))).otherwise(F.concat_ws("/", to, F.lit("_loose"), F.element_at(p, -1)))
 
 
-#: The words of each bucket.
+#: The buckets and the words of each.
+BUCKETS = ("LOOPS", "ONE-SHOTS", "PADS-DRONES", "OTHER")
 LOOP_KEYWORDS = ("loop", "lp", "groove", "bpm")
 ONE_SHOT_KEYWORDS = ("oneshot", "one-shot", "one_shot", "one shot", "hit", "shot", "stab", "single")
 PAD_KEYWORDS = ("pad", "drone", "atmos", "texture", "swell", "ambient")

@@ -23,17 +23,44 @@ def round_robin(df: DataFrame, within: list, group: list[str], between: list, sc
     return out if limit is None else out.filter(F.col("place") <= limit)
 
 
-def quota_fill(df: DataFrame, quotas: dict[str, int], role: str, group: list[str], within: list, between: list, most: int) -> DataFrame:
-    """Rows up to each role's quota by round robin, then, up to ``most`` in all, from what is left
-    of the quota roles."""
-    quota = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    rows = df.filter(F.col(role).isin(*quotas)).withColumn("_quota", quota[F.col(role)])
-    first = round_robin(rows, within, group, between, [role], max(quotas.values())).filter(F.col("place") <= F.col("_quota"))
-    first = first.withColumn("pass", F.lit(1))
-    left = df.filter(F.col(role).isin(*quotas)).join(first.select("path"), "path", "left_anti")
+def global_place(df: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds ``out``, the row's number from 1 in an order over all rows: sorted ranges are numbered on their own and
+    moved by the sizes of those before."""
+    cut = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
+    return cut.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + inside + 1).drop("_range", "_seq", "_before")
+
+
+def first_seen(df: DataFrame, order: list[str], group: list[str], scope: list[str], limit: int) -> DataFrame:
+    """Round robin whose groups come in the order in which they are first seen; adds ``place``."""
+    g = df.withColumn("turn", F.row_number().over(Window.partitionBy(*scope, *group).orderBy(*order))).filter(F.col("turn") <= limit)
+    lead = g.filter("turn = 1").select(*scope, *group, F.struct(*order).alias("_lead"))
+    g = g.join(lead, [*scope, *group])
+    return g.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy("turn", "_lead"))).filter(F.col("place") <= limit).drop("_lead")
+
+
+def quota_fill(df: DataFrame, quotas: dict[str, int], group: list[str], most: int, any_role: bool = False) -> DataFrame:
+    """Rows (path, role) of a crate with ``place``: each role's quota by round robin over the groups in the order of
+    their first path, role after role, then up to ``most`` in all from what is left, of the quota roles in their order or
+    (``any_role``) of all by path.
+
+    A group gives no more rows than it could in any case, so that windows over what is left hold at most
+    ``most`` rows of a group.
+    """
+    pos = F.coalesce(F.array_position(F.array(*map(F.lit, quotas)), F.col("role")), F.lit(0)).cast("int")
+    quota = F.coalesce(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])[F.col("role")], F.lit(0))
+    rows = df.withColumn("_pos", pos).withColumn("_quota", quota)
+    first = first_seen(rows.filter("_pos > 0"), ["path"], group, ["role"], max(quotas.values())).filter(F.col("place") <= F.col("_quota"))
+    first = first.select(*df.columns, F.lit(1).alias("_pass"), F.struct("_pos", "place").alias("_order"))
+    left = rows.join(first.select("path"), "path", "left_anti")
+    left = left.withColumn("_pos", F.lit(0)) if any_role else left.filter("_pos > 0")
     room = first.agg((F.lit(most) - F.count("*")).alias("_room"))
-    more = round_robin(left.withColumn("_all", F.lit(0)), within, group, between, ["_all"], most).join(F.broadcast(room)).filter(F.col("place") <= F.col("_room"))
-    return first.select(*df.columns, "pass").unionByName(more.withColumn("pass", F.lit(2)).select(*df.columns, "pass"))
+    more = first_seen(left.withColumn("_all", F.lit(0)), ["_pos", "path"], group, ["_all"], most).join(F.broadcast(room)).filter(F.col("place") <= F.col("_room"))
+    more = more.select(*df.columns, F.lit(2).alias("_pass"), F.struct(F.lit(0).alias("_pos"), "place").alias("_order"))
+    both = first.unionByName(more)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_pass", "_order"))).filter(F.col("place") <= most).drop("_pass", "_order")
 
 
 def stratified(df: DataFrame, value: str, group: Column, scope: list[str], size: int = 25, buckets: int = 5) -> DataFrame:

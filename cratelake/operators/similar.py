@@ -22,8 +22,10 @@ def distance(a: Column, b: Column, low: Column, span: Column) -> Column:
 
 
 def nearest(df: DataFrame, target: int, v: str, dims: int, n: int) -> DataFrame:
-    """The rows nearest to one row, itself included. The target and the ranges are a row each."""
-    one = df.filter(F.col("sample_id") == target).select(F.col(v).alias("_t")).limit(1)
+    """The rows nearest to one row, itself included. The target and the ranges are a row each; reading the result
+    fails if there is no row of that id."""
+    one = df.agg(F.max(F.when(F.col("sample_id") == target, F.struct(F.col(v).alias("v")))).alias("_t"))
+    one = one.select(F.when(F.col("_t").isNull(), F.raise_error(F.lit(f"no measured features for {target}"))).otherwise(F.col("_t.v")).alias("_t"))
     j = df.join(F.broadcast(one)).join(F.broadcast(ranges(df, v, dims)))
     d = j.withColumn("distance", distance(F.col("_t"), F.col(v), F.col("low"), F.col("span"))).filter("distance IS NOT NULL")
     return d.orderBy("distance", "sample_id").limit(n).select("sample_id", "role", "distance")

@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cratelake.functions import paths
+from cratelake.functions import analysis, paths
 
-#: Folder names and tokens that tell nothing of an origin, normalised.
-STRUCTURAL = (
-    "samples", "sample", "audio", "wav", "wavs", "aiff", "loops", "one-shots", "oneshots", "hits", "sounds", "files", "loose", "misc", "new", "old", "sorted", "unsorted",
-    "packs", "catalogue", "curated", "presets", "midi", "legacy", "review", "export", "to-delete", "quarantine", "00_inbox", "drum-kits",
-    "kicks", "clap-snare", "hats-cym", "perc", "drum-loops", "bass", "synth-stab-chord", "drone-atmos", "fx-rise-impact", "vocals",
+# Folder names that tell nothing of an origin (compared as normalised tokens), and what tokens stand for.
+GENERIC = (
+    "samples", "sample", "audio", "wav", "wavs", "aiff", "loops", "one-shots", "oneshots",
+    "hits", "sounds", "files", "loose", "misc", "new", "old", "sorted", "unsorted",
+)
+ZONES = (
+    "packs", "catalogue", "curated", "presets", "midi", "_legacy", "_review",
+    "_export", "_to-delete", "_quarantine", "00_inbox", "_packs", "drum-kits",
 )
 ALIASES = {
     "sa909_samples": "goldbaby-super-analog-909", "tapesh101_samples": "goldbaby-tape-sh101", "sp1200vol2_samples": "goldbaby-sp1200-vol2", "sp1200_samples": "goldbaby-sp1200",
@@ -24,6 +27,14 @@ DECISIONS = ("reject", "keep", "favourite")
 TAG_GROUPS = ("envelope", "tone", "texture", "source", "device")
 
 
+def structural(extra: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """The names that tell nothing, as ``paths.normalise_token`` leaves them: lower case, without outer dashes."""
+    return tuple(dict.fromkeys(n.lower().strip("-_") for n in (*GENERIC, *ZONES, *analysis.ROLE_FOLDERS, *extra)))
+
+
+STRUCTURAL = structural()
+
+
 def _canonical(token: Column, structural: tuple) -> Column:
     """The pack a token stands for; null where it stands for none."""
     alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])[token]
@@ -115,9 +126,10 @@ def rule_coverage(samples: DataFrame, rules: list[Rule], examples: int = 3) -> D
 
 def search(index: DataFrame, terms: tuple[str, ...] = (), groups: dict[str, tuple[str, ...]] | None = None, any_: bool = False, curated_only: bool = False) -> DataFrame:
     """Rows of the index (path, zone, role, origin, tags) that have all the terms, or any, in path,
-    tags or origin, and one value of each group. Groups but role and origin match any tag."""
+    tags or origin, or as their role or a part of the path with ``_`` read as ``-``, and one value of each group. Groups but role and origin match any tag."""
     text = F.concat_ws(" ", F.lower("path"), F.array_join("tags", " "), "origin")
-    hits = [text.contains(t) | (F.lower("role") == t) for t in terms]
+    parts = F.split(F.translate(F.lower("path"), "_", "-"), "/")
+    hits = [text.contains(t) | (F.lower("role") == t) | F.array_contains(parts, t) for t in terms]
     out = index.filter(F.col("zone") == "CURATED") if curated_only else index
     if hits:
         out = out.filter(F.greatest(*hits, F.lit(False)) if any_ else F.least(*hits, F.lit(True)))
@@ -158,8 +170,11 @@ def shown(value: Column) -> Column:
 
 
 def kick_gate(df: DataFrame) -> DataFrame:
-    """Evidence ladder over feature columns: gate, confidence and reasons; the first step that
-    applies decides. ``issues`` holds role conflicts of the name, null for none."""
+    """Evidence ladder over feature columns: gate, confidence, reasons and gate_action; the first step that applies
+    decides. ``issues`` holds role conflicts of the name, null for none; duration_s falls back to duration and
+    audio_error is read where there are such columns. The limits are fixed values."""
+    rows, seconds = df, F.coalesce("duration_s", "duration") if "duration" in df.columns else F.col("duration_s")
+    df = df.withColumns({"_kept_seconds": F.col("duration_s"), "duration_s": seconds})
     c = F.col
     why = lambda *names: F.concat_ws(";", *[F.concat(F.lit(n + "="), shown(c(n))) for n in names])
     if_ = lambda test, reason: F.when(test, reason)
@@ -172,15 +187,18 @@ def kick_gate(df: DataFrame) -> DataFrame:
     noisy = (c("high_ratio") >= 0.45) | bright | (c("zcr") >= 0.18)
     likely = (c("sub_ratio") >= 0.55) & (c("low_ratio") >= 0.55) & (c("high_ratio") <= 0.25) & (c("duration_s") <= 0.90) & (c("tail_ms") <= 450.0) & (c("centroid_hz") <= 2200.0)
     likely &= (c("flatness").isNull() | (c("flatness") <= 0.45)) & (c("onset_density") <= 2.0) & (c("crest") >= 2.0) & (c("zcr") <= 0.12)
-    step = lambda g, conf, reasons: F.struct(F.lit(g).alias("gate"), F.lit(conf).alias("confidence"), reasons.alias("reasons"))
+    actions = {"reject_as_kick": "keep-out-of-kicks", "likely_kick": "audition-as-kick"}
+    step = lambda g, conf, reasons, action=None: F.struct(F.lit(g).alias("gate"), F.lit(conf).alias("confidence"), reasons.alias("reasons"), F.lit(action or actions[g]).alias("gate_action"))
+    failed = F.coalesce("audio_error", F.lit("")) != "" if "audio_error" in df.columns else F.lit(False)
     ladder = (
-        F.when(c("role") != "KICKS", step("review", "low", F.lit("not-kicks-scope")))
+        F.when(c("role") != "KICKS", step("review", "low", F.lit("not-kicks-scope"), "not-kicks-scope"))
         .when(c("issues").isNotNull(), step("reject_as_kick", "high", F.concat(F.lit("role-conflict:"), c("issues"))))
-        .when(missing, step("review", "low", F.lit("missing-acoustic-features")))
+        .when(failed | missing, step("review", "low", F.when(failed, "decode-error").otherwise("missing-acoustic-features"), "decode-or-manual-review"))
         .when(dense, step("reject_as_kick", "high", F.concat_ws(";", if_(loop, F.lit("sample_type:loop")), if_(c("duration_s") >= 3.0, why("duration_s")), if_(c("onset_density") >= 4.0, why("onset_density")))))
         .when(click, step("reject_as_kick", "high", why("tail_ms", "sub_ratio", "mid_ratio", "centroid_hz")))
         .when(noisy, step("reject_as_kick", "high", F.concat_ws(";", if_(c("high_ratio") >= 0.45, why("high_ratio")), if_(bright, why("centroid_hz", "sub_ratio")), if_(c("zcr") >= 0.18, why("zcr")))))
         .when(likely, step("likely_kick", "high", why("sub_ratio", "crest", "centroid_hz")))
-        .otherwise(step("review", "medium", F.lit("mixed-evidence")))
+        .otherwise(step("review", "medium", F.lit("mixed-evidence"), "ear-check-before-kick"))
     )
-    return df.withColumn("_gate", ladder).select(*df.columns, "_gate.*")
+    out = df.withColumn("_gate", ladder).withColumn("duration_s", F.col("_kept_seconds"))
+    return out.select(*rows.columns, "_gate.*")

@@ -35,6 +35,7 @@ RULES = [
     Rule("processed", "character", name_matches=("_x.", "_x2.", "-x.", "processed")),
     Rule("original", "character", name_matches=("_orig", "-orig", "aorig")),
 ]
+#: How many favourites of each role a pilot needs.
 QUOTAS = {
     "KICK": 12, "SNARE": 8, "CLAP": 8, "RIM": 4, "HAT-CLOSED": 10, "HAT-OPEN": 8, "SHAKER": 6, "CYMBAL": 4, "RIDE": 4, "TOM": 8, "PERC": 10, "BASS": 4,
     "STAB-CHORD": 4, "FX": 4, "VOCAL": 2, "DRUM-LOOP": 4, "BASS-LOOP": 2, "SYNTH-LOOP": 2, "VOCAL-LOOP": 4, "TEXTURE-DRONE": 4,

@@ -74,15 +74,11 @@ def content_identity(spark, d):
 def exact_dedup_plan(spark, d):
     """Cheap key first: only files that share size and name are compared by hash; the shallowest,
     then shortest, then first path is kept."""
-    from pyspark.sql import Window
-
     loc = bed.locations(spark, d).withColumn("name", F.lower("word"))
-    some = loc.withColumn("_n", F.count("*").over(Window.partitionBy("size", "name"))).filter("_n > 1")
-    by = Window.partitionBy("sample_id")
-    rank = F.row_number().over(by.orderBy(F.size(paths.parts(F.col("path"))), F.length("path"), "path"))
-    some = some.withColumn("_m", F.count("*").over(by)).withColumn("rank", rank).filter("_m > 1")
-    keep = F.first("path").over(by.orderBy("rank"))
-    return some.withColumn("keep", keep).filter("rank > 1").select("sample_id", "keep", F.col("path").alias("remove"), "size")
+    often = loc.groupBy("size", "name").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    some = loc.join(often, ["size", "name"], "left_semi")
+    keep = some.groupBy("sample_id").agg(F.min(F.struct(F.size(paths.parts(F.col("path"))), F.length("path"), "path")).alias("_k"))
+    return some.join(keep, "sample_id").filter(F.col("path") != F.col("_k.path")).select("sample_id", F.col("_k.path").alias("keep"), F.col("path").alias("remove"), "size")
 
 
 def spread_roundrobin(spark, d):
@@ -96,9 +92,11 @@ def stratified_pick(spark, d):
 
 
 def preferred_picks(spark, d):
+    """Users by their kept days, the most first, then by id: the first thousand, with their places."""
     e = spark.read.parquet(f"{d}/events.parquet")
     picks = e.groupBy("user_id", F.to_date("ts").alias("kit")).agg(F.max_by(F.col("event_type") != "error", F.struct("ts", "event_id")).alias("kept"))
-    return picks.filter("kept").groupBy("user_id").agg(F.count("*").alias("picks"))
+    n = picks.filter("kept").groupBy("user_id").agg(F.count("*").alias("picks")).orderBy(F.desc("picks"), "user_id").limit(1000)
+    return select.global_place(n, [F.desc("picks"), F.col("user_id")], "place")
 
 
 def similar_to(spark, d):
@@ -159,28 +157,6 @@ def latest_scan(spark, d):
     return scans.filter("last <> 'error'").agg(F.max_by(F.col("day").cast("string"), "completed_at").alias("scan_id"), F.max_by("file_count", "completed_at").alias("file_count"))
 
 
-def near_dup_groups(spark, d):
-    """Star comparison in blocks: the least id of a block is kept, each other row is scored to it."""
-    f = bed.features(spark, d).withColumn("family", F.floor(F.col("sample_id") / 10))
-    keep = f.groupBy("role", "family").agg(F.min_by(F.struct("sample_id", "v"), "sample_id").alias("k"))
-    j = f.join(keep, ["role", "family"]).filter(F.col("sample_id") != F.col("k.sample_id"))
-    w, floors = (0.12, 0.12, 0.16, 0.10, 0.10, 0.10, 0.14, 0.06, 0.05, 0.05), (0.25, 0.8, None, None, None, None, 0.2, None, 1.0, None)
-    idx = (0, 1, 2, 4, 5, 6, 7, 8, 9, 10)
-    gap = lambda i, fl: paths.ratio_distance(F.col("v")[i], F.col("k.v")[i], fl) if fl else F.abs(F.col("v")[i] - F.col("k.v")[i])
-    score = F.lit(1.0) - sum((F.lit(x) * gap(i, fl) for x, i, fl in zip(w[1:], idx[1:], floors[1:], strict=True)), F.lit(w[0]) * gap(idx[0], floors[0]))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
-    return j.select("role", "family", F.col("k.sample_id").alias("keep_id"), "sample_id", F6(score).alias("score")).filter("score >= 0.6")
-
-
-def _near_sql() -> str:
-    w, floors = (0.12, 0.12, 0.16, 0.10, 0.10, 0.10, 0.14, 0.06, 0.05, 0.05), (0.25, 0.8, None, None, None, None, 0.2, None, 1.0, None)
-    idx = (1, 2, 3, 5, 6, 7, 8, 9, 10, 11)
-    term = lambda x, i, fl: f"{x} * abs(f.v[{i}] - k.v[{i}])" + (f" / greatest(abs(f.v[{i}]), abs(k.v[{i}]), {fl})" if fl else "")
-    score = "1.0::DOUBLE - (" + " + ".join(term(*t) for t in zip(w, idx, floors, strict=True)) + ")"
-    return f"""WITH {FEAT}, g AS (SELECT *, (sample_id // 10)::BIGINT AS family FROM feat), k AS (SELECT role, family, min(sample_id) AS keep_id FROM g GROUP BY ALL)
-SELECT * FROM (SELECT f.role, f.family, k2.keep_id, f.sample_id, round(greatest(0.0, least(1.0, {score})), 6) AS score FROM g f JOIN k k2 USING (role, family) JOIN g k ON k.sample_id = k2.keep_id WHERE f.sample_id <> k2.keep_id) WHERE score >= 0.6"""
-
-
 DOMAIN = ("good", "junk", "toxic")
 
 
@@ -212,7 +188,7 @@ def route_counts(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     catalogue_zones, role_classify, instrument_suggest, bpm_tempo, content_identity, exact_dedup_plan, spread_roundrobin, stratified_pick, preferred_picks, similar_to,
-    snapshot_merge, scan_drift, set_registry, cascading_lookup, near_dup_groups, confusion, precision_recall, route_counts, path_keys, token_vocabulary, latest_scan,
+    snapshot_merge, scan_drift, set_registry, cascading_lookup, confusion, precision_recall, route_counts, path_keys, token_vocabulary, latest_scan,
 )}
 
 _SIM = "list_transform(range(1, 17), lambda i: CASE WHEN f.v[i] IS NULL OR t.v[i] IS NULL THEN NULL ELSE pow((f.v[i] - low[i]) / span[i] - (t.v[i] - low[i]) / span[i], 2) END)"
@@ -236,7 +212,7 @@ k AS (SELECT role, bucket, CASE WHEN n <= 25 THEN size ELSE floor(raw) + (nxt <=
 g AS (SELECT b.*, row_number() OVER (PARTITION BY role, bucket, path[8:8] ORDER BY path) AS turn FROM b),
 h AS (SELECT *, row_number() OVER (PARTITION BY role, bucket ORDER BY turn, path) AS place FROM g)
 SELECT sample_id, role, bucket FROM h JOIN k USING (role, bucket) WHERE place <= quota""",
-    "preferred_picks": "WITH p AS (SELECT user_id, ts::DATE AS kit, arg_max(event_type <> 'error', (ts, event_id)) AS kept FROM events GROUP BY ALL) SELECT user_id, count(*) AS picks FROM p WHERE kept GROUP BY user_id",
+    "preferred_picks": "WITH p AS (SELECT user_id, ts::DATE AS kit, arg_max(event_type <> 'error', (ts, event_id)) AS kept FROM events GROUP BY ALL) SELECT user_id, count(*) AS picks, row_number() OVER (ORDER BY count(*) DESC, user_id) AS place FROM p WHERE kept GROUP BY user_id ORDER BY place LIMIT 1000",
     "similar_to": f"""WITH {FEAT}, u AS (SELECT unnest(range(1, 17)) AS i), m AS (SELECT i, min(v[i]) AS lo, max(v[i]) AS hi FROM feat, u GROUP BY i),
 x AS (SELECT list(lo ORDER BY i) AS low, list(CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END ORDER BY i) AS span FROM m),
 s AS (SELECT f.sample_id, f.role, list_filter({_SIM}, lambda g: g IS NOT NULL) AS gaps FROM feat f, (SELECT v FROM feat WHERE sample_id = 7) t, x)
@@ -256,7 +232,6 @@ t AS (SELECT nullif(regexp_extract(s, '^[^_]*_(.*)$', 1), '') AS token FROM s WH
 SELECT token, count(*) AS n FROM t WHERE token IS NOT NULL GROUP BY token HAVING count(*) >= 3""",
     "latest_scan": """WITH s AS (SELECT ts::DATE AS day, max(ts) AS completed_at, arg_max(event_type, (ts, event_id)) AS last, count(*) AS file_count FROM events GROUP BY ALL)
 SELECT arg_max(day::VARCHAR, completed_at) AS scan_id, arg_max(file_count, completed_at) AS file_count FROM s WHERE last <> 'error'""",
-    "near_dup_groups": _near_sql(),
     "confusion": f"WITH {TRUTH} SELECT truth, predicted, count(*) AS n FROM t GROUP BY ALL",
     "precision_recall": f"""WITH {TRUTH}, r AS (SELECT unnest({QUOTED(DOMAIN)}) AS role), s AS (SELECT role, (SELECT count(*) FROM t WHERE truth = role) AS support, (SELECT count(*) FROM t WHERE truth = role AND predicted = role) AS tp, (SELECT count(*) FROM t WHERE predicted = role) AS named FROM r),
 p AS (SELECT role, support, CASE WHEN named > 0 THEN tp / named::DOUBLE ELSE 0.0 END AS p, CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0.0 END AS r FROM s)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cratelake import bed
 from cratelake.bed import LOC
 from cratelake.functions import names, paths
-from cratelake.operators import cluster, ladders, select, tags
+from cratelake.operators import cluster, ladders, plans, select, tags
 from cratelake.operators.vocabulary import QUOTAS, RULES
 from cratelake.queries import INSTRUMENT_SQL, QUOTED, ROLE_CTE, ZONE
 
@@ -98,8 +97,16 @@ def origin_resolve(spark, d):
     return tags.resolve_origins(_flat(spark, d))
 
 
+#: The names that tell nothing of an origin, as they are compared.
+STRUCTURAL = (
+    "samples", "sample", "audio", "wav", "wavs", "aiff", "loops", "one-shots", "oneshots", "hits", "sounds", "files", "loose", "misc", "new", "old", "sorted", "unsorted",
+    "packs", "catalogue", "curated", "presets", "midi", "legacy", "review", "export", "to-delete", "quarantine", "00_inbox", "drum-kits",
+    "kicks", "clap-snare", "hats-cym", "perc", "drum-loops", "bass", "synth-stab-chord", "drone-atmos", "fx-rise-impact", "vocals",
+)
+
+
 def _origin_sql() -> str:
-    s = QUOTED(tags.STRUCTURAL)
+    s = QUOTED(STRUCTURAL)
     alias = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in tags.ALIASES.items())
     of = lambda t: f"coalesce(CASE {t} {alias} END, CASE WHEN {t} <> '' AND NOT list_contains({s}, {t}) THEN replace({_norm(t)}, '_', '-') END)"
     folder = f"list_filter(list_transform(string_split(path, '/')[2:-2], lambda x: {{'o': {of(_norm('x'))}, 't': x}}), lambda f: f.o IS NOT NULL)[1]"
@@ -156,7 +163,7 @@ def search_terms(spark, d):
 
 def evidence_gate(spark, d):
     s = _samples(spark, d).withColumn("issues", F.when(F.col("doc_id") % 9 == 0, "CLAP-SNARE")).withColumn("sample_type", names.sample_type(_p(), F.col("role")))
-    return tags.kick_gate(s).select("doc_id", "gate", "confidence", "reasons")
+    return tags.kick_gate(s).select("doc_id", "gate", "confidence", "reasons", "gate_action")
 
 
 def _gate_sql() -> str:
@@ -165,17 +172,18 @@ def _gate_sql() -> str:
     missing = " OR ".join(f"{n} IS NULL" for n in ("duration_s", "sub_ratio", "low_ratio", "high_ratio", "centroid_hz", "tail_ms", "onset_density", "zcr", "crest"))
     loop = "(contains(lower(path), 'loop') OR contains(lower(path), 'groove') OR regexp_matches(path, '(?i)(^|[^0-9])[0-9]{2,3}\\s*bpm([^0-9]|$)') OR regexp_matches(path, '\\[[0-9]{2,3}\\]'))"
     bright = "(centroid_hz >= 3500.0 AND sub_ratio < 0.45)"
-    s = lambda g, c, r: f"{{'gate': '{g}', 'confidence': '{c}', 'reasons': {r}}}"
+    act = lambda g: {"reject_as_kick": "keep-out-of-kicks", "likely_kick": "audition-as-kick"}.get(g, "")
+    s = lambda g, c, r, a=None: f"{{'gate': '{g}', 'confidence': '{c}', 'reasons': {r}, 'gate_action': '{a or act(g)}'}}"
     rej = lambda r: s("reject_as_kick", "high", r)
     part = lambda test, r: f"CASE WHEN {test} THEN {r} END"
-    return f"""WITH {SAMPLES}, g AS (SELECT doc_id, CASE WHEN role <> 'KICKS' THEN {s("review", "low", "'not-kicks-scope'")} WHEN doc_id % 9 = 0 THEN {rej("'role-conflict:CLAP-SNARE'")}
-  WHEN {missing} THEN {s("review", "low", "'missing-acoustic-features'")}
+    return f"""WITH {SAMPLES}, g AS (SELECT doc_id, CASE WHEN role <> 'KICKS' THEN {s("review", "low", "'not-kicks-scope'", "not-kicks-scope")} WHEN doc_id % 9 = 0 THEN {rej("'role-conflict:CLAP-SNARE'")}
+  WHEN {missing} THEN {s("review", "low", "'missing-acoustic-features'", "decode-or-manual-review")}
   WHEN {loop} OR duration_s >= 3.0 OR onset_density >= 4.0 THEN {rej("concat_ws(';', " + part(loop, "'sample_type:loop'") + ", " + part("duration_s >= 3.0", shown("duration_s")) + ", " + part("onset_density >= 4.0", shown("onset_density")) + ")")}
   WHEN mid_ratio >= 0.35 AND tail_ms <= 250 AND sub_ratio < 0.30 AND centroid_hz >= 1500 THEN {rej(why("tail_ms", "sub_ratio", "mid_ratio", "centroid_hz"))}
   WHEN high_ratio >= 0.45 OR {bright} OR zcr >= 0.18 THEN {rej("concat_ws(';', " + part("high_ratio >= 0.45", shown("high_ratio")) + ", " + part(bright, why("centroid_hz", "sub_ratio")) + ", " + part("zcr >= 0.18", shown("zcr")) + ")")}
   WHEN sub_ratio >= 0.55 AND low_ratio >= 0.55 AND high_ratio <= 0.25 AND duration_s <= 0.9 AND tail_ms <= 450 AND centroid_hz <= 2200 AND coalesce(flatness <= 0.45, true) AND onset_density <= 2 AND crest >= 2 AND zcr <= 0.12
-    THEN {s("likely_kick", "high", why("sub_ratio", "crest", "centroid_hz"))} ELSE {s("review", "medium", "'mixed-evidence'")} END AS r FROM samples)
-SELECT doc_id, r.gate AS gate, r.confidence AS confidence, r.reasons AS reasons FROM g"""
+    THEN {s("likely_kick", "high", why("sub_ratio", "crest", "centroid_hz"))} ELSE {s("review", "medium", "'mixed-evidence'", "ear-check-before-kick")} END AS r FROM samples)
+SELECT doc_id, r.gate AS gate, r.confidence AS confidence, r.reasons AS reasons, r.gate_action AS gate_action FROM g"""
 
 
 def label_violations(spark, d):
@@ -210,7 +218,7 @@ def quota_shortage(spark, d):
 
 def crate_names(spark, d):
     loc = bed.locations(spark, d).select("doc_id", "path", "sample_id", ladders.instrument(_p()).alias("role"))
-    loc = loc.filter(F.col("role").isin(*names.ROLE_CODES)).withColumn("_i", F.row_number().over(Window.partitionBy("role").orderBy("path")))
+    loc = plans.numbered(loc.filter(F.col("role").isin(*names.ROLE_CODES)), ["role"], ["path"], "_i")
     return loc.select("doc_id", "role", names.compact_name(F.col("role"), F.col("_i"), paths.stem(_p()), F.col("sample_id")).alias("name"))
 
 

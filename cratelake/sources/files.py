@@ -59,6 +59,54 @@ def read_features(spark: SparkSession, path: str, required: tuple[str, ...]) ->
     return numbers.na.drop(subset=list(required))
 
 
+def read_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """A feature sheet by the names of its columns: path, centroid_hz, sub_ratio, duration_s; blanks and what isn't a number
+    are null, a sheet without paths is an error."""
+    raw = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).csv(path)
+    if "path" not in raw.columns:
+        raise ValueError("features sheet lacks the column path")
+    number = lambda c: (F.col(c).try_cast("double") if c in raw.columns else F.lit(None).cast("double")).alias(c)
+    return raw.select("path", *[number(c) for c in ("centroid_hz", "sub_ratio", "duration_s")])
+
+
+def read_labels(spark: SparkSession, pattern: str) -> DataFrame:
+    """The label sheets of all roles, with the file of each row."""
+    sheet = spark.read.option("sep", "\t").option("header", True).option("inferSchema", False).csv(pattern)
+    return sheet.select(*[F.trim(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in sheet.columns], F.col("_metadata.file_path").alias("file"))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of one text file, lines numbered from 1 in its order; a manifest is written by hand and read whole."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+
+
+def read_rules(path: str) -> list:
+    """Tag rules of a TOML file: schema version 1, a name and a group each, none twice, comparisons as ``>=0.60``."""
+    import re
+    import tomllib
+
+    from cratelake.operators.tags import Rule
+
+    with open(path, "rb") as f:
+        table = tomllib.load(f)
+    if table.get("schema_version") != 1:
+        raise ValueError(f"unsupported schema version in {path}")
+    rules = {}
+    for raw in table.get("tag", []):
+        key = tuple(str(raw.get(k, "")).strip().lower() for k in ("group", "name"))
+        if not all(key) or key in rules:
+            raise ValueError(f"a tag needs a group and a name of its own: {raw}")
+        tests = []
+        for column, text in dict(raw.get("features") or {}).items():
+            if not (m := re.fullmatch(r"\s*(>=|<=|==|>|<)\s*(-?\d+(?:\.\d+)?)\s*", str(text))):
+                raise ValueError(f"{key[0]}/{key[1]}: can't read the test {column} {text!r}")
+            tests.append((column, m[1], float(m[2])))
+        words = {k: tuple(str(x).lower() for x in raw.get(k) or ()) for k in ("origins", "origin_matches", "name_matches")}
+        rules[key] = Rule(key[1], key[0], roles=tuple(raw.get("roles") or ()), features=tuple(tests), **words)
+    return list(rules.values())
+
+
 PROJECT = T.StructType().add("path", "string").add("tempo", "double").add("tracks", T.ArrayType(T.StringType())).add("scene_count", "integer").add("error", "string")
 
 
@@ -128,6 +176,22 @@ def write_split(df: DataFrame, path: str, by: str) -> None:
     df.repartition(by, F.abs(F.xxhash64("path")) % 8).write.mode("overwrite").partitionBy(by).parquet(path)
 
 
+def write_review(df: DataFrame, path: str) -> None:
+    """The split indexes of a review: by role where the role is sure, by tempo band, and what needs a look."""
+    write_split(df.filter("confidence = 'high'").withColumnRenamed("source", "path"), f"{path}/by-role", "role")
+    write_split(df.withColumnRenamed("source", "path"), f"{path}/by-tempo", "tempo_fit")
+    df.filter("role = '_REVIEW' OR confidence = 'low'").write.mode("overwrite").parquet(f"{path}/review-needed")
+
+
+def write_crates(df: DataFrame, path: str) -> None:
+    """Crate rows, a folder a crate, in the order of their places."""
+    df.repartition("crate").sortWithinPartitions("crate", "place").write.mode("overwrite").partitionBy("crate").option("sep", "\t").option("header", True).csv(path)
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    df.write.mode("append").option("sep", "\t").csv(path)
+
+
 def write_playlist(df: DataFrame, path: str, root: str, seq: str) -> None:
     """One absolute path a line, in the order of a column. Files are written in that order too, so
     reading them by name keeps it."""
