@@ -67,6 +67,12 @@ def with_lang(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", lang.alias("lang"))
 
 
+def _small(t: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table of some words for each language, broadcast if it has no more than ``most`` rows."""
+    t = staged(t, "words")
+    return F.broadcast(t) if t.count() <= most else t
+
+
 def common_words(docs: DataFrame, top: int = 32, min_words: int = 50) -> DataFrame:
     """(lang, word): of each language the words that stand in most of its documents of at least
     ``min_words`` words; of equally frequent ones the first in order."""
@@ -83,7 +89,7 @@ def word_shares(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     t = with_lang(docs).select("lang", _row_key().alias("key"), words(F.lower("text")).alias("w"))
     marked = vocabulary.select("word").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "word string"))
     each = t.select("key", "lang", F.size("w").alias("n_words"), F.explode(F.concat("w", F.array(F.lit("")))).alias("word"))
-    n = each.join(marked, "word").groupBy("key", "word").agg(F.count("*").alias("n"), F.first("lang").alias("lang"), F.first("n_words").alias("n_words"))
+    n = each.join(_small(marked), "word").groupBy("key", "lang", "n_words", "word").agg(F.count("*").alias("n"))
     copies = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("key"))
     return n.select("key", "lang", "n_words", "word", F.when(F.col("word") == "", 0.0).otherwise(F.col("n") / copies / F.greatest("n_words", F.lit(1))).alias("share"))
 
@@ -116,11 +122,11 @@ def word_distances(shares: DataFrame, references: DataFrame) -> DataFrame:
     whole = references.groupBy("lang").agg(F.sum("q").alias("_q"))
     r = references.unionByName(whole.select("lang", F.lit("").alias("word"), F.lit(0.0).alias("q")))
     has = F.col("word") != ""
-    hit = shares.select("key", "word", "share").join(r, "word").groupBy("key", "lang").agg(
+    hit = shares.select("key", "word", "share").join(_small(r), "word").groupBy("key", "lang").agg(
         F.sum(F.when(has, _divergence(F.col("share"), F.col("q")) - F.col("q")).otherwise(0.0)).alias("_d"), F.sum(F.when(has, F.col("share")).otherwise(0.0)).alias("_p")
     )
     rest = _divergence(F.greatest(F.lit(0.0), 1 - F.col("_p")), F.greatest(F.lit(0.0), 1 - F.col("_q")))
-    return hit.join(whole, "lang").select("key", "lang", F.sqrt(F.greatest(F.lit(0.0), (F.col("_d") + F.col("_q") + rest) / 2)).alias("common"))
+    return hit.join(_small(whole), "lang").select("key", "lang", F.sqrt(F.greatest(F.lit(0.0), (F.col("_d") + F.col("_q") + rest) / 2)).alias("common"))
 
 
 def js_distance(p: Column, q: Column) -> Column:
