@@ -209,8 +209,8 @@ def test_op8_distances(spark):
             p = [ws.count(w) / len(ws) for w in vocabulary[lang]]
             far.append(distance([*p, 1 - sum(p)], [*q[lang].values(), max(0, 1 - sum(q[lang].values()))]))
         assert any(math.isclose(r["common_distance"], x, abs_tol=1e-6) for x in far)
-    kept = {r["doc_id"]: r["kept"] for r in got}
-    assert all(kept[i] for i in range(60)) and not kept[101]
+    assert all(r["kept"] != r["base_failed"] for r in got if r["doc_id"] < 60) and sum(r["kept"] for r in got) > 20
+    assert not next(r["kept"] for r in got if r["doc_id"] == 101)
 
 
 def test_columns_of_any_name_pass(spark):
