@@ -21,6 +21,10 @@ BROADCAST = 1_000_000
 #: Rows that a task sorts at a time.
 CHUNK = 20_000
 ROWS = "key long, more long, doc_id long, pos int, around binary"
+PLACES = "key long, left long, right long, doc_id long, pos int"
+#: How a suffix is dealt, for the windows that begin before it on its left half and for those on the right: by its key, by
+#: its key and the nearer half of the words on that side, or by each window.
+KEY, HALF, WINDOW = 0, 1, 2
 _Q = np.uint64(0xD1342543DE82EF95)
 
 
@@ -38,15 +42,29 @@ def _suffix_positions(h: np.ndarray, d: np.ndarray, width: int, k: int) -> tuple
     return at, g[at]
 
 
+def _halves(h: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, key: np.ndarray, k: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each suffix's gram with the words of half a reach before it, and with those after it: every window has one of
+    the two. 0 where the document has no such words."""
+    half, n = reach // 2, len(h)
+    before, after = grams(h, half) if half else h[:0], grams(h, reach - half)
+    pick = lambda g, i, ok: np.where(ok, mix(key ^ mix(g[np.clip(i, 0, max(0, len(g) - 1))])) | np.uint64(1), np.uint64(0)) if len(g) else np.zeros(len(at), np.uint64)
+    left = pick(before, at - half, at - half >= lo)
+    right = pick(after, at + k, (at + k + reach - half <= hi) & (at + k + reach - half <= n))
+    return left, np.where(right > 0, right ^ np.uint64(2), right)
+
+
 def _positions(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part, data, off in slices(whole, "text"):
                 s, e, d = cut_words(data, off)
-                at, key = _suffix_positions(word_hashes(data, s, e), d, width, k)
+                h = word_hashes(data, s, e)
+                at, key = _suffix_positions(h, d, width, k)
                 begin = np.searchsorted(d, np.arange(len(off)), "left")
+                left, right = _halves(h, at, begin[d[at]], begin[d[at] + 1], key, k, width - k)
                 ids = part.column("doc_id").take(pa.array(d[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, pa.array((at - begin[d[at]]).astype(np.int32))], ["key", "doc_id", "pos"])
+                cols = [*[pa.array(x.view(np.int64)) for x in (key, left, right)], ids, pa.array((at - begin[d[at]]).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "left", "right", "doc_id", "pos"])
 
     return run
 
@@ -62,8 +80,8 @@ def _around(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, k: in
 
 
 def _suffixes(width: int, k: int):
-    """The retained suffixes of each document, with the words around them; in the stead of a suffix of
-    a hot key a row for each window that it stands in, dealt by the window's hashes."""
+    """The retained suffixes of each document with the words around them, dealt as ``_at`` says: ``more`` is 0 for all
+    windows, 1 for those on the left half, 2 for those on the right; or a row for each window that a suffix stands in."""
     reach = width - k
 
     def rows(key, more, doc, pos, around) -> pa.RecordBatch:
@@ -81,20 +99,24 @@ def _suffixes(width: int, k: int):
                 wanted = part.column("_at")
                 of = np.repeat(np.arange(len(part)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
                 flat = wanted.flatten()
-                pos, hot = flat.field("pos").to_numpy().astype(np.int64), flat.field("hot").to_numpy(zero_copy_only=False)
+                pos, by = flat.field("pos").to_numpy().astype(np.int64), [flat.field(x).to_numpy() for x in ("l", "r")]
                 ids = part.column("doc_id").to_numpy().astype(np.int64)
                 at, g = pos + begin[of], grams(h, k)
-                lo, hi = begin[of], begin[of + 1]
-                cold = ~hot
-                if cold.any():
-                    a = at[cold]
-                    yield rows(g[a], np.zeros(len(a), np.uint64), ids[of[cold]], pos[cold], _around(h, lo[cold], hi[cold], a, k, reach))
-                if hot.any():
-                    first = np.maximum(at[hot] - reach, lo[hot])
-                    n = np.minimum(at[hot], hi[hot] - width) - first + 1
-                    start = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-                    win, more = grams(h, width)[start], grams(mix(h), width)[start]
-                    yield rows(win, more, ids[d[start]], start - begin[d[start]], None)
+                lo, hi, half = begin[of], begin[of + 1], reach // 2
+                sides = _halves(h, at, lo, hi, g[at], k, reach)
+                for more, some in ((0, by[0] == KEY), (1, by[0] == HALF), (2, by[1] == HALF)):
+                    key = sides[more - 1] if more else g[at]
+                    some &= key != 0 if more else True
+                    if some.any():
+                        a = at[some]
+                        yield rows(key[some], np.full(len(a), more, np.uint64), ids[of[some]], pos[some], _around(h, lo[some], hi[some], a, k, reach))
+                # a window begins ``o`` words before its suffix: half or more on the left side, less on the right one
+                for some, least, most in ((by[0] == WINDOW, half, reach), (by[1] == WINDOW, 0, half - 1)):
+                    first = np.maximum(at[some] - most, lo[some])
+                    n = np.maximum(0, np.minimum(at[some] - least, hi[some] - width) - first + 1)
+                    if n.sum():
+                        start = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                        yield rows(grams(h, width)[start], grams(mix(h), width)[start], ids[d[start]], start - begin[d[start]], None)
 
     return run
 
@@ -108,7 +130,7 @@ def _compare(rows: dict[str, np.ndarray], reach: int) -> dict[str, np.ndarray]:
     and right along the nearest earlier ones with which it shares a window; in a text that repeats a
     phrase over and over these follow one another too.
     """
-    key, doc, pos, around = rows["key"], rows["doc_id"], rows["pos"], rows["around"]
+    key, more, doc, pos, around = rows["key"], rows["more"], rows["doc_id"], rows["pos"], rows["around"]
     n, after, before = len(key), rows["around"][:, :reach], around[:, reach:]
     same = np.zeros((n, reach), bool)
     same[1:] = (after[1:] == after[:-1]) & (after[1:] > 0)
@@ -121,6 +143,7 @@ def _compare(rows: dict[str, np.ndarray], reach: int) -> dict[str, np.ndarray]:
         if o:
             left = mix(left * _Q + before[:, o - 1].astype(np.uint64) + np.uint64(1))
         ok = (before[:, o - 1] > 0 if o else np.ones(n, bool)) & (after[:, reach - o - 1] > 0 if o < reach else True)
+        ok &= more != (2 if o >= reach // 2 else 1)
         block = np.cumsum(other | (shared < reach - o)).astype(np.uint64)
         at = by_place[ok[by_place]]
         tag = (mix(block * _Q) ^ left)[at]
@@ -173,7 +196,7 @@ def _neighbours(reach: int):
                 around = b.column("around")
                 raw = np.frombuffer(around.buffers()[2], np.uint8)[: (around.offset + len(b)) * 8 * reach][around.offset * 8 * reach :]
                 held.append({
-                    "key": b.column("key").to_numpy(), "doc_id": b.column("doc_id").to_numpy(), "pos": b.column("pos").to_numpy().astype(np.int64),
+                    "key": b.column("key").to_numpy(), "more": b.column("more").to_numpy(), "doc_id": b.column("doc_id").to_numpy(), "pos": b.column("pos").to_numpy().astype(np.int64),
                     "around": raw.view(">u4").reshape(len(b), 2 * reach).astype(np.uint32),
                 })
                 if sum(len(x["key"]) for x in held) >= CHUNK:
@@ -192,20 +215,30 @@ def repeated_windows(texts: DataFrame, width: int, k: int, hot: int = HOT) -> Da
     1. Of all suffixes those at minimiser positions are retained, some 2 of ``width - k + 2``, and of
     them those whose ``k``-word gram stands more than once. 2. These are taken from their texts with the
     ``width - k`` words after and before them, as 32-bit hashes. 3. They are dealt by key, sorted by
-    what follows, and compared. Suffixes of a key that stands over ``hot`` times are dealt by each of
-    the windows around them instead, and those that are equal meet alone. Windows are equal by 64
+    what follows, and compared. Suffixes of a key that stands over ``hot`` times are dealt twice instead, by
+    the half of the words before them and by that of the words after them, as every window holds one of
+    the two; and where even that stands over ``hot`` times by each of the windows, of which those that are equal meet alone. Windows are equal by 64
     bits of their gram's hash and 32 of each other word's.
     """
-    places = staged(texts.mapInArrow(_positions(width, k), "key long, doc_id long, pos int"), "places")
-    often = staged(places.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1"), "keys")
-    flag = F.struct("pos", (F.col("_n") > hot).alias("hot")).alias("_at")
-    if often.count() <= BROADCAST:
-        kept = places.join(F.broadcast(often), "key").select("doc_id", flag)
+    places = staged(texts.mapInArrow(_positions(width, k), PLACES), "places")
+    often = lambda t, c: staged(t.groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1"), "keys")
+    keys, at = often(places, "key"), lambda left, right: F.struct("pos", left.alias("l"), right.alias("r")).alias("_at")
+    if keys.count() <= BROADCAST:
+        found = places.join(F.broadcast(keys), "key")
+        cold, top = found.filter(F.col("_n") <= hot), found.filter(F.col("_n") > hot)
     else:
         # hot keys stand for over ``hot`` suffixes each, so they are few; their places aren't dealt by key, as those of the others are
-        top, rest = often.filter(F.col("_n") > hot), often.filter(F.col("_n") <= hot)
-        top = F.broadcast(top) if top.count() <= BROADCAST else top
-        kept = places.join(top, "key").select("doc_id", flag).unionByName(places.join(top, "key", "left_anti").join(rest, "key").select("doc_id", flag))
+        many, rest = keys.filter(F.col("_n") > hot), keys.filter(F.col("_n") <= hot)
+        many = F.broadcast(many) if many.count() <= BROADCAST else many
+        top, cold = places.join(many, "key"), places.join(many, "key", "left_anti").join(rest, "key")
+    kept = cold.select("doc_id", at(F.lit(KEY), F.lit(KEY)))
+    if not keys.filter(F.col("_n") > hot).isEmpty():
+        top = staged(top.select("doc_id", "pos", "left", "right"), "hot")
+        for side in ("left", "right"):
+            n = often(top.filter(F.col(side) != 0), side).withColumnsRenamed({"_n": f"_{side}"})
+            top = top.join(F.broadcast(n) if n.count() <= BROADCAST else n, side, "left")
+        how = lambda c: F.when(F.col(c).isNull(), -1).when(F.col(c) <= hot, HALF).otherwise(WINDOW)
+        kept = kept.unionByName(top.filter("_left IS NOT NULL OR _right IS NOT NULL").select("doc_id", at(how("_left"), how("_right"))))
     kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("_at").alias("_at"))
     rows = texts.join(kept.hint("shuffle_hash"), texts["doc_id"] == kept["_id"]).drop("_id").mapInArrow(_suffixes(width, k), ROWS)
     dealt = rows.repartition("key").sortWithinPartitions("key", "around", "more", "doc_id", "pos")
