@@ -12,33 +12,48 @@ from cratelake.llm.common import staged, words
 CLASSES = (("lower", "[a-z]+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("point", r"[.,;:?'\"()\-]+"), ("symbol", "[!#*$%&|<>@^~=+_/\\\\{}\\[\\]`]+"))
 
 
-def _classes(text: Column) -> Column:
-    """Counts of the character classes, the rest last."""
-    left, counts = text, []
-    for _, kind in CLASSES:
-        fewer = F.regexp_replace(left, kind, "")
-        counts.append(F.length(left) - F.length(fewer))
-        left = fewer
-    return F.array(*counts, F.length(left)).cast("array<long>")
+#: Which of them holds what stands between words.
+SPACES = 1
+
+
+def with_classes(t: DataFrame) -> DataFrame:
+    """Adds the counts of the character classes, the rest last, of ``text``, and n_symbols; a column a class, so that each class is
+    taken out of the text once."""
+    names = ["text", *[f"_without_{name}" for name, _ in CLASSES]]
+    for (_, kind), old, new in zip(CLASSES, names, names[1:], strict=False):
+        t = t.withColumn(new, F.regexp_replace(old, kind, ""))
+    t = t.withColumn("_lengths", F.array(*[F.length(n) for n in names]))
+    counts = F.array(*[F.col("_lengths")[i] - F.col("_lengths")[i + 1] for i in range(len(CLASSES))], F.col("_lengths")[len(CLASSES)])
+    left = names[-2]  # the symbols are what the last class takes, among others
+    t = t.withColumn("classes", counts.cast("array<long>")).withColumn("n_symbols", (F.length(left) - F.length(F.translate(left, "#*$%&|<>", ""))).cast("long"))
+    return t.drop(*names[1:], "_lengths")
 
 
 def with_repeat_words(t: DataFrame, w: str, out: str) -> DataFrame:
     """Adds the number of words inside three-word windows that occur twice or more in the array
     ``w``, the first included: windows sorted by hash and place, those like a neighbour picked out,
-    and the words they cover added up by the gaps between their places."""
-    n = F.size(w)
+    and the words they cover added up by the gaps between their places.
+
+    A text without a repeated window, told by a set of their hashes, needs no sort. The hash's high 40
+    bits and the place in one long sort faster than both in a struct, and serve where the 40 bits tell
+    all of the text's windows apart.
+    """
+    n, low = F.size(w), (1 << 24) - 1
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    high = lambda h: F.shiftright(h, 24)
     t = t.withColumn("_h", F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    # a text without a repeated window, told by a set of their hashes, needs no sort
-    none = F.array().cast("array<struct<h: bigint, i: int>>")
-    keyed = F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    t = t.withColumn("_keyed", F.when(F.size(F.array_distinct("_h")) == F.size("_h"), none).otherwise(keyed))
-    hash_at = lambda i: F.get("_keyed", i)["h"]  # noqa: E731  (of one element; the field of the whole array would be built for each)
-    alike = lambda x, i: (x["h"] == hash_at(i - 1)) | (x["h"] == hash_at(i + 1))
-    t = t.withColumn("_again", F.filter("_keyed", alike))
-    t = t.withColumn("_place", F.sort_array("_again.i"))
+    t = t.withColumn("_kinds", F.size(F.array_distinct("_h")))
+    again = F.col("_kinds") < F.size("_h")
+    t = t.withColumn("_short", again & (n < low) & (F.size(F.array_distinct(F.transform("_h", high))) == F.col("_kinds")))
+    t = t.withColumn("_packed", F.when(F.col("_short"), F.sort_array(F.transform("_h", lambda h, i: h.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))))
+    t = t.withColumn("_keyed", F.when(again & ~F.col("_short"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    packed_at, hash_at = lambda i: high(F.get("_packed", i)), lambda i: F.get("_keyed", i)["h"]  # noqa: E731  (of one element; the field of the whole array would be built for each)
+    packed = F.filter("_packed", lambda x, i: (high(x) == packed_at(i - 1)) | (high(x) == packed_at(i + 1)))
+    keyed = F.filter("_keyed", lambda x, i: (x["h"] == hash_at(i - 1)) | (x["h"] == hash_at(i + 1)))
+    places = F.when(F.col("_short"), F.transform(packed, lambda x: x.bitwiseAND(F.lit(low)).cast("int"))).when(again, F.transform(keyed, lambda x: x["i"]))
+    t = t.withColumn("_place", F.sort_array(F.coalesce(places, F.array().cast("array<int>"))))
     gaps = F.zip_with("_place", F.slice("_place", 2, F.greatest(F.size("_place") - 1, F.lit(0))), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return t.withColumn(out, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")).drop("_h", "_keyed", "_again", "_place")
+    return t.withColumn(out, F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long")).drop("_h", "_kinds", "_short", "_packed", "_keyed", "_place")
 
 
 def _row_key() -> Column:
@@ -51,14 +66,12 @@ def measured(docs: DataFrame) -> DataFrame:
     word_chars, n_symbols, n_dup_lines, n_repeat_words, chars (shares of the character classes).
     Null texts count as empty."""
     t = with_lang(docs).select("doc_id", "lang", _row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    t = with_repeat_words(t.withColumn("w", words(F.col("text"))), "w", "n_repeat_words")
-    text, w = F.col("text"), F.col("w")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    classes = F.transform(_classes(text), lambda x: x / F.greatest(F.length(text), F.lit(1)))
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    t = with_repeat_words(t.withColumn("w", words(F.col("text"))), "w", "n_repeat_words").withColumn("n_words", F.size("w").cast("long")).drop("w")
+    t = with_classes(t).withColumn("_size", F.length("text"))
+    t = t.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""))
     return t.select(
-        "doc_id", "key", "lang", F.size(w).cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), "n_repeat_words", classes.alias("chars"),
+        "doc_id", "key", "lang", "n_words", (F.col("_size") - F.col("classes")[SPACES]).cast("long").alias("word_chars"), "n_symbols",
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", F.transform("classes", lambda x: x / F.greatest(F.col("_size"), F.lit(1))).alias("chars"),
     )
 
 

@@ -235,12 +235,12 @@ def test_fingerprints_estimate_generalised_jaccard(docs):
     assert nxt == {i: (i + 1) % len(TEXTS) for i in range(len(TEXTS))}
 
 
-@pytest.mark.parametrize("n", [1_000, 10_000, 100_000, 1_000_000])
+@pytest.mark.parametrize("n", [1_000, 50_000, 1_000_000])
 def test_fingerprints_of_long_texts(spark, n):
     """Within 3 standard errors of the truth, 1/2, whatever the number of words."""
     text = lambda first: " ".join(f"w{i}" for i in range(first, first + n))
-    r = sampling.signatures(spark.createDataFrame([(1, text(0), text(n // 3))], "doc_id long, a string, b string"), "doc_id", ["a", "b"], samples=128).first()
-    assert abs(np.mean(np.array(r["a"]) == np.array(r["b"])) - 0.5) < 3 * (0.25 / 128) ** 0.5
+    r = sampling.signatures(spark.createDataFrame([(1, text(0), text(n // 3))], "doc_id long, a string, b string"), "doc_id", ["a", "b"]).first()
+    assert abs(np.mean(np.array(r["a"]) == np.array(r["b"])) - 0.5) < 3 * (0.25 / 64) ** 0.5
 
 
 def test_language(spark):
