@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelake.functions import analysis, names, paths
 from cratelake.operators import catalog, ladders
+from cratelake.operators.select import numbered
 from cratelake.staging import staged
 
 # Where plans look and what they pass over.
@@ -17,17 +18,6 @@ LONG_FORM = ("DRUM-LOOP", "BASS-LOOP", "SYNTH-LOOP", "VOCAL-LOOP", "TEXTURE-DRON
 DEVICES = (("digitakt", "", True, 127, None), ("tr8s", "ROLAND/TR-8S/SAMPLE", True, 256, 600.0), ("octatrack", "EIDETIC-CURATED/AUDIO", False, None, None))
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Adds ``out``, the row's number from 1 within its keys, without a task for a key: ranges of (keys,
-    order) are numbered on their own and moved by the sizes of a key's earlier ranges."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
-    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
-    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return cut.withColumn("_place", place).join(before, [*keys, "_range"]).withColumn(out, F.col("_place") + F.col("_before")).drop("_place", "_before", "_range")
-
-
 def _variant(dest: Column, n: Column, sep: str, whole: bool) -> Column:
     """dest, or from 2 on dest with the number before its extension (``whole``: at its end)."""
     number = F.concat(F.lit(sep), n.cast("string"))

@@ -10,6 +10,26 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 
+def _on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b on keys that may be null."""
+    named = b.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond &= a[k].eqNullSafe(named[f"_on_{k}"])
+    return a.join(named, cond, how).drop(*[f"_on_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds ``out``, the row's number from 1 within its keys, without a task for a key: ranges of (keys,
+    order) are numbered on their own and moved by the sizes of a key's earlier ranges."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
+    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    return _on(cut.withColumn("_place", place), before, [*keys, "_range"]).withColumn(out, F.col("_place") + F.col("_before")).drop("_place", "_before", "_range")
+
+
 def round_robin(df: DataFrame, within: list, group: list[str], between: list, scope: list[str], limit: int | None = None) -> DataFrame:
     """Adds ``turn`` and ``place``: in each scope the first of every group, then the second, and so on.
 
@@ -66,10 +86,10 @@ def quota_fill(df: DataFrame, quotas: dict[str, int], group: list[str], most: in
 def stratified(df: DataFrame, value: str, group: Column, scope: list[str], size: int = 25, buckets: int = 5) -> DataFrame:
     """About ``size`` rows of each scope, spread over quantile buckets of ``value``; rows without a
     value are one more bucket; quotas by largest remainders; inside a bucket by round robin."""
-    s = df.withColumn("_group", group).withColumn("_n", F.count("*").over(Window.partitionBy(*scope)))
-    s = s.withColumn("_m", F.count(value).over(Window.partitionBy(*scope)))
-    rank = F.row_number().over(Window.partitionBy(*scope, F.col(value).isNull()).orderBy(value, "path")) - 1
-    s = s.withColumn("_bucket", F.when(F.col(value).isNull(), buckets).otherwise(F.least(F.lit(buckets - 1), F.floor(rank / F.ceil(F.col("_m") / buckets)))))
+    s = df.withColumn("_group", group).withColumn("_none", F.col(value).isNull())
+    counts = df.groupBy(*scope).agg(F.count("*").alias("_n"), F.count(value).alias("_m"))
+    s = numbered(_on(s, counts, scope), [*scope, "_none"], [value, "path"], "_rank")
+    s = s.withColumn("_bucket", F.when(F.col("_none"), buckets).otherwise(F.least(F.lit(buckets - 1), F.floor((F.col("_rank") - 1) / F.ceil(F.col("_m") / buckets)))))
     sizes = s.groupBy(*scope, "_bucket").agg(F.count("*").alias("_size"), F.first("_n").alias("_n"))
     sizes = sizes.withColumn("_raw", F.lit(float(size)) * F.col("_size") / F.col("_n")).withColumn("_floor", F.floor("_raw"))
     sizes = sizes.withColumn("_short", size - F.sum("_floor").over(Window.partitionBy(*scope)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cratelake import bed
 from cratelake.bed import FEAT, LIB, LOC
 from cratelake.functions import analysis, names, paths
-from cratelake.operators import audit, benchmark, catalog, curation, find, ladders, neardupe, plans, report, select, sets, signals, tags
+from cratelake.operators import audit, benchmark, catalog, curation, find, ladders, neardupe, plans, report, sets, signals, tags
 from cratelake.operators.vocabulary import RULES
 from cratelake.queries import ROLE_CTE
 from cratelake.review_queries import HITS, _names_sql, _samples
