@@ -20,7 +20,7 @@ HOT = 20_000
 BROADCAST = 1_000_000
 #: Rows that a task sorts at a time.
 CHUNK = 20_000
-ROWS = "key long, more long, doc_id long, pos int, around binary"
+ROWS = "key long, more long, doc_id long, pos int, around binary, n int, src_doc long, src_start int"
 PLACES = "key long, left long, right long, doc_id long, pos int"
 #: How a suffix is dealt, for the windows that begin before it on its left half and for those on the right: by its key, by
 #: its key and the nearer half of the words on that side, or by each window.
@@ -84,11 +84,27 @@ def _suffixes(width: int, k: int):
     windows, 1 for those on the left half, 2 for those on the right; or a row for each window that a suffix stands in."""
     reach = width - k
 
-    def rows(key, more, doc, pos, around) -> pa.RecordBatch:
+    def rows(key, more, doc, pos, around, n_src=None) -> pa.RecordBatch:
         n = len(key)
         binary = pa.Array.from_buffers(pa.binary(8 * reach), n, [None, pa.py_buffer(around.astype(">u4").tobytes())]).cast(pa.binary()) if around is not None else pa.nulls(n, pa.binary())
         cols = [pa.array(key.view(np.int64)), pa.array(more.view(np.int64)), pa.array(doc, pa.int64()), pa.array(pos.astype(np.int32)), binary]
-        return pa.RecordBatch.from_arrays(cols, ["key", "more", "doc_id", "pos", "around"])
+        cols += [pa.array(x, t) if x is not None else pa.nulls(n, t) for x, t in zip(n_src or (None,) * 3, (pa.int32(), pa.int64(), pa.int32()), strict=True)]
+        return pa.RecordBatch.from_arrays(cols, ["key", "more", "doc_id", "pos", "around", "n", "src_doc", "src_start"])
+
+    def windows(start, h, d, begin, ids) -> Iterator[pa.RecordBatch]:
+        """The windows at these words, those that repeat in one document as runs that are known already."""
+        win, other, doc, place = grams(h, width)[start], grams(mix(h), width)[start], ids[d[start]], start - begin[d[start]]
+        order = np.lexsort((start, win, d[start]))
+        a, b = order[:-1], order[1:]
+        again = (win[a] == win[b]) & (other[a] == other[b]) & (d[start[a]] == d[start[b]])
+        lead, row = a[again], b[again]
+        back = np.argsort(start[row], kind="stable")
+        x = diagonals(doc[row][back], place[row][back], doc[lead][back], place[lead][back])
+        if len(x["doc_id"]):
+            yield rows(mix(x["doc_id"].view(np.uint64)), np.zeros(len(x["doc_id"]), np.uint64), x["doc_id"], x["start"], None, (x["n"].astype(np.int32), x["src_doc"], x["src_start"].astype(np.int32)))
+        first = np.ones(len(start), bool)
+        first[row] = False
+        yield rows(win[first], other[first], doc[first], place[first], None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,12 +127,13 @@ def _suffixes(width: int, k: int):
                         a = at[some]
                         yield rows(key[some], np.full(len(a), more, np.uint64), ids[of[some]], pos[some], _around(h, lo[some], hi[some], a, k, reach))
                 # a window begins ``o`` words before its suffix: half or more on the left side, less on the right one
+                starts = []
                 for some, least, most in ((by[0] == WINDOW, half, reach), (by[1] == WINDOW, 0, half - 1)):
                     first = np.maximum(at[some] - most, lo[some])
                     n = np.maximum(0, np.minimum(at[some] - least, hi[some] - width) - first + 1)
-                    if n.sum():
-                        start = np.unique(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-                        yield rows(grams(h, width)[start], grams(mix(h), width)[start], ids[d[start]], start - begin[d[start]], None)
+                    starts.append(np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+                if len(start := np.unique(np.concatenate(starts))):
+                    yield from windows(start, h, d, begin, ids)
 
     return run
 
@@ -181,10 +198,14 @@ def _neighbours(reach: int):
                 yield _spans(_compare({c: x[:end] for c, x in rows.items()}, reach))
 
         for b in batches:
+            through = pc.is_valid(b.column("n"))
+            if (plain := b.filter(through)).num_rows:
+                yield plain.select(["doc_id", "pos", "n", "src_doc", "src_start"]).rename_columns(["doc_id", "start", "n", "src_doc", "src_start"])
+            b = b.filter(pc.invert(through))
             known = pc.is_valid(b.column("around"))
-            windows, b = b.filter(pc.invert(known)), b.filter(known)
-            if len(windows):
-                k, m, doc, pos = (windows.column(c).to_numpy() for c in ("key", "more", "doc_id", "pos"))
+            alone, b = b.filter(pc.invert(known)), b.filter(known)
+            if len(alone):
+                k, m, doc, pos = (alone.column(c).to_numpy() for c in ("key", "more", "doc_id", "pos"))
                 if last is not None:
                     k, m, doc, pos = (np.concatenate([[x], y]) for x, y in zip(last, (k, m, doc, pos), strict=True))
                 lead = np.arange(len(k)) - 1
