@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,36 +30,40 @@ def _variant(dest: Column, n: Column, sep: str, whole: bool) -> Column:
     return F.when(n > 1, named).otherwise(dest)
 
 
-def unique_names(plan: DataFrame, dest: str, order: str, taken: DataFrame, sep: str = "-", whole: bool = False, passes: int = 10) -> DataFrame:
+def _slots(names_: DataFrame, sep: str, whole: bool) -> DataFrame:
+    """(dest, k), k from 2, of those names (_name) that are variants: whose, and with which number."""
+    sep, number = re.escape(sep), "([1-9][0-9]{0,17})"
+    found = F.col("_name")
+    if not whole:
+        found = F.regexp_replace(found, rf"^(.*[^/]){sep}{number}(\.[^./]*)$", "$1$3\x00$2")
+    bare = "(.*)" if whole else r"((?:.*/)?\.?[^./]*)"
+    found = F.regexp_replace(found, f"^{bare}{sep}{number}$", "$1\x00$2")
+    cut = names_.select(F.split(found, "\x00").alias("_s")).filter(F.size("_s") == 2)
+    return cut.select(F.get("_s", F.lit(0)).alias("dest"), F.get("_s", F.lit(1)).cast("long").alias("k")).filter("k > 1")
+
+
+def unique_names(plan: DataFrame, dest: str, order: str, taken: DataFrame, sep: str = "-", whole: bool = False) -> DataFrame:
     """The plan with destinations that no other row and no row of ``taken`` (path) has.
 
-    The rows of one destination get it, and then its variants from 2 on, in order, passing over those
-    that are taken. Where a variant is the natural name of another row, the first in order has
-    it and the other goes on to the next number; most plans settle in a pass or two.
+    The rows of one destination get it, and then its variants from 2 on, in order. A number is passed over if its
+    name is taken or is the destination of other rows, which are asked first. A name is the variant of
+    one destination only, so no two rows can meet and one pass is enough.
+
+    Free numbers come from an order, not from a list of all numbers: the j-th number that is gone, d, has d - j free
+    ones before it, and sorting the n-th row after all those with d - j < n makes its place its
+    number. Rows of one destination may be any share of the plan.
     """
-    plan = staged(plan, "plan")
-    left, out = numbered(plan.join(plan.groupBy(dest).agg(F.count("*").alias("_t")), dest), [dest], [order], "_rank"), None
-    used = taken.select(F.col("path").alias("_used")).distinct()
-    for i in range(passes):
-        # numbers of a destination that are taken: found by looking up its own variants' names, each pass farther
-        most = left.groupBy(dest).agg(F.max("_t").alias("_m"))
-        reach = most.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m") if i == 0 else (F.col("_m") + 5) * 2**i))).withColumn("_used", _variant(F.col(dest), F.col("_k"), sep, whole))
-        hits = reach.join(used, "_used", "left_semi").groupBy(dest).agg(F.sort_array(F.collect_set("_k")).alias("_gone"))
-        # each taken number moves the later ranks on by one
-        moved = F.aggregate(F.coalesce("_gone", F.array().cast("array<bigint>")), F.col("_rank"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
-        tried = left.join(hits, dest, "left").withColumn("_n", moved).drop("_gone").withColumn("_to", _variant(F.col(dest), F.col("_n"), sep, whole))
-        tried = tried.join(used.withColumn("_hit", F.lit(True)), F.col("_to") == F.col("_used"), "left").drop("_used")
-        first = tried.groupBy("_to").agg(F.min(F.struct(F.col("_n") != 1, order, F.col(dest).alias("_d"))).alias("_first"))
-        tried = tried.join(first, "_to").withColumn("_ok", F.col("_hit").isNull() & (F.col("_first._d") == F.col(dest)) & (F.col(f"_first.{order}") == F.col(order))).drop("_hit", "_first")
-        tried = staged(tried, "names")
-        settled = tried.filter("_ok").select(*[F.col("_to").alias(dest) if c == dest else F.col(c) for c in plan.columns])
-        out = settled if out is None else out.unionByName(settled)
-        rest = tried.filter("NOT _ok")
-        if rest.isEmpty():
-            return out
-        used = used.unionByName(settled.select(F.col(dest).alias("_used"))).distinct()
-        left = numbered(rest.select(*plan.columns, "_t"), [dest], [order], "_rank")
-    raise ValueError(f"names still clash after {passes} passes")
+    rows = staged(numbered(plan, [dest], [order], "_n"), "ranks")
+    used = taken.select(F.col("path").alias("_name")).filter("_name IS NOT NULL").distinct()
+    wanted = rows.select(F.col(dest).alias("_name")).distinct()
+    gone = _slots(used.unionByName(wanted), sep, whole).unionByName(used.select(F.col("_name").alias("dest"), F.lit(1).cast("long").alias("k"))).distinct()
+    gone = staged(gone.join(wanted.withColumnRenamed("_name", "dest"), "dest", "left_semi").select(F.col("dest").alias(dest), "k"), "gone")
+    shared = gone.select(dest).distinct()
+    late = numbered(gone, [dest], ["k"], "_j").select(dest, (F.col("k") - F.col("_j")).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_n"))
+    early = rows.join(shared, dest, "left_semi").select(dest, F.col("_n").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.col("_n").cast("long").alias("_n"))
+    placed = numbered(early.unionByName(late), [dest], ["_at", "_kind"], "_k").filter("_kind = 0").select(dest, "_n", "_k")
+    number = F.coalesce("_k", "_n").cast("long")
+    return rows.join(placed, [dest, "_n"], "left").select(*[_variant(F.col(dest), number, sep, whole).alias(c) if c == dest else F.col(c) for c in plan.columns])
 
 
 def in_scope(path: Column, skip: tuple[str, ...]) -> Column:
@@ -155,17 +161,52 @@ def _glob(pattern: Column) -> Column:
     return F.concat(F.lit("^"), out, F.lit("$"))
 
 
+#: Characters of the literal by which a glob without a folder of its own meets paths.
+GRAM = 4
+#: Into how many parts files are dealt for globs without any literal.
+WILD = 16
+
+
+def _glob_keys(globs: DataFrame) -> DataFrame:
+    """Adds kind, key and size, by which a glob meets paths: ``dir``, the whole folders before its first wildcard;
+    ``gram``, the first characters of its longest literal; ``wild``, nothing."""
+    folder = F.regexp_extract("pattern", r"^([^*?\[]*)/", 1)
+    runs = F.split(F.regexp_replace("pattern", r"\[[^\]]*\]|[*?]+/?", "\x00"), "\x00")
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    gram = F.substr(longest, F.lit(1), F.lit(GRAM))
+    kind = F.when(folder != "", "dir").when(longest != "", "gram").otherwise("wild")
+    return globs.withColumn("kind", kind).withColumn("key", F.when(folder != "", folder).otherwise(gram)).withColumn("size", F.length("key"))
+
+
+def _fit_globs(globs: DataFrame, audio: DataFrame) -> DataFrame:
+    """(line, pattern, rename, path) of files that fit a glob. Each glob has one key, each file each of its
+    keys once, so that equality finds all pairs that the regular expression then decides, and none
+    twice. Globs of wildcards only fit paths at large: they are dealt to every part of the files."""
+    keyed = staged(_glob_keys(globs.withColumn("_re", _glob(F.col("pattern")))), "globs")
+    sizes = [r["size"] for r in keyed.filter("kind = 'gram'").select("size").distinct().collect()]  # at most GRAM
+    folders = catalog.ancestors(audio.filter(F.contains("path", F.lit("/"))), "path", "key").withColumn("kind", F.lit("dir"))
+
+    def cuts(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("path") - (n - 1), F.lit(1))), lambda i: F.substr("path", i, F.lit(n)))
+
+    grams = audio.select("path", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *map(cuts, sizes)))).alias("key"), F.lit("gram").alias("kind"))
+    met = folders.unionByName(grams).join(keyed.filter("kind <> 'wild'"), ["kind", "key"])
+    parts = F.explode(F.sequence(F.lit(0), F.lit(WILD - 1))).alias("_part")
+    wild = keyed.filter("kind = 'wild'").select("line", "pattern", "rename", "_re", parts)
+    all_of = audio.withColumn("_part", F.pmod(F.xxhash64("path"), F.lit(WILD)).cast("int")).join(wild, "_part")
+    cols = ["line", "pattern", "rename", "path", "_re"]
+    return met.select(*cols).unionByName(all_of.select(*cols)).filter(F.expr("rlike(path, _re)")).drop("_re")
+
+
 def match_patterns(patterns: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(line, pattern, rename, path) of audio files that are, lie below, or fit a pattern; and the patterns
-    that match nothing. Names and folders meet on equality with a file's ancestors; globs, a hand-written list, are
-    tried against every file."""
+    that match nothing. Names and folders meet on equality with a file's ancestors, globs by a
+    literal part of theirs."""
     audio = files.select("path").filter(analysis.suffix(F.col("path")).isin(*analysis.AUDIO_EXTS)).distinct()
     glob = F.col("pattern").rlike(r"[*?\[]")
     under = catalog.ancestors(audio.filter(F.contains("path", F.lit("/"))), "path", "pattern").unionByName(audio.withColumn("pattern", F.col("path")))
     plain = patterns.filter(~glob).withColumn("pattern", F.rtrim(F.col("pattern"), F.lit("/"))).join(under, "pattern")
-    globs = F.broadcast(patterns.filter(glob).withColumn("_re", _glob(F.col("pattern"))))
-    fitting = audio.join(globs, F.expr("rlike(path, _re)")).drop("_re")
-    found = plain.select("line", "pattern", "rename", "path").unionByName(fitting.select("line", "pattern", "rename", "path"))
+    found = plain.select("line", "pattern", "rename", "path").unionByName(_fit_globs(patterns.filter(glob), audio))
     return found, patterns.join(found.select("line").distinct(), "line", "left_anti")
 
 

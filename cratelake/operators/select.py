@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cratelake.staging import staged
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
@@ -19,38 +21,44 @@ def _on(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Data
     return a.join(named, cond, how).drop(*[f"_on_{k}" for k in keys])
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """Adds ``out``, the row's number from 1 within its keys, without a task for a key: ranges of (keys,
-    order) are numbered on their own and moved by the sizes of a key's earlier ranges."""
+def numbered(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """Adds ``out``, the row's number from 1 within its keys (without keys: in the whole table), without a task for a key.
+
+    Rows are dealt into ranges of (keys, order), numbered inside their range and moved by what their key has in
+    earlier ranges. The ranges are written before they are counted: a second evaluation would draw its
+    bounds anew. A range has at most one key that began before it, so that the table of moves
+    holds a row a range at most, whatever the keys are.
+
+    Keys may be null; rows that tie in the order get numbers of their own, in any order.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id())
+    cut = staged(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    one = [F.col(k) for k in keys] or [F.lit(0)]
     sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).drop("_n")
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*one).orderBy("_range")) - F.col("_n"))
+    moved = before.filter("_before > 0").select(*keys, "_range", "_before")
     place = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    return _on(cut.withColumn("_place", place), before, [*keys, "_range"]).withColumn(out, F.col("_place") + F.col("_before")).drop("_place", "_before", "_range")
+    both = _on(cut.withColumn("_place", place), F.broadcast(moved), [*keys, "_range"], "left")
+    return both.withColumn(out, F.col("_place") + F.coalesce("_before", F.lit(0))).drop("_place", "_before", "_range")
 
 
 def round_robin(df: DataFrame, within: list, group: list[str], between: list, scope: list[str], limit: int | None = None) -> DataFrame:
     """Adds ``turn`` and ``place``: in each scope the first of every group, then the second, and so on.
 
-    A group's rows are numbered in the order ``within``; rows of one turn follow ``between``. With a
-    limit, rows of later turns than it can't be chosen and go before the scope's own window.
+    A group's rows are numbered in the order ``within``; rows of one turn follow ``between``. With a limit, rows
+    of later turns than it can't be chosen and go before they are shuffled. Without one, turns and
+    places are numbered by ranges, so that neither a group nor a scope is one task.
     """
-    out = df.withColumn("turn", F.row_number().over(Window.partitionBy(*scope, *group).orderBy(*within)))
-    if limit is not None:
-        out = out.filter(F.col("turn") <= limit)
-    out = out.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy("turn", *between)))
-    return out if limit is None else out.filter(F.col("place") <= limit)
+    if limit is None:
+        turns = numbered(df, [*scope, *group], within, "turn")
+        return numbered(turns, scope, ["turn", *between], "place")
+    turns = df.withColumn("turn", F.row_number().over(Window.partitionBy(*scope, *group).orderBy(*within))).filter(F.col("turn") <= limit)
+    return turns.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy("turn", *between))).filter(F.col("place") <= limit)
 
 
 def global_place(df: DataFrame, order: list, out: str) -> DataFrame:
-    """Adds ``out``, the row's number from 1 in an order over all rows: sorted ranges are numbered on their own and
-    moved by the sizes of those before."""
-    cut = df.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id())
-    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
-    inside = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))  # the row's number in its partition
-    return cut.join(F.broadcast(before), "_range").withColumn(out, F.col("_before") + inside + 1).drop("_range", "_seq", "_before")
+    """Adds ``out``, the row's number from 1 in an order over all rows."""
+    return numbered(df, [], order, out)
 
 
 def first_seen(df: DataFrame, order: list[str], group: list[str], scope: list[str], limit: int) -> DataFrame:
