@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cratelake.llm import debruijn, fixity, language, mixing, packing, quality_model, quality_rules, sampling, simhash, suffixes, urls, whitening
+from cratelake.llm import collocations, debruijn, fixity, language, mixing, packing, quality_model, quality_rules, sampling, simhash, suffixes, urls, whitening
 
 QUERIES = {
     "op1_fingerprints": sampling.op1_fingerprints,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_rules": quality_rules.op8_rules,
     "op9_quality": quality_model.op9_quality,
     "op10_fixity": fixity.op10_fixity,
+    "op11_collocations": collocations.op11_collocations,
     "op12_whitening": whitening.op12_whitening,
     "op13_urls": urls.op13_urls,
 }
