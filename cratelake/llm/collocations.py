@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cratelake.llm.common import numbered, staged
+from cratelake.llm.common import discard, staged
 
-#: Characters of text that are counted together, in one chunk; a longer text is a chunk of its own.
+#: Characters of text of a language that are counted together, in one chunk; a longer text is in one chunk, whole.
 CHUNK = 4_000_000
-#: Languages up to which the table of their sizes is broadcast.
-LANGUAGES = 100_000
 #: Ids on each side of a tile, as a power of two; a tile is counted densely where at least one in so many cells is met.
 TILE, DENSE = 9, 16
 
@@ -34,12 +35,9 @@ def _coded(lang: str, chunk: int, keys: list[pa.Array], counts: np.ndarray, code
     return pa.table(cols, ["lang", "chunk", *names, "counts", "codes"])
 
 
-def _read(key: tuple[pa.Scalar, ...], chunk: pa.Table) -> pa.Table:
+def _words(lang: str, chunk: int, texts: list[str]) -> pa.Table:
     """Words of the texts of a chunk, and the places of each; a place between pieces or texts has none."""
-    texts = chunk.column("text").cast(pa.large_string()).combine_chunks()
-    texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
-    joined = "\n".join(texts.to_pylist()).encode()
-    data = _LOWER[np.frombuffer(joined, np.uint8)]
+    data = _LOWER[np.frombuffer("\n".join(texts).encode(), np.uint8)]
     kind = _KIND[data]
     inside = np.concatenate([[False], kind == 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
@@ -50,7 +48,29 @@ def _read(key: tuple[pa.Scalar, ...], chunk: pa.Table) -> pa.Table:
     own = met.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
     gaps = np.flatnonzero(np.diff(piece)) + 1
-    return _coded(key[0].as_py(), key[1].as_py(), [met.dictionary.cast(pa.string())], np.bincount(own, minlength=len(met.dictionary)), np.insert(own, gaps, -1), ["words"])
+    return _coded(lang, chunk, [met.dictionary.cast(pa.string())], np.bincount(own, minlength=len(met.dictionary)), np.insert(own, gaps, -1), ["words"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of the texts (lang, text) of a partition, numbered so that no two of the table are alike."""
+    chunk, held, sizes = TaskContext.get().partitionId() << 32, {}, {}
+
+    def emit(langs: list[str]) -> Iterator[pa.RecordBatch]:
+        nonlocal chunk
+        for lang in langs:
+            yield from _words(lang, chunk, held.pop(lang)).to_batches()
+            sizes.pop(lang)
+            chunk += 1
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held.setdefault(lang, []).append(text)
+            sizes[lang] = sizes.get(lang, 0) + len(text)
+            if sizes[lang] >= CHUNK:
+                yield from emit([lang])
+        if sum(sizes.values()) >= 2 * CHUNK:
+            yield from emit(list(held))
+    yield from emit(list(held))
 
 
 def tiles(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,21 +118,24 @@ def _pairs(key: tuple[pa.Scalar, ...], coded: pa.Table, ids: pa.Table) -> pa.Tab
     return _coded(key[0].as_py(), key[1].as_py(), [pa.array(u, pa.int32()), pa.array(v, pa.int32())], counts, out, ["us", "vs"])
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(lang, chunk, text): texts that aren't empty, dealt by a hash into chunks of some CHUNK characters of one language."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    sizes = staged(rows.groupBy("lang").agg(F.ceil(F.sum(F.length("text").cast("long")) / CHUNK).alias("_n")), "sizes")
-    sizes = F.broadcast(sizes) if sizes.count() <= LANGUAGES else sizes
-    salt = F.xxhash64("text", F.monotonically_increasing_id())  # copies of a text may be many
-    return rows.withColumn("_salt", salt).join(sizes, "lang").select("lang", F.pmod("_salt", "_n").cast("long").alias("chunk"), "text")
-
-
 def _ranked(met: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(lang, keys, f, id): what was met ``least`` times or more in a language; ids from 0, the most frequent first."""
-    totals = met.groupBy("lang", *keys).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    no = staged(numbered(totals, [F.col("lang"), F.desc("f"), *map(F.col, keys)], "_no"), "ranks")
-    first = no.groupBy("lang").agg(F.min("_no").alias("_first"))
-    return no.join(first, "lang").select("lang", *keys, "f", (F.col("_no") - F.col("_first")).cast("int").alias("id"))
+    """(lang, chunk, at, keys, f, id) of all that was met ``least`` times or more in its language, id its rank, the most
+    frequent of a language first.
+
+    A key has a row a chunk at most, so that the window over a key is small. Ranks are numbers inside of ranges of
+    the order, which are moved by what earlier ranges hold: a number a range comes to the driver.
+    """
+    total = F.sum("n").over(Window.partitionBy("lang", *keys))
+    often = staged(met.withColumn("f", total).filter(F.col("f") >= least).select("lang", "chunk", "at", *keys, "f"), "often")
+    order = [F.col("lang"), F.desc("f"), *map(F.col, keys)]
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = often.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+    cut = staged(cut.withColumn("_place", F.dense_rank().over(Window.partitionBy("_range").orderBy(*order))), "ranks")
+    discard(often)
+    ends = {r["_range"]: r["n"] for r in cut.groupBy("_range").agg(F.max("_place").alias("n")).collect()}
+    before = list(itertools.accumulate([ends.get(i, 0) for i in range(max([parts, *ends]))], initial=0))
+    place = F.get(F.array(*[F.lit(n - 1).cast("long") for n in before]), F.col("_range")) + F.col("_place")
+    return cut.select("lang", "chunk", "at", *keys, "f", place.cast("int").alias("id"))
 
 
 def _exploded(coded: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -128,11 +151,13 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
     lefts and rights are the frequencies of its first and its last 1, 2, .. words; inside is the highest frequency of a
     frequent phrase that is one word longer and holds it, if any.
     """
-    coded = staged(chunked(docs).groupBy("lang", "chunk").applyInArrow(_read, CODED.format(keys="words array<string>")), "words")
-    met, keys = _exploded(coded, {"words": "word"}), ["word"]
-    words, levels = met.groupBy("lang").agg(F.sum("n").alias("n")), []
+    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
+    coded = staged(rows.mapInArrow(_read, CODED.format(keys="words array<string>")), "words")
+    met, keys, levels = _exploded(coded, {"words": "word"}), ["word"], []
+    words = staged(met.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     for size in range(1, longest + 1):
-        ranks = staged(_ranked(met, keys, least), "frequent")
+        ids = _ranked(met, keys, least)
+        ranks = ids.select("lang", *keys, "f", "id").distinct()
         if size == 1:
             rows = ranks.select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("tail"), F.array("f").alias("lefts"), F.array("f").alias("rights"))
         else:
@@ -142,10 +167,13 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
             rows = rows.select("lang", "id", "f", "u", "v", F.concat_ws(" ", "_head", "tail").alias("phrase"), "tail", F.concat("_lefts", F.array("f")).alias("lefts"), F.concat("_rights", F.array("f")).alias("rights"))
         levels.append(staged(rows, "phrases"))
         if size < longest:
-            ids = met.join(ranks.select("lang", *keys, "id"), ["lang", *keys]).select(F.col("lang").alias("_lang"), F.col("chunk").alias("_chunk"), "at", "id")
-            both = coded.select("lang", "chunk", "codes").groupBy("lang", "chunk").cogroup(ids.groupBy("_lang", "_chunk"))
-            coded = staged(both.applyInArrow(_pairs, CODED.format(keys="us array<int>, vs array<int>")), "pairs")
-            met, keys = _exploded(coded, {"us": "u", "vs": "v"}), ["u", "v"]
+            at = ids.select(F.col("lang").alias("_lang"), F.col("chunk").alias("_chunk"), "at", "id")
+            both = coded.select("lang", "chunk", "codes").groupBy("lang", "chunk").cogroup(at.groupBy("_lang", "_chunk"))
+            pairs = staged(both.applyInArrow(_pairs, CODED.format(keys="us array<int>, vs array<int>")), "pairs")
+            discard(coded)
+            coded, met, keys = pairs, _exploded(pairs, {"us": "u", "vs": "v"}), ["u", "v"]
+        discard(ids)
+    discard(coded)
     out = None
     for size in range(2, longest + 1):
         rows = levels[size - 1].select("lang", F.lit(size).alias("size"), "id", "phrase", F.col("f").alias("a"), "lefts", "rights")

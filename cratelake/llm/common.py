@@ -55,3 +55,11 @@ def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     before = sizes.select("_range", (F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
     return cut.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(out, F.col("_place") + F.col("_before")).drop("_range", "_place", "_before")
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a staged table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
