@@ -130,9 +130,11 @@ def family(path: Column) -> Column:
     return F.array_join(F.slice(F.filter(F.split(F.substring_index(paths.stem(path), "_", 1), "-"), lambda w: w != ""), 1, 3), "-")
 
 
-def compact_name(role: Column, index: Column, desc: Column, sample_id: Column) -> Column:
-    """``BD01_word_ab12.wav``; null where the role has no code."""
+def compact_name(role: Column, index: Column, desc: Column, sample_id: Column, must: bool = False) -> Column:
+    """``BD01_word_ab12.wav``; null where the role has no code, with ``must`` an error."""
     code = F.create_map(*[F.lit(x) for kv in ROLE_CODES.items() for x in kv])[role]
+    if must:
+        code = F.coalesce(code, F.raise_error(F.concat(F.lit("unknown role "), F.coalesce(role, F.lit("null")))).cast("string"))
     return F.concat(code, F.when(index < 10, F.lpad(index.cast("string"), 2, "0")).otherwise(index.cast("string")), F.lit("_"), F.substring(paths.normalise_token(desc), 1, 8), F.lit("_"), F.substring(sample_id, 1, 4), F.lit(".wav"))
 
 

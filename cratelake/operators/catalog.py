@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cratelake.operators import gates
+from cratelake.operators.select import first_per_key
+
 
 def snapshot_merge(state: DataFrame, scan: DataFrame) -> DataFrame:
     """Locations after a scan (path, version): seen paths exist with the scan's version, unseen ones
@@ -20,7 +23,8 @@ def drift(previous: DataFrame, current: DataFrame, key: str) -> DataFrame:
 
 
 def upsert(state: DataFrame, incoming: DataFrame, keys: list[str], order: list) -> DataFrame:
-    newest = incoming.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    """The state with the incoming rows in place of those of their keys; of rows with one key the first in order."""
+    newest = first_per_key(incoming, keys, order)
     return newest.unionByName(state.join(newest.select(*keys), keys, "left_anti"))
 
 
@@ -92,8 +96,7 @@ def lookup(df: DataFrame, column: str, value: str) -> DataFrame:
     """The rows of one path or id; reading the result fails if there is none."""
     hits = df.filter(F.col(column) == value)
     none = df.agg(F.count_if(F.col(column) == value).alias("_n")).filter(F.col("_n") == 0)
-    fail = none.select(*[F.raise_error(F.lit(f"no {column} {value!r}")).cast(t).alias(c) for c, t in df.dtypes])
-    return hits.unionByName(fail)
+    return gates.strict(hits, none.select(F.lit(f"no {column} {value!r}").alias("violation")))
 
 
 def identified(manifest: DataFrame, locations: DataFrame, scan_id: str) -> DataFrame:

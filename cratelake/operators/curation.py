@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cratelake.functions import analysis, paths
-from cratelake.operators import tags
+from cratelake.operators import gates, tags
 from cratelake.operators.vocabulary import QUOTAS
 
 ONE_SHOTS = tuple(r for r in QUOTAS if r not in ("DRUM-LOOP", "BASS-LOOP", "SYNTH-LOOP", "VOCAL-LOOP", "TEXTURE-DRONE"))
@@ -44,14 +44,16 @@ def collisions(plan: DataFrame, files: DataFrame) -> DataFrame:
     return hit.select(F.col("row").cast("long").alias("row"), F.lit("curated destination exists").alias("violation"))
 
 
-def promote(labels: DataFrame, packet: DataFrame, latest: DataFrame, locations: DataFrame, current: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The promotions of a label sheet, and everything that stands in their way: nothing is promoted unless that is empty."""
+def promote(labels: DataFrame, packet: DataFrame, latest: DataFrame, locations: DataFrame, current: DataFrame, must: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The promotions of a label sheet, and everything that stands in their way: nothing is promoted unless that is empty;
+    with ``must`` the promotions can't be read then."""
     plan = promotions(labels, locations)
     rules = tags.label_violations(labels, tuple(QUOTAS)).select(F.col("row").cast("long").alias("row"), "violation")
-    return plan, freshness(packet, latest).unionByName(rules).unionByName(stale(labels, locations, current)).unionByName(collisions(plan, current))
+    faults = freshness(packet, latest).unionByName(rules).unionByName(stale(labels, locations, current)).unionByName(collisions(plan, current))
+    return gates.strict(plan, faults) if must else plan, faults
 
 
-def consumer_views(labels: DataFrame, promoted: DataFrame, quotas: dict[str, int] = QUOTAS) -> tuple[DataFrame, DataFrame]:
+def consumer_views(labels: DataFrame, promoted: DataFrame, quotas: dict[str, int] = QUOTAS, must: bool = False) -> tuple[DataFrame, DataFrame]:
     """Crate rows (crate, sample_id, source_path, role, descriptor, reason) of the favourites, all and the one-shots; and
     violations: roles short of their quota, favourites that aren't promoted (sample_id, curated_path)."""
     f = labels.filter("decision = 'favourite'")
@@ -63,7 +65,8 @@ def consumer_views(labels: DataFrame, promoted: DataFrame, quotas: dict[str, int
     short = F.broadcast(need).join(have, "role", "left").filter(F.coalesce("n", F.lit(0)) < F.col("quota"))
     short = short.select(F.lit(None).cast("long").alias("row"), F.concat(F.lit("quota shortage: "), F.col("role"), F.lit(" "), F.coalesce("n", F.lit(0)).cast("string")).alias("violation"))
     bare = rows.filter("source_path IS NULL").select(F.col("row").cast("long").alias("row"), F.lit("favourite has not been promoted").alias("violation"))
-    return crate.filter("crate IS NOT NULL"), short.unionByName(bare)
+    crate, faults = crate.filter("crate IS NOT NULL"), short.unionByName(bare)
+    return gates.strict(crate, faults) if must else crate, faults
 
 
 def undo(plan: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelake.functions import analysis, names, paths
-from cratelake.operators import catalog, ladders
+from cratelake.operators import catalog, gates, ladders
 from cratelake.operators.select import numbered
 from cratelake.staging import staged
 
@@ -234,11 +234,12 @@ def bind_devices(bindings: DataFrame, specs: DataFrame) -> DataFrame:
     return bindings.filter(F.coalesce("enabled", F.lit(True))).join(F.broadcast(specs), "device")
 
 
-def crate_plan(crate: DataFrame, name: str, locations: DataFrame, specs: DataFrame, device: str) -> tuple[DataFrame, DataFrame]:
+def crate_plan(crate: DataFrame, name: str, locations: DataFrame, specs: DataFrame, device: str, must: bool = False) -> tuple[DataFrame, DataFrame]:
     """(row, source_path, out_name, out_path, keep_stereo) of a crate (row, sample_id, source_path, role, descriptor,
     reason) for a device, and its faults (row, violation; row null for the whole crate).
 
-    Names number the rows of a role in the crate's order; ``locations`` is (path, sample_id, duration).
+    Names number the rows of a role in the crate's order; ``locations`` is (path, sample_id, duration). With ``must`` the
+    plan can't be read if there is a fault.
     """
     spec = specs.filter(F.col("device") == device)
     c = numbered(crate, ["role"], ["row"], "_i").withColumn("out_name", names.compact_name(F.col("role"), F.col("_i"), F.col("descriptor"), F.col("sample_id")))
@@ -259,7 +260,8 @@ def crate_plan(crate: DataFrame, name: str, locations: DataFrame, specs: DataFra
     crate_name = paths.normalise_token(F.lit(name))
     layout = F.when(F.col("device") == "tr8s", F.concat_ws("/", "folder", crate_name, "out_name")).otherwise(F.concat_ws("/", F.nullif("folder", F.lit("")), crate_name, "role", "out_name"))
     plan = c.select("row", "source_path", "out_name", layout.alias("out_path"), ((F.col("device") == "tr8s") & F.contains(F.coalesce("reason", F.lit("")), F.lit("stereo-essential"))).alias("keep_stereo"))
-    return plan, rows.select(F.col("row").cast("long").alias("row"), "violation").unionByName(whole)
+    faults = rows.select(F.col("row").cast("long").alias("row"), "violation").unionByName(whole)
+    return gates.strict(plan, faults) if must else plan, faults
 
 
 def crate_totals(crate: DataFrame, durations: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from cratelake.staging import staged
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Of the rows of each key the first in order. Spark keeps one row a key and task before it shuffles (its group limit), so
+    that a key may hold any share of the rows."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
 
 

@@ -114,14 +114,16 @@ def apply_rules(samples: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def rule_coverage(samples: DataFrame, rules: list[Rule], examples: int = 3) -> DataFrame:
-    """tag_group, tag, n and the first paths of each rule; rules that never fire have 0."""
+    """tag_group, tag, n, share of all samples and the first paths of each rule; rules that never fire have 0."""
     hits = apply_rules(samples, rules)
     n = hits.groupBy("tag_group", "tag").agg(F.count("*").alias("n"))
     first = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("tag_group", "tag").orderBy("path"))).filter(F.col("_rn") <= examples)
     first = first.groupBy("tag_group", "tag").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "path"))), lambda s: s["path"]), ";").alias("examples"))
     names = samples.sparkSession.createDataFrame([(r.group, r.name) for r in rules], "tag_group string, tag string")
-    out = F.broadcast(names).join(n.join(first, ["tag_group", "tag"]), ["tag_group", "tag"], "left")
-    return out.select("tag_group", "tag", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("examples", F.lit("")).alias("examples"))
+    total = samples.agg(F.count("*").alias("_total"))
+    out = F.broadcast(names).join(n.join(first, ["tag_group", "tag"]), ["tag_group", "tag"], "left").join(F.broadcast(total))
+    n = F.coalesce("n", F.lit(0))
+    return out.select("tag_group", "tag", n.alias("n"), F.coalesce(F.try_divide(n, F.col("_total")), F.lit(0.0)).alias("share"), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def search(index: DataFrame, terms: tuple[str, ...] = (), groups: dict[str, tuple[str, ...]] | None = None, any_: bool = False, curated_only: bool = False) -> DataFrame:
@@ -159,11 +161,6 @@ def label_violations(labels: DataFrame, roles: tuple[str, ...]) -> DataFrame:
     return labels.select("row", F.explode(faults).alias("violation"))
 
 
-def gate(df: DataFrame, violations: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows without a violation, and the violations."""
-    return df.join(violations.select(key).distinct(), key, "left_anti"), violations
-
-
 def shown(value: Column) -> Column:
     """Two places at most, without trailing zeros."""
     return F.call_function("format_number", value, F.lit("0.##"))

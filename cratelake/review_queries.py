@@ -243,7 +243,7 @@ ORACLE_SQL = {
     "origin_resolve": _origin_sql(),
     "tag_rules": f"{HITS} SELECT doc_id, tag_group, tag FROM hits",
     "rule_coverage": f"""{HITS}, r AS (SELECT * FROM (VALUES {RULE_NAMES}) t(tag_group, tag)), c AS (SELECT tag_group, tag, count(*) AS n, array_to_string(list(path ORDER BY path)[1:3], ';') AS examples FROM hits GROUP BY ALL)
-SELECT tag_group, tag, coalesce(n, 0) AS n, coalesce(examples, '') AS examples FROM r LEFT JOIN c USING (tag_group, tag)""",
+SELECT tag_group, tag, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM samples) AS share, coalesce(examples, '') AS examples FROM r LEFT JOIN c USING (tag_group, tag)""",
     "search_terms": f"""{HITS}, t AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(tag))), ' ') AS tags FROM hits GROUP BY doc_id)
 SELECT doc_id, role, origin FROM samples LEFT JOIN t USING (doc_id) WHERE {ZONE} = 'CURATED' AND contains(origin, 'src1') AND regexp_matches(lower(path) || ' ' || coalesce(tags, '') || ' ' || origin, 'loop|dark')""",
     "evidence_gate": _gate_sql(),

@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
+import re
+import xml.etree.ElementTree as ET
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +23,8 @@ from cratelake.functions import paths
 #: What a scan takes and passes over.
 AUDIO = ("wav", "aif", "aiff", "flac", "mp3", "ogg")
 STAGING = ("_EXPORT", "_TO-DELETE", "_QUARANTINE")
+#: Bytes that are read at once.
+PIECE = 1 << 23
 
 
 def _files(spark: SparkSession, root: str) -> DataFrame:
@@ -21,24 +35,55 @@ def _relative(root: str):
     return F.regexp_extract("path", "/" + root.strip("/").replace(".", r"\.") + "/(.*)$", 1)
 
 
-def scan_library(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative), length and modificationTime of the audio files below a root; staging zones,
-    hidden and shadow folders are passed over. Contents aren't read."""
-    files = _files(spark, root).select(_relative(root).alias("path"), "length", "modificationTime")
+def scan_library(spark: SparkSession, root: str, uri: str | None = None) -> DataFrame:
+    """path (relative), length and modificationTime of the audio files below a root, and the whole path as ``uri``; staging
+    zones, hidden and shadow folders are passed over. Contents aren't read."""
+    files = _files(spark, root).select(_relative(root).alias("path"), "length", "modificationTime", *[F.col("path").alias(c) for c in [uri] if c])
     p = paths.parts(F.col("path"))
     hidden = F.exists(p, lambda x: x.startswith(".") | (x == "__MACOSX"))
     return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*AUDIO) & ~F.get(p, F.lit(0)).isin(*STAGING) & ~hidden)
 
 
-def content_ids(spark: SparkSession, root: str, cache: DataFrame) -> DataFrame:
+def open_stream(uri: str):
+    """A file as a stream of bytes, of any store that Arrow reads: local disks, HDFS, S3, GCS."""
+    scheme, host, path = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", uri, re.DOTALL).groups()
+    if scheme == "file":
+        return pafs.LocalFileSystem().open_input_stream(path)
+    store, base = pafs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
+    return store.open_input_stream(base.rstrip("/") + path)
+
+
+def hash_files(listed: DataFrame, uri: str, out: str, opened: Accumulator | None = None) -> DataFrame:
+    """Adds ``out``, the SHA-256 of each listed file's bytes. Tasks open the files themselves and read them in pieces, so
+    that a file may be of any length and no other is touched; ``opened`` counts them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for u in batch.column(uri).to_pylist():
+                digest = hashlib.sha256()
+                with open_stream(u) as f:
+                    while piece := f.read(PIECE):
+                        digest.update(piece)
+                if opened is not None:
+                    opened.add(1)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, out])
+
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = listed.repartition(parts, uri)  # a list is short, so that Spark would read it in one task
+    return dealt.mapInArrow(run, T.StructType([*listed.schema.fields, T.StructField(out, T.StringType())]))
+
+
+def content_ids(spark: SparkSession, root: str, cache: DataFrame, opened: Accumulator | None = None) -> DataFrame:
     """The scan with sample_id: cached (path, length, modificationTime, sample_id) rows keep theirs,
-    only the others' bytes are read and hashed."""
+    only the others' bytes are read and hashed. ``opened`` counts the files that are."""
     keys = ["path", "length", "modificationTime"]
-    seen = scan_library(spark, root)
-    known = seen.join(cache.select(*keys, "sample_id"), keys)
-    new = seen.join(cache, keys, "left_anti").select("path")
-    hashed = _files(spark, root).withColumn("path", _relative(root)).join(new, "path", "left_semi").select(*keys, F.sha2("content", 256).alias("sample_id"))
-    return known.unionByName(hashed)
+    seen = scan_library(spark, root, uri="_uri")
+    once = cache.groupBy(*keys).agg(F.min("sample_id").alias("sample_id"))
+    known = seen.drop("_uri").join(once, keys)
+    new = seen.join(once.select(*keys), keys, "left_anti")
+    return known.unionByName(hash_files(new, "_uri", "sample_id", opened).drop("_uri"))
 
 
 def read_sheet(spark: SparkSession, path: str, columns: tuple[str, ...], *, exact: bool = True) -> DataFrame:
@@ -83,7 +128,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_rules(path: str) -> list:
     """Tag rules of a TOML file: schema version 1, a name and a group each, none twice, comparisons as ``>=0.60``."""
-    import re
     import tomllib
 
     from cratelake.operators.tags import Rule
@@ -107,33 +151,75 @@ def read_rules(path: str) -> list:
     return list(rules.values())
 
 
-PROJECT = T.StructType().add("path", "string").add("tempo", "double").add("tracks", T.ArrayType(T.StringType())).add("scene_count", "integer").add("error", "string")
+PROJECT = "path string, tempo double, tracks array<string>, scene_count int, scenes array<string>, devices array<string>, chains array<struct<track: string, kind: string, depth: int, devices: array<string>>>, error string"
+PROJECT_COLUMNS = ("path", "tempo", "tracks", "scene_count", "scenes", "devices", "chains", "error")
+#: The tags of tracks that a summary doesn't name: it names those that hold clips.
+UNNAMED = ("GroupTrack", "ReturnTrack", "MasterTrack", "MainTrack", "PreHearTrack")
+
+
+def _project(stream) -> tuple:
+    """tempo, tracks, scene_count, scenes, devices and chains of a project's XML, which is read as a stream of events:
+    elements are dropped as they end, so that memory grows with what is found, not with the file."""
+    tempo, scenes, devices, found, open_, path = None, [], [], [], [], []
+    for event, e in ET.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            parent = path[-1] if path else None
+            path.append(e.tag)
+            if e.tag.endswith("Track") or parent == "Tracks":
+                open_.append({"track": None, "kind": e.tag, "depth": len(open_), "devices": []})
+                found.append(open_[-1])
+            elif e.tag == "Manual" and parent == "Tempo" and tempo is None:
+                tempo = float(e.get("Value"))
+            elif e.tag == "EffectiveName" and parent == "Name" and open_ and open_[-1]["track"] is None:
+                open_[-1]["track"] = e.get("Value")
+            elif e.tag == "Scene" and parent == "Scenes":
+                scenes.append(e.get("Name"))
+            elif e.tag == "Name" and parent == "Scene" and scenes and scenes[-1] is None:
+                scenes[-1] = e.get("Value")
+            if parent == "Devices":
+                devices.append(e.tag)
+                if open_:
+                    open_[-1]["devices"].append(e.tag)
+        else:
+            path.pop()
+            if e.tag.endswith("Track") or path and path[-1] == "Tracks":
+                open_.pop()
+            e.clear()
+    tracks = [t["track"] for t in found if t["kind"] not in UNNAMED and t["track"]]
+    return tempo, tracks, len(scenes), [s or "" for s in scenes], devices, found
 
 
 def read_projects(spark: SparkSession, root: str) -> DataFrame:
-    """One row a gzip XML project file: tempo, track names, number of scenes; a file that can't be
-    read has only its error. Backup folders are passed over."""
-
-    def parse(batches):
-        import gzip
-        import xml.etree.ElementTree as ET
-
-        import pandas as pd
+    """One row a gzip XML project file: tempo; the names of its MIDI and audio tracks in the order of the file, nested ones too;
+    scenes, their names (blank for none) and number; devices; and chains, a row for each track of any kind with how deep it
+    is nested and the devices of its own. A file that can't be read has only its error. Backup folders and dot files are
+    passed over."""
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    top = ET.fromstring(gzip.decompress(content))
-                    tempo = top.find(".//Tempo/Manual")
-                    names = [e.get("Value") for e in top.findall(".//Tracks/*/Name/EffectiveName")]
-                    rows.append((path, float(tempo.get("Value")) if tempo is not None else None, names, len(top.findall(".//Scenes/Scene")), None))
-                except (OSError, EOFError, ValueError, ET.ParseError) as e:
-                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=PROJECT.names)
+                    with gzip.open(io.BytesIO(content)) as stream:
+                        rows.append((path, *_project(stream), None))
+                except (OSError, EOFError, ValueError, zlib.error, ET.ParseError) as e:
+                    rows.append((path, *[None] * 6, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=PROJECT_COLUMNS)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.als").load(root)
-    return files.filter(~F.col("path").rlike("/Backup/")).select("path", "content").mapInPandas(parse, PROJECT)
+    return files.filter(~F.col("path").rlike(r"/Backup/|/\.[^/]*$")).select("path", "content").mapInPandas(parse, PROJECT)
+
+
+def project_index(projects: DataFrame) -> DataFrame:
+    """The sheet of the readable projects: path, tempo, track_count, tracks, scene_count, devices, lists joined by commas."""
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return projects.filter("error IS NULL").select("path", F.coalesce(F.col("tempo").cast("string"), F.lit("")).alias("tempo"), F.size("tracks").alias("track_count"), joined("tracks"), "scene_count", joined("devices"))
+
+
+def project_devices(projects: DataFrame) -> DataFrame:
+    """(path, place, track, kind, depth, position, device): the devices of each track, in the order of the file."""
+    chains = projects.filter("error IS NULL").select("path", F.posexplode("chains").alias("place", "_c"))
+    return chains.select("path", "place", "_c.track", "_c.kind", "_c.depth", F.posexplode("_c.devices").alias("position", "device"))
 
 
 WAVE = T.StructType().add("path", "string").add("rate", "integer").add("signal", T.ArrayType(T.FloatType())).add("error", "string")
@@ -143,11 +229,9 @@ def read_waves(spark: SparkSession, root: str, rate: int = 22050) -> DataFrame:
     """PCM wave files (16 bit) as mono signals at one rate; other codecs have only their error."""
 
     def decode(batches):
-        import io
         import wave
 
         import numpy as np
-        import pandas as pd
 
         for batch in batches:
             rows = []
