@@ -242,6 +242,18 @@ def calibration_picks(spark, d):
     return audit.calibration(audit.mismatches(_votes(spark, d)), 5).select("current_role", "suggested_role", "path")
 
 
+_PICK = "{'path': path, 'p': top_prob, 'g': source_group}"
+_SEEN = "list_contains(list_transform(chosen, lambda x: x.g), source_group)"
+_FAR = "list_min(list_transform(chosen, lambda x: abs(x.p - top_prob)))"
+CALIBRATION_SQL = f"""WITH RECURSIVE {VOTES}, m AS (SELECT *, 'CURATED/' || current_role || '/pack' || doc_id % 9 || '/' || doc_id || '.wav' AS path, 'pack' || doc_id % 9 AS source_group FROM w
+  WHERE auth AND suggested_role <> current_role AND band = 'trust'),
+r AS (SELECT 1 AS i, current_role, suggested_role, [first({_PICK} ORDER BY top_prob, path)] AS chosen FROM m GROUP BY current_role, suggested_role
+  UNION ALL SELECT i + 1, current_role, suggested_role, list_append(first(chosen), first({_PICK} ORDER BY {_SEEN}, -{_FAR}, path)) FROM r JOIN m USING (current_role, suggested_role)
+  WHERE i < 5 AND NOT list_contains(list_transform(chosen, lambda x: x.path), path) GROUP BY i, current_role, suggested_role),
+l AS (SELECT current_role, suggested_role, first(chosen ORDER BY i DESC) AS chosen FROM r GROUP BY current_role, suggested_role)
+SELECT current_role, suggested_role, unnest(list_transform(chosen, lambda x: x.path)) AS path FROM l"""
+
+
 def mismatch_routes(spark, d):
     return audit.routes(audit.mismatches(_votes(spark, d)))
 
@@ -375,5 +387,5 @@ QUERIES = {f.__name__: f for f in (
 ORACLE_SQL = {
     "near_dup_groups": NEAR_SQL, "set_report": SETS_SQL, "source_registry": SOURCES_SQL, "review_build": REVIEW_SQL, "sort_plan": SORT_SQL, "bucket_plan": BUCKETS_SQL, "intake_plan": INTAKE_SQL, "plan_preview": PREVIEW_SQL,
     "pattern_export": EXPORT_SQL, "role_conflicts": CONFLICTS_SQL, "character_tags": _tags_sql(), "role_audit": AUDIT_SQL, "trust_mismatches": MISMATCH_SQL, "mismatch_routes": ROUTES_SQL, "benchmark_scorecard": SCORE_SQL,
-    "search_run": SEARCH_SQL, "search_spread": SPREAD_SQL, "search_like": LIKE_SQL, "promotion_gates": GATES_SQL, "scan_history": HISTORY_SQL,
+    "calibration_picks": CALIBRATION_SQL, "search_run": SEARCH_SQL, "search_spread": SPREAD_SQL, "search_like": LIKE_SQL, "promotion_gates": GATES_SQL, "scan_history": HISTORY_SQL,
 }

@@ -230,7 +230,31 @@ def run_report(spark, d):
 
 def cluster_kmeans(spark, d):
     f = bed.features(spark, d).select("role", F.lpad(F.col("sample_id").cast("string"), 10, "0").alias("path"), F.slice("v", 1, 13).alias("v"))
-    return cluster.cluster(f, "v", 13)
+    return cluster.cluster(f, "v", 13).withColumn("distance", F.round("distance", 6))
+
+
+def _kmeans_sql(dims: int, rounds: int) -> str:
+    """Farthest-first centroids and Lloyd's rounds, each by recursion; a role's centroids are a list of lists."""
+    each = lambda x: "[" + ", ".join(x.format(j=j) for j in range(1, dims + 1)) + "]"
+    gaps = f"list_transform(cents, lambda c: sqrt(list_sum(list_transform(range(1, {dims + 1}), lambda j: (z[j] - c[j]) * (z[j] - c[j])))))"
+    moved = f"list_max(list_transform(range(1, k + 1), lambda i: list_max(list_transform(range(1, {dims + 1}), lambda j: abs(new[i][j] - cents[i][j])))))"
+    return f"""WITH RECURSIVE {bed.FEAT}, e AS (SELECT role, lpad(sample_id::VARCHAR, 10, '0') AS path, v FROM feat WHERE v[4] IS NOT NULL),
+s AS (SELECT role, count(*) AS n, {each("avg(v[{j}])")} AS m, {each("stddev_pop(v[{j}])")} AS d FROM e GROUP BY role),
+y AS (SELECT role, path, CASE WHEN n < 4 THEN 1 ELSE least(8, greatest(2, n // 30)) END AS k, {each("(v[{j}] - m[{j}]) / CASE WHEN d[{j}] = 0 THEN 1 ELSE d[{j}] END")} AS z FROM e JOIN s USING (role)),
+f AS (SELECT role, k, 1 AS i, [first(z ORDER BY path)] AS cents, [min(path)] AS names FROM y GROUP BY role, k
+  UNION ALL SELECT role, k, i + 1, list_append(first(cents), first(z ORDER BY gap DESC, path)), list_append(first(names), first(path ORDER BY gap DESC, path))
+  FROM (SELECT role, f.k, i, cents, names, z, path, list_min({gaps}) AS gap FROM f JOIN y USING (role) WHERE i < f.k AND NOT list_contains(names, path)) GROUP BY role, k, i),
+g AS (SELECT role, k, 1 AS t, cents FROM f WHERE i = k
+  UNION ALL SELECT role, k, t + 1, new FROM (
+    SELECT role, k, t, cents, list_transform(range(1, k + 1), lambda i: coalesce(list_filter(ms, lambda m: m.c = i)[1].v, cents[i])) AS new FROM (
+      SELECT role, k, t, first(cents) AS cents, list({{'c': c, 'v': v}}) AS ms FROM (
+        SELECT role, k, t, first(cents) AS cents, c, {each("avg(z[{j}])")} AS v FROM (
+          SELECT role, k, t, cents, z, list_position(ds, list_min(ds)) AS c FROM (SELECT role, g.k, t, cents, z, {gaps} AS ds FROM g JOIN y USING (role) WHERE g.k > 1 AND t < {rounds}))
+        GROUP BY role, k, t, c)
+      GROUP BY role, k, t)) WHERE {moved} > 1e-12),
+l AS (SELECT role, first(cents ORDER BY t DESC) AS cents FROM g GROUP BY role),
+o AS (SELECT role, path, (list_position(ds, list_min(ds)) - 1)::INT AS cluster, list_min(ds) AS distance FROM (SELECT role, path, {gaps} AS ds FROM l JOIN y USING (role)))
+SELECT role, path, cluster, round(distance, 6) AS distance, path = first(path) OVER (PARTITION BY role, cluster ORDER BY distance, path) AS representative FROM o"""
 
 
 QUERIES = {f.__name__: f for f in (
@@ -246,6 +270,7 @@ ORACLE_SQL = {
 SELECT tag_group, tag, coalesce(n, 0) AS n, coalesce(n, 0) / (SELECT count(*) FROM samples) AS share, coalesce(examples, '') AS examples FROM r LEFT JOIN c USING (tag_group, tag)""",
     "search_terms": f"""{HITS}, t AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(tag))), ' ') AS tags FROM hits GROUP BY doc_id)
 SELECT doc_id, role, origin FROM samples LEFT JOIN t USING (doc_id) WHERE {ZONE} = 'CURATED' AND contains(origin, 'src1') AND regexp_matches(lower(path) || ' ' || coalesce(tags, '') || ' ' || origin, 'loop|dark')""",
+    "cluster_kmeans": _kmeans_sql(13, 25),
     "evidence_gate": _gate_sql(),
     "label_violations": f"""{INSTRUMENT_SQL.replace(" SELECT doc_id, coalesce(", ", i AS (SELECT doc_id, coalesce(", 1)}), s AS (SELECT doc_id AS row, CASE WHEN doc_id % 11 = 0 THEN sample_id[1:12] ELSE sample_id END AS sample_id, doc_id % 4 AS dec,
   CASE WHEN doc_id % 13 = 0 THEN '' ELSE suggested END AS true_role, doc_id % 7 = 0 AS bare, doc_id % 17 = 0 AS bad FROM loc JOIN i USING (doc_id))
