@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cratelake.functions import analysis, paths
+from cratelake.staging import staged
 
 # Which class stands for which role, and the roles in their order.
 CLASS_ROLE = {
@@ -78,7 +79,7 @@ def calibration(candidates: DataFrame, size: int = 10) -> DataFrame:
     if size < 1:
         raise ValueError("the calibration size must be positive")
     route = ["current_role", "suggested_role"]
-    rows = candidates.persist()
+    rows = staged(candidates, "candidates")
     item = F.struct("path", "top_prob", "source_group")
     chosen = rows.groupBy(*route).agg(F.array(F.min_by(item, F.struct("top_prob", "path"))).alias("_chosen"))
     for _ in range(size - 1):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cratelake.staging import staged
+
 ROUNDS = 25
 CENTROIDS = "role string, k int, centroids array<array<double>>"
 
@@ -29,9 +31,9 @@ def cluster(df: DataFrame, v: str, dims: int) -> DataFrame:
     begins with the first path and then the row farthest from those chosen, the first path among
     equals. A lone cluster keeps its first row as centroid; an empty one keeps its centroid.
     What reaches the driver are at most 8 centroids a role, roles being a closed vocabulary. The
-    scaled rows are persisted: up to 32 rounds read them.
+    scaled rows are staged: up to 32 rounds read them.
     """
-    spark, z = df.sparkSession, standardised(df, v, dims).persist()
+    spark, z = df.sparkSession, staged(standardised(df, v, dims), "scaled")
     start = z.groupBy("role").agg(F.count("*").alias("n"), F.min_by("z", "path").alias("z"), F.min("path").alias("path")).collect()
     k = {r.role: 1 if r.n < 4 else min(8, max(2, r.n // 30)) for r in start}
     chosen, names = {r.role: [r.z] for r in start}, {r.role: [r.path] for r in start}

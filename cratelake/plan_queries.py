@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cratelake import bed
 from cratelake.bed import FEAT, LIB, LOC
 from cratelake.functions import analysis, names, paths
-from cratelake.operators import audit, benchmark, catalog, curation, find, ladders, neardupe, plans, report, sets, signals, tags
+from cratelake.operators import audit, benchmark, catalog, curation, find, ladders, neardupe, plans, report, select, sets, signals, tags
 from cratelake.operators.vocabulary import RULES
 from cratelake.queries import ROLE_CTE
 from cratelake.review_queries import HITS, _names_sql, _samples
@@ -368,6 +368,23 @@ def signal_features(spark, d):
     return got.select("path", *[F.round(m, 6).alias(m) for m in signals.MEASURES])
 
 
+def long_signals(spark, d):
+    """The measures in time of one signal a label, all its vectors one after the other, in blocks of eight vectors."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").filter("vec_id IS NOT NULL")
+    e = select.numbered(e, ["label"], ["vec_id"], "_n").withColumn("block", F.floor((F.col("_n") - 1) / 8))
+    blocks = e.groupBy(F.col("label").cast("string").alias("path"), "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_n", "embedding"))), lambda x: x["embedding"])).alias("samples"))
+    got = signals.block_features(blocks.withColumn("rate", F.lit(640)), "path", 512, 512)
+    return got.select("path", *[F.round(m, 4).alias(m) for m in ("duration_s", "peak", "rms", "crest", "attack_ms", "tail_ms", "head_silence_ms", "tail_silence_ms", "zcr")])
+
+
+LONG_SQL = """WITH x AS (SELECT label::VARCHAR AS path, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r, embedding FROM embeddings WHERE vec_id IS NOT NULL),
+s AS (SELECT path, 64 * r + j - 1 AS i, embedding[j] AS v, abs(embedding[j]) AS a FROM x, range(1, 65) t(j)), p AS (SELECT path, count(*) AS n, max(a) AS peak, sqrt(avg(v::DOUBLE * v)) AS rms FROM s GROUP BY path),
+c AS (SELECT path, (v < 0) <> lag(v < 0) OVER (PARTITION BY path ORDER BY i) AS z FROM s), q AS (SELECT path, count(*) FILTER (WHERE z) AS z FROM c GROUP BY path),
+w AS (SELECT path, min(i) FILTER (WHERE a >= (peak::DOUBLE * 0.01)::FLOAT) AS f, max(i) FILTER (WHERE a >= (peak::DOUBLE * 0.01)::FLOAT) AS l, min(i) FILTER (WHERE a >= peak) AS t, min(i) FILTER (WHERE a >= (peak::DOUBLE * 0.9)::FLOAT) AS h FROM s JOIN p USING (path) GROUP BY path)
+SELECT path, round(n / 640.0, 4)::DOUBLE AS duration_s, round(peak::DOUBLE, 4) AS peak, round(rms, 4) AS rms, round(peak::DOUBLE / rms, 4) AS crest, round((h - f) / 0.64, 4)::DOUBLE AS attack_ms, round((l - t) / 0.64, 4)::DOUBLE AS tail_ms,
+  round(f / 0.64, 4)::DOUBLE AS head_silence_ms, round((n - 1 - l) / 0.64, 4)::DOUBLE AS tail_silence_ms, round(z::DOUBLE / (n - 1), 4) AS zcr FROM p JOIN q USING (path) JOIN w USING (path)"""
+
+
 def analysis_report(spark, d):
     """Counts of a whole run over the library: kinds, roles, crates, clusters, issues and gates."""
     src = staged(sets.sources(bed.library(spark, d)), "sources").withColumn("_v", F.pmod(F.xxhash64("path"), F.lit(500)))
@@ -381,11 +398,11 @@ def analysis_report(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     near_dup_groups, set_report, source_registry, review_build, sort_plan, bucket_plan, intake_plan, plan_preview, pattern_export, role_conflicts, character_tags, role_audit, trust_mismatches, calibration_picks,
-    mismatch_routes, benchmark_scorecard, search_run, search_spread, search_like, promotion_gates, scan_history, signal_features, analysis_report,
+    mismatch_routes, benchmark_scorecard, search_run, search_spread, search_like, promotion_gates, scan_history, signal_features, long_signals, analysis_report,
 )}
 
 ORACLE_SQL = {
     "near_dup_groups": NEAR_SQL, "set_report": SETS_SQL, "source_registry": SOURCES_SQL, "review_build": REVIEW_SQL, "sort_plan": SORT_SQL, "bucket_plan": BUCKETS_SQL, "intake_plan": INTAKE_SQL, "plan_preview": PREVIEW_SQL,
     "pattern_export": EXPORT_SQL, "role_conflicts": CONFLICTS_SQL, "character_tags": _tags_sql(), "role_audit": AUDIT_SQL, "trust_mismatches": MISMATCH_SQL, "mismatch_routes": ROUTES_SQL, "benchmark_scorecard": SCORE_SQL,
-    "calibration_picks": CALIBRATION_SQL, "search_run": SEARCH_SQL, "search_spread": SPREAD_SQL, "search_like": LIKE_SQL, "promotion_gates": GATES_SQL, "scan_history": HISTORY_SQL,
+    "calibration_picks": CALIBRATION_SQL, "search_run": SEARCH_SQL, "search_spread": SPREAD_SQL, "search_like": LIKE_SQL, "promotion_gates": GATES_SQL, "scan_history": HISTORY_SQL, "long_signals": LONG_SQL,
 }

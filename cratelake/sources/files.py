@@ -6,10 +6,12 @@ import gzip
 import hashlib
 import io
 import re
+import wave
 import xml.etree.ElementTree as ET
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -44,13 +46,15 @@ def scan_library(spark: SparkSession, root: str, uri: str | None = None) -> Data
     return files.filter(F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*AUDIO) & ~F.get(p, F.lit(0)).isin(*STAGING) & ~hidden)
 
 
-def open_stream(uri: str):
+def open_stream(uri: str, seek: bool = False):
     """A file as a stream of bytes, of any store that Arrow reads: local disks, HDFS, S3, GCS."""
     scheme, host, path = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.-]*):(?://([^/]*))?(/.*)", uri, re.DOTALL).groups()
     if scheme == "file":
-        return pafs.LocalFileSystem().open_input_stream(path)
-    store, base = pafs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
-    return store.open_input_stream(base.rstrip("/") + path)
+        store, base = pafs.LocalFileSystem(), ""
+    else:
+        store, base = pafs.FileSystem.from_uri(f"{scheme}://{host or ''}/")
+    full = base.rstrip("/") + path
+    return store.open_input_file(full) if seek else store.open_input_stream(full)
 
 
 def hash_files(listed: DataFrame, uri: str, out: str, opened: Accumulator | None = None) -> DataFrame:
@@ -229,9 +233,6 @@ def read_waves(spark: SparkSession, root: str, rate: int = 22050) -> DataFrame:
     """PCM wave files (16 bit) as mono signals at one rate; other codecs have only their error."""
 
     def decode(batches):
-        import wave
-
-        import numpy as np
 
         for batch in batches:
             rows = []
@@ -251,6 +252,45 @@ def read_waves(spark: SparkSession, root: str, rate: int = 22050) -> DataFrame:
     return files.select("path", "content").mapInPandas(decode, WAVE)
 
 
+def read_wave_blocks(spark: SparkSession, root: str, rate: int = 22050, size: int = 1 << 18) -> DataFrame:
+    """(path, rate, block, samples, error): the waves of ``read_waves`` in blocks of ``size`` samples, all but the last of a
+    file full. Headers are read first; then each block is a row of its own, whose task seeks to it in the file, so
+    that one long file is read by many tasks and none holds more than a block."""
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    with open_stream(path, seek=True) as f, wave.open(f) as w:
+                        if w.getsampwidth() != 2:
+                            raise wave.Error("not 16 bit")
+                        rows.append((path, round(w.getnframes() * rate / w.getframerate()), None))
+                except (wave.Error, EOFError, ValueError) as e:
+                    rows.append((path, 0, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "n", "error"])
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, n, error, block in zip(batch["path"], batch["n"], batch["error"], batch["block"], strict=True):
+                samples = None
+                if error is None and n:
+                    with open_stream(path, seek=True) as f, wave.open(f) as w:
+                        at = np.arange(block * size, min(n, (block + 1) * size)) * w.getframerate() / rate
+                        low, high = int(at[0]), min(w.getnframes(), int(at[-1]) + 2)
+                        w.setpos(low)
+                        mono = np.frombuffer(w.readframes(high - low), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768
+                        samples = np.interp(at - low, np.arange(len(mono)), mono).astype("float32")
+                yield pd.DataFrame({"path": [path], "rate": [rate], "block": [block], "samples": [samples], "error": [error]})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wav").load(root).select("path")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = files.repartition(parts, "path").mapInPandas(heads, "path string, n long, error string")
+    last = F.greatest(F.floor((F.col("n") - 1) / size), F.lit(0))
+    blocks = known.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(parts, "path", "block")
+    return blocks.mapInPandas(cut, "path string, rate int, block long, samples array<float>, error string")
+
+
 def write_sheet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
