@@ -53,6 +53,18 @@ def _numbered(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("leaf")))
 
 
+def _meet(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """a joined with b on keys of which null equals null; a column of each key remains."""
+    b = b.withColumnsRenamed({k: f"_b_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    met = a.join(b, on, how)
+    if how == "left_semi":
+        return met
+    return met.withColumns({k: F.coalesce(k, f"_b_{k}") for k in keys}).drop(*[f"_b_{k}" for k in keys])
+
+
 def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3) -> DataFrame:
     """Records in which two replicas (file, seq, page_id, record) differ: file, leaf, page_id, offset,
     length, status.
@@ -63,8 +75,8 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3)
     to: they are matched by page and hash, copy by copy, and those left over by page, in turn.
     status: ``altered`` (both have the record, with other bytes), ``missing`` (only the left),
     ``added`` (only the right), ``moved`` (the same bytes at another place in the order). Differing
-    roots give at least one row; equal or empty replicas give none. Records without a file or page
-    are compared like any.
+    roots give at least one row; equal or empty replicas give none. A null file is a file like any, and so is a
+    null page, a page: its records are matched by their bytes, and those left over in their order.
     """
     a, b = staged(leaves(left), "left"), staged(leaves(right), "right")
     ta, tb = staged(tree(a, fanout, height), "tree"), staged(tree(b, fanout, height), "tree")
@@ -73,17 +85,18 @@ def audit(left: DataFrame, right: DataFrame, fanout: int = 16, height: int = 3)
         x, y = (t.filter(F.col("level") == k).select("file", "node", "hash") for t in (ta, tb))
         if bad is not None:
             down = bad.withColumnRenamed("node", "_up")
-            x, y = (t.withColumn("_up", F.floor(F.col("node") / fanout) if k + 1 < height else F.lit(0).cast("long")).join(down, ["file", "_up"], "left_semi").drop("_up") for t in (x, y))
+            x, y = (t.withColumn("_up", F.floor(F.col("node") / fanout) if k + 1 < height else F.lit(0).cast("long"))for t in (x, y))
+            x, y = (_meet(t, down, ["file", "_up"], "left_semi").drop("_up") for t in (x, y))
         x, y = x.withColumnRenamed("hash", "_a"), y.withColumnRenamed("hash", "_b")
-        bad = staged(x.join(y, ["file", "node"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("file", "node"), "bad")
+        bad = staged(_meet(x, y, ["file", "node"], "full_outer").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("file", "node"), "bad")
     same, page = ["file", "page_id", "hash", "_copy"], ["file", "page_id", "_turn"]
-    low = lambda t: t.withColumn("node", F.floor(F.col("leaf") / fanout)).join(bad, ["file", "node"], "left_semi").drop("node")
+    low = lambda t: _meet(t.withColumn("node", F.floor(F.col("leaf") / fanout)), bad, ["file", "node"], "left_semi").drop("node")
     la, lb = (_numbered(low(t), same[:-1], "_copy") for t in (a, b))
     named = lambda t, keys, p: t.select(*[F.col(c) if c in keys else F.col(c).alias(p + c) for c in t.columns])
-    both = staged(named(la, same, "a_").join(named(lb, same, "b_"), same, "full_outer"), "matched")
+    both = staged(_meet(named(la, same, "a_"), named(lb, same, "b_"), same, "full_outer"), "matched")
     moved = both.filter("a_seq <> b_seq").select("file", F.col("a_leaf").alias("leaf"), "page_id", F.col("a_offset").alias("offset"), F.col("a_length").alias("length"), F.lit("moved").alias("status"))
     rest = lambda p, o: _numbered(both.filter(F.col(o + "leaf").isNull()).select("file", "page_id", *[F.col(p + c).alias(c) for c in ("leaf", "offset", "length")]), ["file", "page_id"], "_turn")
-    j = named(rest("a_", "b_"), page, "a_").join(named(rest("b_", "a_"), page, "b_"), page, "full_outer")
+    j = _meet(named(rest("a_", "b_"), page, "a_"), named(rest("b_", "a_"), page, "b_"), page, "full_outer")
     status = F.when(F.col("b_leaf").isNull(), "missing").when(F.col("a_leaf").isNull(), "added").otherwise("altered")
     pick = lambda c: F.coalesce(f"a_{c}", f"b_{c}").alias(c)
     return j.select("file", pick("leaf"), "page_id", pick("offset"), pick("length"), status.alias("status")).unionByName(moved)

@@ -238,3 +238,21 @@ def test_op13_odd_urls(spark):
 def test_op13_runs_no_python(spark):
     plan = urls.judge(spark.createDataFrame([(1, "x://a/b")], "page_id long, url string"), urls.RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# ---- fixity of records without a file or a page
+
+
+def test_op10_null_files_and_pages(spark):
+    from cratelake.llm import fixity
+
+    schema = "file long, seq long, page_id long, record binary"
+    rows = [(f, i, None if i % 3 == 0 else i, f"record {i}".encode()) for f in (None, 1) for i in range(60)]
+    left = spark.createDataFrame(rows, schema)
+    assert fixity.audit(left, left).count() == 0
+    worse = [(f, i, p, b"changed" if i in (6, 10) else r) for f, i, p, r in rows if i != 21]
+    got = sorted(((r.file, r.page_id, r.status) for r in fixity.audit(left, spark.createDataFrame(worse, schema)).collect()), key=repr)
+    assert got == sorted([(f, *x) for f in (None, 1) for x in ((10, "altered"), (None, "altered"), (None, "missing"))], key=repr)
+    alone = spark.createDataFrame([(None, 0, 5, b"a")], schema)
+    assert [tuple(r)[-1] for r in fixity.audit(alone, spark.createDataFrame([(None, 0, 5, b"b")], schema)).collect()] == ["altered"]
+    assert [tuple(r)[-1] for r in fixity.audit(alone, alone.limit(0)).collect()] == ["missing"]
