@@ -9,7 +9,9 @@ from cratelake.bed import LIB, LOC
 from cratelake.operators import audit, benchmark, catalog, gates, plans, signals
 from cratelake.review_queries import _norm
 
-_i = F.col("doc_id")
+
+def _i():
+    return F.col("doc_id")
 
 
 def _docs(spark, d):
@@ -32,7 +34,7 @@ def asset_ledger(spark, d):
     """The scan in which each content was first seen: a third of the documents in one, all in the next."""
     rows = bed.locations(spark, d).filter("sample_id IS NOT NULL")
     seen = lambda df, name: df.select("sample_id", F.lit(name).alias("first_scan"))
-    one = catalog.first_seen(seen(rows, "one").limit(0), seen(rows.filter(_i % 3 == 0), "one"), "sample_id")
+    one = catalog.first_seen(seen(rows, "one").limit(0), seen(rows.filter(_i() % 3 == 0), "one"), "sample_id")
     return catalog.first_seen(one, seen(rows, "two"), "sample_id")
 
 
@@ -55,8 +57,8 @@ def tag_ledger(spark, d):
     """Tags after the rules' were made anew, those by hand kept."""
     docs = bed.locations(spark, d)
     row = lambda df, group, tag, source: df.select("doc_id", F.lit(group).alias("tag_group"), tag.alias("tag"), F.lit(source).alias("source"))
-    state = row(docs, "form", F.col("word"), "rule").unionByName(row(docs.filter(_i % 4 == 0), "mood", F.lit("dark"), "hand"))
-    return catalog.regenerate(state, row(docs.filter(_i % 2 == 0), "form", F.upper("word"), "rule"))
+    state = row(docs, "form", F.col("word"), "rule").unionByName(row(docs.filter(_i() % 4 == 0), "mood", F.lit("dark"), "hand"))
+    return catalog.regenerate(state, row(docs.filter(_i() % 2 == 0), "form", F.upper("word"), "rule"))
 
 
 TAG_SQL = f"""WITH {LOC} SELECT doc_id, 'form' AS tag_group, upper(word) AS tag, 'rule' AS source FROM loc WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'mood', 'dark', 'hand' FROM loc WHERE doc_id % 4 = 0"""
@@ -64,9 +66,9 @@ TAG_SQL = f"""WITH {LOC} SELECT doc_id, 'form' AS tag_group, upper(word) AS tag,
 
 def promotion_ledger(spark, d):
     """Promotions after an insert of which some are there and some come twice, and these as violations."""
-    docs = _docs(spark, d).select(_i.cast("string").alias("sample_id"), _text("CURATED/", _i).alias("curated_path"), "doc_id")
-    incoming = docs.filter(_i % 3 == 0).unionByName(docs.filter(_i % 9 == 0)).drop("doc_id")
-    kept, bad = catalog.insert_only(docs.filter(_i % 5 == 0).drop("doc_id"), incoming, ["sample_id", "curated_path"])
+    docs = _docs(spark, d).select(_i().cast("string").alias("sample_id"), _text("CURATED/", _i()).alias("curated_path"), "doc_id")
+    incoming = docs.filter(_i() % 3 == 0).unionByName(docs.filter(_i() % 9 == 0)).drop("doc_id")
+    kept, bad = catalog.insert_only(docs.filter(_i() % 5 == 0).drop("doc_id"), incoming, ["sample_id", "curated_path"])
     return kept.withColumn("kind", F.lit("kept")).unionByName(bad.withColumn("kind", F.lit("violation")))
 
 
@@ -77,7 +79,7 @@ UNION ALL SELECT doc_id::VARCHAR, 'CURATED/' || doc_id, 'violation' FROM documen
 def ignored_inserts(spark, d):
     """Origins after an insert that ignores what is there."""
     rows = _docs(spark, d).select("doc_id", "source", "lang")
-    return catalog.insert_or_ignore(rows.filter(_i % 2 == 0).drop("doc_id"), rows.drop("doc_id"))
+    return catalog.insert_or_ignore(rows.filter(_i() % 2 == 0).drop("doc_id"), rows.drop("doc_id"))
 
 
 IGNORED_SQL = "SELECT DISTINCT source, lang FROM documents"
@@ -85,8 +87,8 @@ IGNORED_SQL = "SELECT DISTINCT source, lang FROM documents"
 
 def feature_cache(spark, d):
     """Cached features that still hold: size and time agree, and no error was noted."""
-    rows = bed.locations(spark, d).withColumn("mtime", _i % 7)
-    cache = rows.select("path", F.when(_i % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.when(_i % 6 == 0, "bad").when(_i % 6 == 1, "").alias("error"), (_i * 2).alias("v"))
+    rows = bed.locations(spark, d).withColumn("mtime", _i() % 7)
+    cache = rows.select("path", F.when(_i() % 4 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.when(_i() % 6 == 0, "bad").when(_i() % 6 == 1, "").alias("error"), (_i() * 2).alias("v"))
     return signals.cached(rows.select("path", "size", "mtime"), cache)
 
 
@@ -99,10 +101,10 @@ CACHE_SQL = f"WITH {LOC} SELECT path, size, doc_id % 7 AS mtime, doc_id * 2 AS v
 def _crate(spark, d):
     """A crate of all documents, its files as they are, and the device that it is for."""
     docs = bed.locations(spark, d)
-    path = _text(F.when(_i % 11 == 0, "PACKS/").otherwise("CURATED/"), "f", _i, ".wav")
-    own, role = F.sha2(_i.cast("string"), 256), _case(_i, "KICK", "SNARE", "HAT-OPEN", "BASS", "DRUM-LOOP", "NOPE")
-    crate = docs.select(_i.alias("row"), own.alias("sample_id"), path.alias("source_path"), role.alias("role"), F.col("word").alias("descriptor"), F.when(_i % 4 == 0, "stereo-essential").otherwise("").alias("reason"))
-    there = docs.filter(_i % 17 != 0).select(path.alias("path"), F.when(_i % 13 == 0, "other").otherwise(own).alias("sample_id"), (_i % 8).cast("double").alias("duration"))
+    path = _text(F.when(_i() % 11 == 0, "PACKS/").otherwise("CURATED/"), "f", _i(), ".wav")
+    own, role = F.sha2(_i().cast("string"), 256), _case(_i(), "KICK", "SNARE", "HAT-OPEN", "BASS", "DRUM-LOOP", "NOPE")
+    crate = docs.select(_i().alias("row"), own.alias("sample_id"), path.alias("source_path"), role.alias("role"), F.col("word").alias("descriptor"), F.when(_i() % 4 == 0, "stereo-essential").otherwise("").alias("reason"))
+    there = docs.filter(_i() % 17 != 0).select(path.alias("path"), F.when(_i() % 13 == 0, "other").otherwise(own).alias("sample_id"), (_i() % 8).cast("double").alias("duration"))
     return plans.crate_plan(crate, "My Crate", there, plans.devices(spark), "tr8s"), crate, there
 
 
@@ -148,7 +150,7 @@ SUMS_SQL = "SELECT count(*) AS rows, coalesce(sum(CASE WHEN doc_id % 17 <> 0 THE
 
 def reclaimable_bytes(spark, d):
     rows = bed.locations(spark, d)
-    return plans.reclaimable(rows.filter(_i % 3 == 0).select(F.col("path").alias("src")), rows)
+    return plans.reclaimable(rows.filter(_i() % 3 == 0).select(F.col("path").alias("src")), rows)
 
 
 BYTES_SQL = f"WITH {LOC} SELECT coalesce(sum(size), 0)::BIGINT AS bytes, count(*) AS files FROM loc WHERE path IN (SELECT path FROM loc WHERE doc_id % 3 = 0)"
@@ -156,11 +158,11 @@ BYTES_SQL = f"WITH {LOC} SELECT coalesce(sum(size), 0)::BIGINT AS bytes, count(*
 
 def set_references(spark, d):
     """References of projects to samples: absolute, relative with and without steps up, lost, and without any path."""
-    docs, home = _docs(spark, d), _text("/p/set", _i % 5)
-    raw = _case(_i, _text("/lib/k", _i, ".wav"), _text("/gone/k", _i, ".wav"), "")
-    rel = _case(_i, None, _text("../k", _i, ".wav"), _text("sub/./y", _i, ".wav"), _text("x", _i, ".wav"))
+    docs, home = _docs(spark, d), _text("/p/set", _i() % 5)
+    raw = _case(_i(), _text("/lib/k", _i(), ".wav"), _text("/gone/k", _i(), ".wav"), "")
+    rel = _case(_i(), None, _text("../k", _i(), ".wav"), _text("sub/./y", _i(), ".wav"), _text("x", _i(), ".wav"))
     refs = docs.select(_text(home, "/a.als").alias("set_path"), raw.alias("raw_path"), rel.alias("relative_path"))
-    there = [docs.filter(_i % 2 == 0).select(_text("/lib/k", _i, ".wav").alias("path")), docs.filter(_i % 5 < 3).select(_text("/p/k", _i, ".wav").alias("path")), docs.filter(_i % 7 < 4).select(_text(home, "/sub/y", _i, ".wav").alias("path"))]
+    there = [docs.filter(_i() % 2 == 0).select(_text("/lib/k", _i(), ".wav").alias("path")), docs.filter(_i() % 5 < 3).select(_text("/p/k", _i(), ".wav").alias("path")), docs.filter(_i() % 7 < 4).select(_text(home, "/sub/y", _i(), ".wav").alias("path"))]
     return plans.references(refs, there[0].unionByName(there[1]).unionByName(there[2]))
 
 
@@ -177,7 +179,7 @@ def zone_migration(spark, d):
     moves = spark.createDataFrame([("PACKS", "CATALOGUE/PACKS", "packs"), ("CURATED/KICKS", "CATALOGUE/KICKS", "legacy")], "prefix string, to string, tag string")
     now = files.filter(n % 7 != 0).select("path", F.when(n % 5 == 0, sha("x")).otherwise(sha()).alias("sample_id"))
     there = files.filter(F.col("path").startswith("CURATED/KICKS/") & (n % 3 == 0)).select(F.concat(F.lit("CATALOGUE"), F.substr("path", F.lit(8))).alias("path"), F.lit("5").alias("sample_id"))
-    projects = _docs(spark, d).select(_text("s", _i, F.when(_i % 100 == 0, "/Backup").otherwise(""), "/one.als").alias("path"), F.when(_i % 50 == 0, "to CURATED/x").otherwise("none").alias("content"))
+    projects = _docs(spark, d).select(_text("s", _i(), F.when(_i() % 100 == 0, "/Backup").otherwise(""), "/one.als").alias("path"), F.when(_i() % 50 == 0, "to CURATED/x").otherwise("none").alias("content"))
     plan, faults = plans.migration(files.select("path", sha()), moves, plans.zone_references(projects), now.unionByName(there))
     moved = plan.select(F.lit("move").alias("kind"), F.col("src").alias("path"), F.concat_ws("|", "dest", "tag").alias("text"))
     return moved.unionByName(faults.select(F.lit("fault").alias("kind"), "path", F.col("violation").alias("text")))
@@ -193,16 +195,16 @@ UNION ALL SELECT 'fault', dest, 'destination exists' FROM p WHERE tag = 'legacy'
 
 
 def truth_faults(spark, d):
-    role = _case(_i, "", None, " kick ", "kick", "nope")
-    return benchmark.label_violations(_docs(spark, d).select(_i.cast("string").alias("path"), role.alias("true_role")), ("kick", "snare"))
+    role = _case(_i(), "", None, " kick ", "kick", "nope")
+    return benchmark.label_violations(_docs(spark, d).select(_i().cast("string").alias("path"), role.alias("true_role")), ("kick", "snare"))
 
 
 TRUTH_SQL = "SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 < 2 THEN 'unlabelled row' ELSE 'invalid true_role' END AS violation FROM documents WHERE doc_id % 5 IN (0, 1, 4)"
 
 
 def audit_faults(spark, d):
-    path = _case(_i, _text("CURATED/KICKS/", _i), _text("CURATED/PERC/", _i), _text("PACKS/", _i), _text("CURATED/KICKS/../", _i))
-    rows = _docs(spark, d).select(path.alias("path"), _case(_i, "KICKS", "PERC", "BASS").alias("current_role"), _case(_i, "REVIEW", "KICKS", "BASS", "ZZZ", None).alias("suggested_role"))
+    path = _case(_i(), _text("CURATED/KICKS/", _i()), _text("CURATED/PERC/", _i()), _text("PACKS/", _i()), _text("CURATED/KICKS/../", _i()))
+    rows = _docs(spark, d).select(path.alias("path"), _case(_i(), "KICKS", "PERC", "BASS").alias("current_role"), _case(_i(), "REVIEW", "KICKS", "BASS", "ZZZ", None).alias("suggested_role"))
     return audit.violations(rows)
 
 
