@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cratelake.llm.common import staged
@@ -20,6 +21,8 @@ HOT = 20_000
 BROADCAST = 1_000_000
 #: Rows that a task sorts at a time.
 CHUNK = 20_000
+#: Words up to which a match is extended in one round, and of which a task returns the hashes at a time.
+FAR, ASKED = 4096, 1 << 20
 ROWS = "key long, more long, doc_id long, pos int, around binary, n int, src_doc long, src_start int"
 PLACES = "key long, left long, right long, doc_id long, pos int"
 #: How a suffix is dealt, for the windows that begin before it on its left half and for those on the right: by its key, by
@@ -266,19 +269,86 @@ def repeated_windows(texts: DataFrame, width: int, k: int, hot: int = HOT) -> Da
     return dealt.mapInArrow(_neighbours(width - k), SPANS)
 
 
+def _beside(reach: int):
+    """The hashes of up to ``reach`` words after or before each of the asked places of a document, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part, data, off in slices(whole, "text"):
+                s, e, d = cut_words(data, off)
+                h = word_hashes(data, s, e).view(np.int64)
+                begin = np.searchsorted(d, np.arange(len(off)), "left")
+                wanted = part.column("_ends")
+                of = np.repeat(np.arange(len(part)), pc.list_value_length(wanted).to_numpy(zero_copy_only=False))
+                flat, ids = wanted.flatten(), part.column("doc_id")
+                at, after = flat.field("at").to_numpy().astype(np.int64), flat.field("after").to_numpy(zero_copy_only=False)
+                n = np.minimum(reach, np.where(after, begin[of + 1] - begin[of] - at, at))
+                # as many places at a time as ask for some ASKED words
+                cuts = np.flatnonzero(np.diff(np.cumsum(n) // ASKED)) + 1
+                for some in np.split(np.arange(len(n)), cuts):
+                    edges = np.concatenate([[0], np.cumsum(n[some])])
+                    row = np.repeat(some, n[some])
+                    step = np.arange(len(row)) - np.repeat(edges[:-1], n[some])
+                    word = begin[of[row]] + np.where(after[row], at[row] + step, at[row] - 1 - step)
+                    lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(h[word]))
+                    cols = [ids.take(pa.array(of[some])), pa.array(at[some].astype(np.int32)), pa.array(after[some]), lists]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "at", "after", "near"])
+
+    return run
+
+
+def _agreeing(own: str, other: str) -> Column:
+    """How many words two lists begin with alike; none where one is missing."""
+    differs = F.array_position(F.zip_with(own, other, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(F.col(own).isNull() | F.col(other).isNull(), 0).when(differs > 0, differs - 1).otherwise(F.size(own)).cast("int")
+
+
+def extended(texts: DataFrame, spans: DataFrame) -> DataFrame:
+    """``spans`` (doc_id, start, n_words, src_doc, src_start) word by word to the left and right at their own
+    coordinates, until the words differ or a document ends; those that become one are one row.
+
+    One word on each side is compared first; spans that agree there go on with 8 times as many, up to ``FAR`` at a
+    time. Each place of a document is read once a round, however many spans end there.
+    """
+    going, done, reach = spans.select("doc_id", "start", "n_words", "src_doc", "src_start", F.lit(True).alias("_left"), F.lit(True).alias("_right")), [], 1
+    while True:
+        going = staged(going, "spans")
+        if done and going.isEmpty():
+            break
+        places = [("doc_id", F.col("start"), False, "_left"), ("src_doc", F.col("src_start"), False, "_left")]
+        places += [("doc_id", F.col("start") + F.col("n_words"), True, "_right"), ("src_doc", F.col("src_start") + F.col("n_words"), True, "_right")]
+        ends = [F.when(F.col(on), F.struct(F.col(doc).alias("_id"), at.cast("int").alias("at"), F.lit(after).alias("after"))) for doc, at, after, on in places]
+        asked = going.select(F.explode(F.filter(F.array(*ends), lambda x: x.isNotNull())).alias("x"))
+        asked = asked.groupBy("x._id").agg(F.collect_set(F.struct("x.at", "x.after")).alias("_ends"))
+        found = texts.join(asked.hint("shuffle_hash"), texts["doc_id"] == asked["_id"]).drop("_id")
+        beside = staged(found.mapInArrow(_beside(reach), "doc long, at int, after boolean, near array<long>"), "beside")
+        for i, (doc, at, after, on) in enumerate(places):
+            near = beside.filter(F.col("after") == after).select(F.col("doc").alias("_doc"), F.col("at").alias("_at"), F.col("near").alias(f"_near{i}"))
+            going = going.join(near, F.col(on) & (F.col(doc) == F.col("_doc")) & (at == F.col("_at")), "left").drop("_doc", "_at")
+        left, right = F.col("_before"), F.col("_after")
+        going = staged(going.withColumns({"_before": _agreeing("_near0", "_near1"), "_after": _agreeing("_near2", "_near3")}).select(
+            "doc_id", (F.col("start") - left).alias("start"), (F.col("n_words") + left + right).alias("n_words"), "src_doc", (F.col("src_start") - left).alias("src_start"),
+            (left == reach).alias("_left"), (right == reach).alias("_right"),
+        ), "extended")
+        done.append(going.filter("NOT _left AND NOT _right").drop("_left", "_right"))
+        going = going.filter("_left OR _right")
+        reach = min(8 * reach, FAR)
+    return reduce(DataFrame.unionByName, done).distinct()
+
+
 def sparse_suffix_repeats(docs: DataFrame, min_words: int = 50, k: int = 16) -> DataFrame:
     """Passages of at least ``min_words`` words that also start earlier: (doc_id, start, n_words,
-    match_doc_id, match_start), in words. A passage is extended to the left and right as far as both
-    places agree; where several earlier places agree with different parts of it, there is a row for
-    each of their parts.
+    match_doc_id, match_start), in words. Each match is extended to the left and right, word by word, as
+    far as both of its places agree, so that no row could be longer where it stands; where several earlier
+    places agree with different parts of a passage, there is a row for each, and these may overlap.
 
     Null and blank texts give no rows; documents come in the order of doc_id, null last, and rows of one
     id in that of their texts' hashes; of equal texts all but the first are repeated; an empty table
     gives an empty result; other columns are ignored.
     """
     d = Documents(docs.select("doc_id", "text"))
-    m = compact(repeated_windows(d.texts, min_words, k)).withColumn("n", F.col("n") + (min_words - 1))
-    return d.named(m.select("doc_id", "start", F.col("n").alias("n_words"), "src_doc", "src_start"), min_words)
+    m = compact(repeated_windows(d.texts, min_words, k)).withColumn("n_words", F.col("n") + (min_words - 1))
+    return d.named(extended(d.texts, m), min_words)
 
 
 def op3_suffix_repeats(spark, sf_dir: str) -> DataFrame:

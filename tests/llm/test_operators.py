@@ -94,6 +94,23 @@ def test_matches_reach_as_far_as_the_words_agree(spark):
     assert sorted(tuple(r) for r in got) == [(2, 2, 70, 1, 1), (3, 0, 120, 2, 2)]
 
 
+def test_no_match_could_be_longer(spark, docs, monkeypatch):
+    """Where the nearest earlier place changes inside a passage, each place's match still reaches its own ends."""
+    p, far = passage(42, 120).split(), passage(43, 5000).split()
+    rows = [(1, " ".join(p)), (2, " ".join(["x", *p[30:90], "y"])), (3, " ".join(p)), (4, " ".join(far)), (5, " ".join(["u", *far[2000:2060], "v"])), (6, " ".join(far))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [(2, 1, 60, 1, 30), (3, 0, 120, 1, 0), (3, 30, 60, 2, 1), (5, 1, 60, 4, 2000), (6, 0, 5000, 4, 0), (6, 2000, 60, 5, 1)]
+    assert sorted(tuple(r) for r in suffixes.sparse_suffix_repeats(df).collect()) == want
+    monkeypatch.setattr(suffixes, "ASKED", 7)
+    assert sorted(tuple(r) for r in suffixes.sparse_suffix_repeats(df).collect()) == want
+    words_of = {i: (t or "").split() for i, t in enumerate(TEXTS)}
+    at = lambda i, j: words_of[i][j] if 0 <= j < len(words_of[i]) else (i, j)  # noqa: E731  (beyond a text nothing is alike)
+    for r in suffixes.sparse_suffix_repeats(docs.filter("doc_id IS NOT NULL")).collect():
+        a, x, n, b, y = r
+        assert all(at(a, x + j) == at(b, y + j) for j in range(n))
+        assert at(a, x - 1) != at(b, y - 1) and at(a, x + n) != at(b, y + n)
+
+
 def test_paths_end_where_the_graph_branches(spark):
     p, q, r = (passage(s, 40) for s in (51, 52, 53))
     rows = [(1, f"{p} {q}"), (2, f"x {p} {q} y"), (3, f"{p} {r}"), (4, f"z {p} {r}")]
