@@ -14,6 +14,8 @@ CLASSES = (("lower", "[a-z]+"), ("space", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]
 
 #: Which of them holds what stands between words.
 SPACES = 1
+#: Common words of all languages up to which they are constants of the plan; more are joined.
+FEW = 4096
 
 
 def with_classes(t: DataFrame) -> DataFrame:
@@ -100,9 +102,16 @@ def word_shares(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     vocabulary is; of equal rows one. An empty word marks each text, so that one without any of the
     words has a row too."""
     t = with_lang(docs).select("lang", _row_key().alias("key"), words(F.lower("text")).alias("w"))
-    marked = vocabulary.select("word").distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "word string"))
-    each = t.select("key", "lang", F.size("w").alias("n_words"), F.explode(F.concat("w", F.array(F.lit("")))).alias("word"))
-    n = each.join(_small(marked), "word").groupBy("key", "lang", "n_words", "word").agg(F.count("*").alias("n"))
+    t = t.select("key", "lang", F.size("w").alias("n_words"), "w")
+    known = staged(vocabulary.select("word").distinct(), "known")
+    few = known.limit(FEW + 1).collect()
+    if len(few) <= FEW:  # picked out inside the text, so that the other words make no rows
+        each = t.withColumn("w", F.filter("w", lambda x: x.isin([r["word"] for r in few])))
+        each = each.select("key", "lang", "n_words", F.explode(F.concat("w", F.array(F.lit("")))).alias("word"))
+    else:
+        marked = known.unionByName(docs.sparkSession.createDataFrame([("",)], "word string"))
+        each = t.select("key", "lang", "n_words", F.explode(F.concat("w", F.array(F.lit("")))).alias("word")).join(_small(marked), "word")
+    n = each.groupBy("key", "lang", "n_words", "word").agg(F.count("*").alias("n"))
     copies = F.max(F.when(F.col("word") == "", F.col("n"))).over(Window.partitionBy("key"))
     return n.select("key", "lang", "n_words", "word", F.when(F.col("word") == "", 0.0).otherwise(F.col("n") / copies / F.greatest("n_words", F.lit(1))).alias("share"))
 

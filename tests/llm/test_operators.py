@@ -284,6 +284,17 @@ def test_rules_count_as_brute_force(docs):
         assert not (got[i]["kept"] and got[i]["base_failed"])
 
 
+def test_common_words_as_constants_or_joined(spark, monkeypatch):
+    rows = [(i, " ".join(["The", "of", "the", *passage(i, 60).split(), "of"][: 3 + i % 70]), ["en", "fr", None][i % 3], "a", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    vocabulary = quality_rules.common_words(df)
+    some = lambda: sorted(tuple(r) for r in quality_rules.word_shares(df, vocabulary).select("key", "word", "n_words", "share").collect())
+    want = some()
+    assert {w for _, w, _, _ in want} == {"", "the", "of"} | {r["word"] for r in vocabulary.collect()}
+    monkeypatch.setattr(quality_rules, "FEW", 0)
+    assert some() == want
+
+
 def test_discriminant(spark):
     clean, junk = [passage(i, 60).capitalize() + "." for i in range(30)], [" ".join(w + "###" for w in passage(i, 60).split()) for i in range(30)]
     stats = quality_model.measured(spark.createDataFrame([(i, t) for i, t in enumerate(clean + junk)], "doc_id long, text string"))
