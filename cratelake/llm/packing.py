@@ -100,9 +100,60 @@ def _fill(room: int, sizes: list[int], counts: list[int]) -> list[tuple[int, int
     return list(out.items())
 
 
-def configurations(rounded: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns over few sizes, each with how often it is used, until no piece is left: the largest
-    size that is left, with the best filling of what room it leaves."""
+def _dearest(room: int, sizes: np.ndarray, prices: np.ndarray) -> np.ndarray:
+    """How many pieces of each size fill ``room`` at the highest total price (an unbounded knapsack). Fillings up to the
+    least size more than those known follow from these, so that many are found at once."""
+    best, last = np.zeros(room + 1), np.full(room + 1, -1)
+    step = int(sizes.min())
+    for lo in range(step, room + 1, step):
+        at = np.arange(lo, min(lo + step, room + 1))
+        before = at[:, None] - sizes
+        worth = np.where(before >= 0, best[np.maximum(before, 0)] + prices, -1.0)
+        pick = worth.argmax(axis=1)
+        top, left = worth[np.arange(len(at)), pick], best[lo - 1]
+        use = top > np.maximum(left, 0)
+        best[at], last[at] = np.where(use, top, left), np.where(use, pick, -1)
+        # a larger room holds what a smaller one does
+        best[at] = np.maximum.accumulate(best[at])
+    out, x = np.zeros(len(sizes), np.int64), room
+    while x >= step:
+        if last[x] < 0 or x and best[x - 1] >= best[x]:
+            x -= 1
+            continue
+        out[last[x]] += 1
+        x -= int(sizes[last[x]])
+    return out
+
+
+def _mix(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (columns) and how often to use each, in fractions, for the fewest bins over all sizes together: the
+    linear relaxation of cutting stock, a pattern at a time brought in that is worth more than a bin at the prices
+    that the present ones set. It ends when none is worth ``1 + gap``, which bounds the excess, or after ``rounds``;
+    the patterns hold all pieces at any time."""
+    patterns = np.diag((capacity // sizes).astype(float))
+    inverse, times = np.diag(1 / np.diag(patterns)), counts / np.diag(patterns)
+    for i in range(1, rounds + 1):
+        prices = inverse.sum(axis=0)
+        column = _dearest(capacity, sizes, prices)
+        if prices @ column <= 1 + gap:
+            break
+        swap = np.einsum("ij,j->i", inverse, column)
+        ratio = np.where(swap > 1e-9, times / np.where(swap > 1e-9, swap, 1), np.inf)
+        out = int(ratio.argmin())
+        times = np.maximum(times - ratio[out] * swap, 0)
+        times[out], patterns[:, out] = ratio[out], column
+        if i % 500:
+            row = inverse[out] / swap[out]
+            inverse -= np.outer(swap, row)
+            inverse[out] = row
+        else:  # what rounding has added up goes
+            inverse = np.linalg.inv(patterns)
+            times = np.maximum(inverse @ counts, 0)
+    return np.rint(patterns).astype(np.int64), times
+
+
+def _greedy(rounded: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Patterns for what is left: the largest size, with the best filling of what room it leaves, as often as it goes."""
     left, out = list(counts), []
     for big in sorted(range(len(rounded)), key=lambda i: -rounded[i]):
         while left[big]:
@@ -117,6 +168,24 @@ def configurations(rounded: list[int], counts: list[int], capacity: int) -> list
     return out
 
 
+def configurations(rounded: list[int], counts: list[int], capacity: int, rounds: int = 4000, gap: float = 1e-3) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Patterns over few sizes, each with how often it is used, until no piece is left.
+
+    The fractions of ``_mix`` are rounded down, and what they leave, a few pieces of each size, is filled
+    greedily; if that takes more bins than filling all of it greedily, the latter is returned.
+    """
+    plain = _greedy(rounded, counts, capacity)
+    patterns, times = _mix(np.array(rounded), np.array(counts, float), capacity, rounds, gap)
+    left, out = np.array(counts), []
+    for p, t in zip(patterns.T, np.floor(times + 1e-6).astype(np.int64), strict=True):
+        held = np.flatnonzero(p)
+        if (t := min(t, (left[held] // p[held]).min())) > 0:
+            left -= t * p
+            out.append((int(t), [(int(i), int(p[i])) for i in sorted(held, key=lambda i: -rounded[i])]))
+    out += _greedy(rounded, left.tolist(), capacity)
+    return min(plain, out, key=lambda plan: sum(t for t, _ in plan))
+
+
 def _best_fit(slack: dict[int, int], small: dict[int, int], capacity: int) -> tuple[list[tuple], int]:
     """Best fit by lengths, longest first, on counts alone.
 

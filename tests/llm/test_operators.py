@@ -284,6 +284,21 @@ def test_rules_count_as_brute_force(docs):
         assert not (got[i]["kept"] and got[i]["base_failed"])
 
 
+def test_configurations_near_the_fewest_bins():
+    rng = np.random.default_rng(7)
+    lengths = np.sort(np.clip(rng.lognormal(5.9, 0.5, 3000).astype(int), 97, 1023))[::-1].tolist()
+    sizes, counts = lengths[::16], [len(lengths[g : g + 16]) for g in range(0, len(lengths), 16)]
+    plan, held = packing.configurations(sizes, counts, 1024), [0] * len(sizes)
+    for times, fill in plan:
+        assert times > 0 and sum(sizes[i] * n for i, n in fill) <= 1024
+        for i, n in fill:
+            held[i] += times * n
+    least = sum(s * n for s, n in zip(sizes, counts, strict=True)) / 1024
+    assert held == counts and least <= sum(t for t, _ in plan) <= 1.02 * least
+    assert sum(t for t, _ in packing.configurations([50, 30, 20], [3, 3, 3], 100)) == 3
+    assert packing.configurations([1000], [5], 1024) == [(5, [(0, 1)])]
+
+
 def test_common_words_as_constants_or_joined(spark, monkeypatch):
     rows = [(i, " ".join(["The", "of", "the", *passage(i, 60).split(), "of"][: 3 + i % 70]), ["en", "fr", None][i % 3], "a", 1) for i in range(120)]
     df = spark.createDataFrame(rows, SCHEMA)
