@@ -18,6 +18,8 @@ from cratelake.llm.wordspans import SPANS, cut_words, diagonals, grams, mix, sli
 #: Documents whose minimisers tell which are hot, and the share of them (at least so many runs) from
 #: which one is. This decides only where edges meet, not which are equal.
 SAMPLE, HOT_SHARE, HOT_RUNS = 20_000, 0.005, 64
+#: Bytes of text to a bucket of edges, and edges of a bucket that are compared at a time.
+BUCKET_BYTES, TOGETHER = 16_000_000, 4_000_000
 #: Positions of a source to a cell, in which its paths and the runs on them meet.
 CELL = 256
 ROWS = "bucket int, keys binary, docs binary, starts binary, counts binary, tags binary, " + SPANS
@@ -109,43 +111,51 @@ def _deal(k: int, minimiser: int, buckets: int, hot: np.ndarray):
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by bucket; edges of a bucket that are equal are repeats of the first of them. Runs
-    that are known to repeat go through."""
-    held: list[pa.RecordBatch] = []
-
-    def bucket() -> pa.RecordBatch:
-        raw = {c: np.frombuffer(b"".join(x for b in held for x in b.column(c).to_pylist()), np.uint8) for c, _ in _PACKED}
-        keys = np.zeros((len(raw["keys"]) // 5, 8), np.uint8)
-        keys[:, :5] = raw["keys"].reshape(-1, 5)
-        n = raw["counts"].view("<u2").astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        doc, tag, key = raw["docs"].view("<i8")[row], raw["tags"].view("<u8"), keys.view("<u8")[:, 0][row]
-        pos = raw["starts"].view("<i4").astype(np.int64)[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        by_place = np.lexsort((pos, doc))
-        doc, tag, key, pos = doc[by_place], tag[by_place], key[by_place], pos[by_place]
-        _, first, of = np.unique(mix(key) ^ tag, return_index=True, return_inverse=True)
-        lead = first[of]
-        again = (lead != np.arange(len(lead))) & (key[lead] == key) & (tag[lead] == tag)
-        return _spans(diagonals(doc[again], pos[again], doc[lead[again]], pos[lead[again]]), False)
-
-    now = None
-    for b in batches:
-        through = pc.is_null(b.column("keys"))
-        if (plain := b.filter(through)).num_rows:
-            yield plain.select(list(_SPAN))
-        b = b.filter(pc.invert(through))
-        at = b.column("bucket").to_numpy()
-        edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
-        for x, y in zip(edges, edges[1:], strict=False):
-            if y > x:
-                if held and at[x] != now:
-                    yield bucket()
-                    held.clear()
-                now = at[x]
-                held.append(b.slice(x, y - x))
-    if held:
-        yield bucket()
+def _meet(together: int):
+    """Rows come by bucket; edges of a bucket that are equal are repeats of the first of them. A bucket of
+    over ``together`` edges is compared in parts by their hashes. Runs that are known to repeat go through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def bucket() -> Iterator[pa.RecordBatch]:
+            raw = {c: np.frombuffer(b"".join(x for b in held for x in b.column(c).to_pylist()), np.uint8) for c, _ in _PACKED}
+            keys = np.zeros((len(raw["keys"]) // 5, 8), np.uint8)
+            keys[:, :5] = raw["keys"].reshape(-1, 5)
+            n = raw["counts"].view("<u2").astype(np.int64)
+            tags, end, lows = raw["tags"].view("<u8"), np.cumsum(n), keys.view("<u8")[:, 0]
+            parts = max(1, -(-len(tags) // together))
+            for part in range(parts):
+                own = np.flatnonzero(tags % np.uint64(parts) == part) if parts > 1 else np.arange(len(tags))
+                row = np.searchsorted(end, own, "right")
+                doc, tag, key = raw["docs"].view("<i8")[row], tags[own], lows[row]
+                pos = raw["starts"].view("<i4").astype(np.int64)[row] + own - (end - n)[row]
+                by_place = np.lexsort((pos, doc))
+                doc, tag, key, pos = doc[by_place], tag[by_place], key[by_place], pos[by_place]
+                _, first, of = np.unique(mix(key) ^ tag, return_index=True, return_inverse=True)
+                lead = first[of]
+                again = (lead != np.arange(len(lead))) & (key[lead] == key) & (tag[lead] == tag)
+                yield _spans(diagonals(doc[again], pos[again], doc[lead[again]], pos[lead[again]]), False)
+
+        now = None
+        for b in batches:
+            through = pc.is_null(b.column("keys"))
+            if (plain := b.filter(through)).num_rows:
+                yield plain.select(list(_SPAN))
+            b = b.filter(pc.invert(through))
+            at = b.column("bucket").to_numpy()
+            edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+            for x, y in zip(edges, edges[1:], strict=False):
+                if y > x:
+                    if held and at[x] != now:
+                        yield from bucket()
+                        held.clear()
+                    now = at[x]
+                    held.append(b.slice(x, y - x))
+        if held:
+            yield from bucket()
+
+    return run
 
 
 def repeated_edges(texts: DataFrame, k: int = 20, minimiser: int = 10) -> DataFrame:
@@ -154,9 +164,10 @@ def repeated_edges(texts: DataFrame, k: int = 20, minimiser: int = 10) -> DataFr
     (doc_id, start). An edge is a run of ``k`` words; its first place is its name. Every occurrence of
     an edge that has an earlier one is in a row. ``texts`` (doc_id, text) has an id once."""
     hot = hot_minimisers(texts, k, minimiser)
-    buckets = 16 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(16 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     dealt = texts.mapInArrow(_deal(k, minimiser, buckets, hot), ROWS).repartition("bucket").sortWithinPartitions("bucket")
-    return compact(dealt.mapInArrow(_meet, SPANS))
+    return compact(dealt.mapInArrow(_meet(TOGETHER), SPANS))
 
 
 def paths(runs: DataFrame) -> DataFrame:

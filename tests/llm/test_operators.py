@@ -74,6 +74,11 @@ def test_hot_minimisers_lose_no_edge(monkeypatch, docs):
     test_repeated_passages(docs, 20, {})
 
 
+def test_large_buckets_are_compared_in_parts(monkeypatch, docs):
+    monkeypatch.setattr(debruijn, "TOGETHER", 7)
+    test_repeated_passages(docs, 20, {})
+
+
 def test_suffixes_of_one_key_over_many_batches(spark):
     base, rows = passage(31, 16), []
     for i in range(300):  # one gram of 16 words with 300 surroundings, of which each comes twice
