@@ -1,5 +1,5 @@
-"""Near copies at a similarity: wide SimHash fingerprints, a grid join over their segments, and the
-shingles of the two texts decide."""
+"""Near copies at a similarity: wide SimHash fingerprints, a grid join over the bit counts of their segments,
+and the shingles of the two texts decide."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cratelake.llm.common import staged
 from cratelake.llm.documents import text_key
 from cratelake.llm.graph import components
-from cratelake.llm.simhash import majority
+from cratelake.llm.simhash import counts, majority, unary
 from cratelake.llm.wordspans import cut_words, grams, mix, slices, word_hashes
 
 #: 64-bit SimHashes of a text, with independent hashes.
@@ -30,10 +30,13 @@ BROADCAST = 1_000_000
 #: chance of 0.1515: of 512 bits 78 differ (deviation 8.1), so that these bits are 3.9 deviations off. Unrelated
 #: texts differ in 256 (11.3).
 MOST_BITS = 110
-#: One-bit segments that make a cell, and cells that a text is in. Two independent texts at similarity 0.80 share a
-#: cell with a chance of 0.91, at 0.82 of 0.95, at 0.85 of 0.99. The same for every size of table: more segments make
-#: fewer chance meetings, more cells make up for them.
-BITS, CELLS = 20, 64
+#: Of one SimHash 9.7 bits differ at 0.8 (deviation 2.9), so that these are 4.3 deviations off; of unrelated texts 32
+#: (4.0). The Manhattan distance of the bit counts is never more.
+FIRST_BITS = 22
+#: Two-bit segments whose bit counts make a cell, and cells that a text is in. The counts of a segment agree with a chance
+#: of 0.731 at similarity 0.80 and of 0.375 in unrelated texts: two independent texts at 0.80 share a cell with a
+#: chance of 0.93, at 0.82 of 0.96, at 0.85 of 0.99. The same for every size of table.
+SEGMENTS, CELLS = 12, 128
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,10 +53,9 @@ def _sets(data: np.ndarray, off: np.ndarray, shingle: int) -> list[np.ndarray]:
     return sets
 
 
-def _sketch(shingle: int, bits: int, cells: int):
+def _sketch(shingle: int):
     rng = np.random.default_rng(11)
     odd, flip = (rng.integers(0, 1 << 63, PRINTS, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
-    chosen = np.stack([rng.choice(64 * PRINTS, bits, replace=False) for _ in range(cells)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -67,19 +69,70 @@ def _sketch(shingle: int, bits: int, cells: int):
                     sig[full] = mix(np.add.reduceat(mix(all_of + np.uint64(0x632BE59BD9B4E019)), at) + n[full].astype(np.uint64))
                     for i in range(PRINTS):
                         prints[:, i] = majority(mix(all_of * odd[i] ^ flip[i]), doc, n)
-                one = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
-                cell = np.zeros((len(sets), cells), np.int64)
-                for i in range(bits):
-                    cell |= one[:, chosen[:, i]].astype(np.int64) << i
-                cell |= np.arange(cells) << bits
-                edges = np.concatenate([[0], np.cumsum((n > 0) * cells)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(cell[full].reshape(-1)))
                 fps = pa.FixedSizeListArray.from_arrays(pa.array(prints.reshape(-1).view(np.int64)), PRINTS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(sig.view(np.int64)), fps, lists], ["doc_id", "key", "sig", "fps", "cells"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(sig.view(np.int64)), fps, pa.array(n > 0)], ["doc_id", "key", "sig", "fps", "full"])
 
     return run
 
 
+def _grid(segments: int, cells: int):
+    """The cells (cell, sig, fp) of each text, fp its first SimHash: a cell is a choice of segments and their bit counts."""
+    rng = np.random.default_rng(12)
+    chosen = np.stack([rng.choice(32 * PRINTS, segments, replace=False) for _ in range(cells)])
+    if cells * 3**segments >= 1 << 63:
+        raise ValueError("a cell has no number of 64 bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                part = whole.slice(i, 1024)
+                sig = part.column("sig").to_numpy()
+                prints = part.column("fps").flatten().to_numpy().view(np.uint64).reshape(len(sig), PRINTS)
+                many = counts(prints)
+                cell = np.tile(np.arange(cells), (len(sig), 1))
+                for j in range(segments):
+                    cell = cell * 3 + many[:, chosen[:, j]]
+                first = np.repeat(prints[:, 0].view(np.int64), cells)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1)), pa.array(np.repeat(sig, cells)), pa.array(first)], ["cell", "sig", "fp"])
+
+    return run
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, sig, fp) come by cell; those go on that have another one in their cell at a distance of ``FIRST_BITS``: the
+    Manhattan distance of the bit counts discards, the bits decide. A cell of over ``BLOCK`` members goes on whole."""
+    held: list[pa.RecordBatch] = []
+
+    def out(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, sig, fp = (np.concatenate([b.column(c).to_numpy() for b in rows]) for c in ("cell", "sig", "fp"))
+        new = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        size = np.diff(np.append(new, len(cell)))
+        size, left = np.repeat(size, size), np.repeat(new + size, size) - np.arange(len(cell))
+        fp, keep = fp.view(np.uint64), size > BLOCK
+        flat = unary(fp)
+        rest = np.flatnonzero((size > 1) & ~keep)
+        for lag in range(1, BLOCK):
+            rest = rest[left[rest] > lag]
+            if not len(rest):
+                break
+            a = rest[np.bitwise_count(flat[rest] ^ flat[rest + lag]) <= FIRST_BITS]
+            a = a[np.bitwise_count(fp[a] ^ fp[a + lag]) <= FIRST_BITS]
+            keep[a] = keep[a + lag] = True
+        yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(sig[keep])], ["cell", "sig"])
+
+    for b in batches:
+        at = b.column("cell").to_numpy()
+        if not len(at):
+            continue
+        cut = int(np.searchsorted(at, at[-1]))  # the last cell may go on in the next batch
+        if cut or held and held[-1].column("cell")[-1] != b.column("cell")[0]:
+            yield from out([*held, b.slice(0, cut)] if cut else held)
+            held = []
+        held.append(b.slice(cut))
+    if held:
+        yield from out(held)
+
+
 def _verify(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(text: str) -> np.ndarray:
@@ -220,31 +273,33 @@ def _linked(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.drop("root").join(roots, F.col("sig") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sig")).drop("node")
 
 
-def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, cell: int = CELL, bits: int = BITS, cells: int = CELLS) -> DataFrame:
+def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, cell: int = CELL, segments: int = SEGMENTS, cells: int = CELLS) -> DataFrame:
     """(doc_id, key, root) of each row: rows with one root are linked by steps of at least ``least``
     Jaccard similarity of their sets of ``shingle``-word shingles, A-Z as a-z; key is ``text_key``.
 
-    Equal sets are one member (64 bits of their hash). Others have ``PRINTS`` SimHashes; those that
-    agree in all ``bits`` segments of one of ``cells`` grid cells meet, as in operator 7's cells, here with one-bit
-    segments, as 8 to 20 bits differ at this similarity. First every member is compared with one
-    leader of its cells; then, in cells that still hold different groups, all pairs of these.
-    Of each pair the SimHashes, and at last the texts must be near. In cells of over ``cell`` members
-    the pairs are compared inside of tasks, in blocks, which give links enough to join what is near, not all pairs.
+    Equal sets are one member (64 bits of their hash). Others have ``PRINTS`` SimHashes, whose two-bit segments are embedded
+    as their bit counts, as in operator 7. Grid range join: a cell is a choice of ``segments`` coordinates of
+    the embedding; those that share one of ``cells`` cells meet, the Manhattan distance of the counts discards and the
+    bits decide. First every member is compared with one leader of its cells; then, in cells that still hold
+    different groups, all pairs of these. Of each pair all SimHashes, and at last the texts must be near. In cells of over
+    ``cell`` members the pairs are compared inside of tasks, in blocks, which give links enough to join what is near, not
+    all pairs.
 
-    Nothing depends on the number of rows. Unrelated texts meet by chance in a cell with 2**-``bits``: for tables of far over
-    50,000,000 texts more ``bits``, with more ``cells`` for the same recall (22, 96; 26, 192), save comparisons.
+    Nothing depends on the number of rows. Unrelated texts meet by chance in a cell with 0.375**``segments``: for tables of far
+    over 50,000,000 texts more ``segments``, with more ``cells`` for the same recall (14, 210), save comparisons.
 
     Texts without a word, and nulls, are one group; short texts are one shingle; very long texts are read whole; repeated rows
     have one root; other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("key"))
-    prints = staged(rows.mapInArrow(_sketch(shingle, bits, cells), "doc_id long, key long, sig long, fps array<long>, cells array<long>"), "prints")
-    unique = prints.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("of"), F.first("fps").alias("fps"), F.first("cells").alias("cells"))
+    prints = staged(rows.mapInArrow(_sketch(shingle), "doc_id long, key long, sig long, fps array<long>, full boolean"), "prints")
+    unique = prints.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "key")).alias("of"), F.first("fps").alias("fps"), F.first("full").alias("full"))
     unique = staged(unique, "unique")
     texts = _Texts(rows, unique, shingle, least)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = unique.select("sig", "cells").repartition(parts, "sig").select("sig", F.explode("cells").alias("cell"))
-    met = staged(every.withColumn("n", F.count("*").over(Window.partitionBy("cell"))).filter("n > 1"), "cells")
+    every = unique.filter("full").select("sig", "fps").repartition(parts, "sig").mapInArrow(_grid(segments, cells), "cell long, sig long, fp long")
+    near = every.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(_ranges, "cell long, sig long")
+    met = staged(near.withColumn("n", F.count("*").over(Window.partitionBy("cell"))), "cells")
     # the text that the others are copies of meets most of them, while they, each with edits of its own, meet less often
     degree = staged(met.groupBy("sig").agg(F.sum("n").alias("degree")), "degrees")
     met = staged(met.drop("n").join(degree, "sig").join(unique.select("sig", "fps"), "sig").withColumn("root", F.col("sig")), "cells")

@@ -71,6 +71,18 @@ def embed(fp: Column) -> Column:
     return even.bitwiseOR(odd).bitwiseOR(F.shiftleft(even.bitwiseAND(odd), 1))
 
 
+def unary(fp: np.ndarray) -> np.ndarray:
+    """``embed`` of an array of fingerprints."""
+    even, odd = fp & np.uint64(EVEN), fp >> np.uint64(1) & np.uint64(EVEN)
+    return even | odd | (even & odd) << np.uint64(1)
+
+
+def counts(prints: np.ndarray) -> np.ndarray:
+    """The bit counts of the two-bit segments of rows of fingerprints, 32 for each fingerprint."""
+    one = np.unpackbits(prints.view(np.uint8), axis=1, bitorder="little")
+    return one[:, ::2] + one[:, 1::2]
+
+
 def _masks(bits: int, blocks: int) -> list[int]:
     """Of ``blocks`` groups of segments at least blocks - bits are alike in two vectors at Manhattan
     distance ``bits`` or less; a mask for each choice of that many."""

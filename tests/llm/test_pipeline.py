@@ -4,7 +4,9 @@ import collections
 import random
 
 import corpus_pipeline
-from cratelake.llm import neardup
+import numpy as np
+import pyarrow as pa
+from cratelake.llm import neardup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -162,3 +164,34 @@ def test_run_against_brute_force(spark, tmp_path):
     assert set(stages["mixing"]) <= set(stages["passage_dedup"])
     packed = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r["doc_id"] for r in packed} == {d for d, _, _ in stages["mixing"]}
+
+
+def test_the_grid_of_bit_counts_keeps_what_is_near_in_a_cell():
+    """Of rows by cell those go on that have another one of the cell within the range, wherever batches are cut."""
+    rng = np.random.default_rng(4)
+    prints = rng.integers(0, 1 << 63, (40, neardup.PRINTS), dtype=np.uint64)
+    # bits that swap places inside a segment leave its count: a segment is not its bits
+    prints[1] = (prints[0] & np.uint64(0x5555555555555555)) << np.uint64(1) | prints[0] >> np.uint64(1) & np.uint64(0x5555555555555555)
+    assert (simhash.counts(prints[:1]) == simhash.counts(prints[1:2])).all() and (simhash.unary(prints[0]) == simhash.unary(prints[1])).all()
+    distance = np.abs(simhash.counts(prints[:, :1].copy()).astype(int)[:, None] - simhash.counts(prints[:, :1].copy()).astype(int)[None]).sum(2)
+    flat = simhash.unary(prints[:, 0])
+    assert (np.bitwise_count(flat[:, None] ^ flat[None]) == distance).all()
+    fps = pa.array(prints.view(np.int64).tolist(), pa.list_(pa.int64()))
+    cells = pa.Table.from_batches(neardup._grid(12, 5)(iter([pa.record_batch([pa.array(range(40)), fps], ["sig", "fps"])]))).to_pylist()
+    of = lambda i: [r["cell"] for r in cells if r["sig"] == i]
+    assert len(cells) == 200 and of(0) == of(1) and len({r["cell"] for r in cells}) >= 180
+
+    rows, want = [], set()
+    for cell in range(60):
+        fp = rng.integers(0, 1 << 63, rng.integers(1, 9), dtype=np.uint64)
+        if cell % 3 == 0 and len(fp) > 2:
+            fp[2] = fp[0] ^ np.uint64(0b1011)
+        near = np.bitwise_count(fp[:, None] ^ fp[None]) <= neardup.FIRST_BITS
+        want |= {(cell, 100 * cell + i) for i in range(len(fp)) if near[i].sum() > 1}
+        rows += [(cell, 100 * cell + i, int(x.view(np.int64))) for i, x in enumerate(fp)]
+    columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+    whole = pa.record_batch(columns, ["cell", "sig", "fp"])
+    for size in (1, 2, 7, len(whole)):
+        got = pa.Table.from_batches(neardup._ranges(iter([whole.slice(i, size) for i in range(0, len(whole), size)])), pa.schema([("cell", pa.int64()), ("sig", pa.int64())]))
+        assert set(zip(got["cell"].to_pylist(), got["sig"].to_pylist(), strict=True)) == want and len(got) == len(want)
+    assert want
