@@ -23,7 +23,7 @@ STARS = 2
 #: Members up to which the pairs of a grid cell are compared one by one; more are a crowd.
 CELL = 32
 #: Members, and bytes of their texts, that make a block of a crowd: two blocks are in a task at a time.
-BLOCK, BLOCK_BYTES = 512, 16_000_000
+BLOCK, BLOCK_BYTES = 512, 4_000_000
 #: Rows up to which a table of (hash, id, key) is broadcast: 32 MB at most.
 BROADCAST = 1_000_000
 #: At Jaccard similarity 0.8 the cosine of two shingle sets is 0.889 at least, and a bit differs with a
