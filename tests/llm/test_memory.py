@@ -5,10 +5,10 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
-from cratelake.llm import neardup
+from cratelake.llm import debruijn, neardup
 
 
-@pytest.mark.parametrize("read", [neardup._sketch(5)])
+@pytest.mark.parametrize("read", [neardup._sketch(5), debruijn._deal(20, 10, 800, np.zeros(0, np.uint64))])
 def test_a_batch_of_texts_is_read_in_small_slices(read):
     rng = np.random.default_rng(1)
     texts = [" ".join(map(str, rng.integers(0, 10**6, 600))) for _ in range(2000)]
