@@ -182,8 +182,42 @@ def _forest(crowd: pa.Table, label: np.ndarray, confirmed: Callable[[int, np.nda
 
 
 def _alike(crowd: pa.Table) -> pa.Table:
-    """Links of two blocks of a cell by the SimHashes alone."""
-    return _forest(crowd, np.arange(len(crowd)), lambda i, others: others)
+    """Links of two blocks of a cell by the SimHashes alone: of each member to the least that it is joined with."""
+    label, sig = np.arange(len(crowd)), crowd.column("sig").to_numpy()
+    _forest(crowd, label, lambda i, others: others)
+    least = np.full(len(sig), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, sig)
+    rest = least[label] != sig
+    return pa.table([pa.array(least[label][rest], pa.int64()), pa.array(sig[rest], pa.int64())], ["a", "b"])
+
+
+def _few_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_alike``, of cells that come with all of their members: what is joined by pairs that are near and have different
+    roots is linked to its least, a link a member at most, not one a pair."""
+    for whole in batches:
+        for at in range(0, len(whole), 1024):
+            cells = whole.column("all").slice(at, 1024)
+            size = np.diff(cells.offsets.to_numpy())
+            sig, fps, root = cells.flatten().flatten()
+            sig, root, cell = sig.to_numpy(), root.to_numpy(), np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((sig, cell))  # a cell stays where it is
+            sig, root, prints = sig[order], root[order], fps.flatten().to_numpy().view(np.uint64).reshape(len(sig), PRINTS)[order]
+            left, rest, pairs = np.repeat(np.cumsum(size), size) - np.arange(len(sig)), np.arange(len(sig)), []
+            for lag in range(1, int(size.max(initial=0))):
+                rest = rest[left[rest] > lag]
+                a = rest[root[rest] != root[rest + lag]]
+                a = a[np.bitwise_count(prints[a] ^ prints[a + lag]).sum(1) <= MOST_BITS]
+                pairs.append((a, a + lag))
+            x, y = (np.concatenate([p[k] for p in pairs]) if pairs else rest[:0] for k in (0, 1))
+            label, last = np.arange(len(sig)), None
+            while last is None or (label != last).any():
+                last, label = label, label.copy()
+                low = np.minimum(last[x], last[y])
+                np.minimum.at(label, x, low)
+                np.minimum.at(label, y, low)
+                label = label[label]
+            rest = np.flatnonzero(label != np.arange(len(sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[label[rest]]), pa.array(sig[rest])], ["a", "b"])
 
 
 def _borne_out(shingle: int, least: float):
@@ -227,16 +261,16 @@ class _Texts:
         both = pairs.join(named("b", "y"), "b").join(named("a", "x"), "a")
         return staged(both.select("a", "b", "x", "y").mapInArrow(_verify(self.shingle, self.least), "a long, b long"), "near")
 
-    def crowds(self, met: DataFrame, pairs: DataFrame, crowded: DataFrame) -> DataFrame:
-        """Links (a, b) between members of cells (sig, fps, root), as if all the pairs (a, b) that the SimHashes give were
-        compared, and all pairs of each crowded cell (cell, n, sig, fps, root).
+    def crowds(self, met: DataFrame, few: DataFrame, crowded: DataFrame) -> DataFrame:
+        """Links (a, b) between members of cells (sig, fps, root), as if all the pairs that the SimHashes give were
+        compared: those that the links ``few`` stand for, and all of each crowded cell (cell, n, sig, fps, root).
 
         Members that the SimHashes join, in one cell or from one to the next, are a crowd; its members are compared by their
         texts in blocks, once, however many cells they share.
         """
         crowded = _dealt(crowded, "cell", F.ceil(F.col("n") / BLOCK)).drop("n")
-        alike = pairs.unionByName(crowded.groupBy("cell", "lo", "hi").applyInArrow(_alike, "a long, b long"))
-        crowd = components(staged(alike.distinct(), "alike")).select(F.col("node").alias("sig"), F.col("root").alias("crowd"))
+        alike = few.unionByName(crowded.groupBy("cell", "lo", "hi").applyInArrow(_alike, "a long, b long"))
+        crowd = components(staged(_hung(_hung(alike)), "alike")).select(F.col("node").alias("sig"), F.col("root").alias("crowd"))
         crowd = staged(met.select("sig", "fps", "root").join(crowd, "sig").dropDuplicates(["sig"]), "crowds")
         texts = crowd.join(self.of(crowd.select("sig")), "sig")
         blocks = texts.groupBy("crowd").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / BLOCK_BYTES)).alias("blocks"))
@@ -244,6 +278,13 @@ class _Texts:
         return staged(dealt.groupBy("crowd", "lo", "hi").applyInArrow(_borne_out(self.shingle, self.least), "a long, b long"), "near")
 
 
+def _hung(links: DataFrame) -> DataFrame:
+    """Links that join what the links (a, b), a < b, join, fewer where the cells of a member name many least ones: these hang
+    on the least of them. A member has no more of them than it has cells and blocks."""
+    near = links.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("_all"))
+    return near.select(F.col("_all")[0].alias("a"), F.explode(F.concat(F.array("b"), F.slice("_all", F.lit(2), F.size("_all")))).alias("b")).distinct()
+
+
 def _stars(met: DataFrame) -> DataFrame:
     """One pair (a, b) for each member: with the member of another root, near by the fingerprints, that leads one of
     its cells. A cell's leader is its member of the greatest degree, a second one that of another root."""
@@ -256,16 +297,14 @@ def _stars(met: DataFrame) -> DataFrame:
     return near.groupBy(F.col("sig").alias("b")).agg(F.max(F.struct("_lead.degree", "_lead.sig")).alias("_a")).select(F.col("_a.sig").alias("a"), "b")
 
 
-def _pairs(met: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of different roots that are near by the fingerprints, of cells with up to
+def _links(met: DataFrame, cell: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join what pairs of different roots, near by the fingerprints, join in cells with up to
     ``cell`` members; and the rows of larger cells."""
     w = Window.partitionBy("cell")
     met = met.withColumn("n", F.count("*").over(w)).withColumn("_lo", F.min(F.struct("root", "sig")).over(w)).withColumn("_hi", F.max(F.struct("root", "sig")).over(w))
     met = met.filter(F.col("_lo.root") != F.col("_hi.root")).drop("degree")
     few = met.filter(F.col("n") <= cell).groupBy("cell").agg(F.collect_list(F.struct("sig", "fps", "root")).alias("all"))
-    other = lambda x: (x["sig"] > F.col("m.sig")) & (x["root"] != F.col("m.root")) & _near(x["fps"], F.col("m.fps"))
-    pairs = few.select(F.explode("all").alias("m"), "all").select(F.col("m.sig").alias("a"), F.explode(F.filter("all", other)).alias("x"))
-    return pairs.select("a", F.col("x.sig").alias("b")), met.filter(F.col("n") > cell)
+    return few.select("all").mapInArrow(_few_alike, "a long, b long"), met.filter(F.col("n") > cell)
 
 
 def _linked(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -308,7 +347,7 @@ def groups(docs: DataFrame, shingle: int = 5, least: float = 0.8, cell: int = CE
         near = texts.near(_stars(met))
         links = near if links is None else links.unionByName(near)
         met = staged(_linked(met, links), "cells")
-    pairs, crowded = _pairs(met, cell)
-    links = links.unionByName(texts.crowds(met, pairs, crowded.select("cell", "n", "sig", "fps", "root")))
+    few, crowded = _links(met, cell)
+    links = links.unionByName(texts.crowds(met, few, crowded.select("cell", "n", "sig", "fps", "root")))
     named = _linked(unique.select("sig"), links)
     return prints.select("doc_id", "key", "sig").join(named, "sig").select("doc_id", "key", "root")

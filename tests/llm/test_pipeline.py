@@ -195,3 +195,50 @@ def test_the_grid_of_bit_counts_keeps_what_is_near_in_a_cell():
         got = pa.Table.from_batches(neardup._ranges(iter([whole.slice(i, size) for i in range(0, len(whole), size)])), pa.schema([("cell", pa.int64()), ("sig", pa.int64())]))
         assert set(zip(got["cell"].to_pylist(), got["sig"].to_pylist(), strict=True)) == want and len(got) == len(want)
     assert want
+
+
+def test_links_of_a_crowd_grow_with_its_members(spark, monkeypatch):
+    """Texts that share many cells of few members: what is joined gets links for its members, not for its pairs."""
+    rng, rows, seen = random.Random(12), [], []
+    base = words(rng, 200)
+    for i in range(200):
+        copy = list(base)
+        for p in rng.sample(range(200), 4):
+            copy[p] = f"edit{i}x{p}"
+        rows.append((i, " ".join(copy), "a"))
+    whole = neardup.components
+
+    def counted(edges):
+        seen.append(edges.count())
+        return whole(edges)
+
+    monkeypatch.setattr(neardup, "components", counted)
+    assert neardup.groups(table(spark, rows), cell=300).count() == 200
+    assert max(seen) <= 3 * 200, seen
+
+
+def test_links_of_cells_join_what_their_pairs_join(spark):
+    rng = np.random.default_rng(5)
+    rows, want = [], set()
+    for cell in range(40):
+        n = int(rng.integers(0, 12))
+        prints = rng.integers(0, 1 << 63, (n, neardup.PRINTS), dtype=np.uint64)
+        for i in range(1, n):  # chains of near ones, whose ends aren't near
+            if rng.random() < 0.7:
+                prints[i] = prints[i - 1] ^ (np.uint64(0xFF) << np.uint64(rng.integers(0, 56)))
+        sig, root = rng.permutation(1000)[:n] + 1000 * cell - 20_000, rng.integers(0, 3, n) + 3 * cell
+        at = rng.permutation(n)
+        rows.append([{"sig": int(sig[i]), "fps": prints[i].view(np.int64).tolist(), "root": int(root[i])} for i in at])
+        near = (np.bitwise_count(prints[:, None] ^ prints[None]).sum(2) <= neardup.MOST_BITS) & (root[:, None] != root[None])
+        label = sig.copy()
+        for _ in range(n):
+            label = np.array([min(label[i], *label[near[i]]) if near[i].any() else label[i] for i in range(n)])
+        want |= {(int(a), int(b)) for a, b in zip(label, sig, strict=True) if a != b}
+    kind = pa.list_(pa.struct([("sig", pa.int64()), ("fps", pa.list_(pa.int64())), ("root", pa.int64())]))
+    whole = pa.record_batch([pa.array(rows, kind)], ["all"])
+    for size in (1, 7, len(whole)):
+        got = pa.Table.from_batches(neardup._few_alike(iter([whole.slice(i, size) for i in range(0, len(whole), size)]))).to_pylist()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
+    links = [(1, 9), (3, 9), (2, 8), (3, 8), (4, 7), (4, 6), (5, 6)]
+    hung = neardup._hung(spark.createDataFrame(links, "a long, b long"))
+    assert {(r.a, r.b) for r in hung.collect()} == {(1, 9), (1, 3), (2, 8), (2, 3), (4, 7), (4, 6), (4, 5)}
