@@ -118,24 +118,30 @@ def _pairs(key: tuple[pa.Scalar, ...], coded: pa.Table, ids: pa.Table) -> pa.Tab
     return _coded(key[0].as_py(), key[1].as_py(), [pa.array(u, pa.int32()), pa.array(v, pa.int32())], counts, out, ["us", "vs"])
 
 
-def _ranked(met: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """(lang, chunk, at, keys, f, id) of all that was met ``least`` times or more in its language, id its rank, the most
-    frequent of a language first.
+def _ranked(met: DataFrame, keys: list[str], least: int, placed: bool) -> DataFrame:
+    """(lang, keys, f, id, chunks, ats) of all that was met ``least`` times or more in its language, id its rank, the most
+    frequent of a language first; chunks and ats, if ``placed``, say where it was met.
 
-    A key has a row a chunk at most, so that the window over a key is small. Ranks are numbers inside of ranges of
-    the order, which are moved by what earlier ranges hold: a number a range comes to the driver.
+    A key has a row a chunk at most, so that the window over a key is small, and what is frequent becomes a row a key
+    before it is ranked. Ranks are numbers inside of ranges of the order, which are moved by what earlier ranges hold: a
+    number a range comes to the driver.
     """
-    total = F.sum("n").over(Window.partitionBy("lang", *keys))
-    often = staged(met.withColumn("f", total).filter(F.col("f") >= least).select("lang", "chunk", "at", *keys, "f"), "often")
+    key, where = ["lang", *keys], ["chunks", "ats"] if placed else []
+    if placed:
+        often = met.withColumn("f", F.sum("n").over(Window.partitionBy(*key))).filter(F.col("f") >= least)
+        often = often.groupBy(*key, "f").agg(F.collect_list("chunk").alias("chunks"), F.collect_list("at").alias("ats"))
+    else:
+        often = met.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    often = staged(often, "often")
     order = [F.col("lang"), F.desc("f"), *map(F.col, keys)]
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = often.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
-    cut = staged(cut.withColumn("_place", F.dense_rank().over(Window.partitionBy("_range").orderBy(*order))), "ranks")
+    cut = staged(cut.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order))), "ranks")
     discard(often)
     ends = {r["_range"]: r["n"] for r in cut.groupBy("_range").agg(F.max("_place").alias("n")).collect()}
     before = list(itertools.accumulate([ends.get(i, 0) for i in range(max([parts, *ends]))], initial=0))
     place = F.get(F.array(*[F.lit(n - 1).cast("long") for n in before]), F.col("_range")) + F.col("_place")
-    return cut.select("lang", "chunk", "at", *keys, "f", place.cast("int").alias("id"))
+    return cut.select(*key, "f", *where, place.cast("int").alias("id"))
 
 
 def _exploded(coded: DataFrame, cols: dict[str, str]) -> DataFrame:
@@ -156,8 +162,8 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
     met, keys, levels = _exploded(coded, {"words": "word"}), ["word"], []
     words = staged(met.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     for size in range(1, longest + 1):
-        ids = _ranked(met, keys, least)
-        ranks = ids.select("lang", *keys, "f", "id").distinct()
+        ids = _ranked(met, keys, least, size < longest)
+        ranks = ids.select("lang", *keys, "f", "id")
         if size == 1:
             rows = ranks.select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("tail"), F.array("f").alias("lefts"), F.array("f").alias("rights"))
         else:
@@ -167,9 +173,11 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
             rows = rows.select("lang", "id", "f", "u", "v", F.concat_ws(" ", "_head", "tail").alias("phrase"), "tail", F.concat("_lefts", F.array("f")).alias("lefts"), F.concat("_rights", F.array("f")).alias("rights"))
         levels.append(staged(rows, "phrases"))
         if size < longest:
-            at = ids.select(F.col("lang").alias("_lang"), F.col("chunk").alias("_chunk"), "at", "id")
+            at = ids.select(F.col("lang").alias("_lang"), "id", F.explode(F.arrays_zip("chunks", "ats")).alias("_m"))
+            at = at.select("_lang", F.col("_m.chunks").alias("_chunk"), F.col("_m.ats").alias("at"), "id")
             both = coded.select("lang", "chunk", "codes").groupBy("lang", "chunk").cogroup(at.groupBy("_lang", "_chunk"))
-            pairs = staged(both.applyInArrow(_pairs, CODED.format(keys="us array<int>, vs array<int>")), "pairs")
+            pairs = both.applyInArrow(_pairs, CODED.format(keys="us array<int>, vs array<int>"))
+            pairs = staged(pairs if size + 1 < longest else pairs.drop("codes"), "pairs")  # the longest are counted only
             discard(coded)
             coded, met, keys = pairs, _exploded(pairs, {"us": "u", "vs": "v"}), ["u", "v"]
         discard(ids)

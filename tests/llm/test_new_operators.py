@@ -67,6 +67,24 @@ def test_op11_odd_texts_in_chunks_of_any_size(spark, monkeypatch, chunk):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+def test_op11_ranks_a_row_a_key_and_keeps_no_places_of_the_longest(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 500)
+    whole, keys, codes = collocations.staged, [], []
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name in ("often", "ranks"):
+            keys.append((out.count(), out.select(*[c for c in ("lang", "word", "u", "v") if c in out.columns]).distinct().count()))
+        if name == "pairs":
+            codes.append("codes" in out.columns)
+        return out
+
+    monkeypatch.setattr(collocations, "staged", counted)
+    docs = spark.createDataFrame([("a b c d e f", "en")] * 400, "text string, lang string").repartition(3)
+    assert collocations.collocations(docs).count() == 3
+    assert [n for n, _ in keys] == [n for _, n in keys] == [6, 6, 5, 5, 4, 4, 3, 3] and codes == [True, True, False]
+
+
 def test_op11_tiles_count_dense_and_sparse_alike():
     rng = np.random.default_rng(1)
     size = 1 << collocations.TILE
