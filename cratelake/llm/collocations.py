@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,17 +26,45 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-CODED = "lang string, chunk long, {keys}, counts array<long>, codes array<int>"
-
-
-def _coded(lang: str, chunk: int, keys: list[pa.Array], counts: np.ndarray, codes: np.ndarray, names: list[str]) -> pa.Table:
-    """One row: what was met in a chunk, how often, and where: a code for each place, -1 where there is none."""
+CODED = "lang string, chunk long, {keys}, counts array<array<int>>, starts array<int>, codes array<int>"
+OFTEN = "lang string, chunk long, ats array<int>, ids array<int>, {keys}, fs array<long>"
+
+
+def _mixed(*parts: np.ndarray) -> np.ndarray:
+    """A hash of the numbers."""
+    h = np.zeros(len(parts[0]), np.uint64)
+    for x in parts:
+        h = (h ^ x.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _hashed(words: pa.LargeStringArray) -> np.ndarray:
+    """A hash of each word, none of which is empty."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    return _mixed(np.add.reduceat(_mixed(place << 8 | data), starts))
+
+
+def _coded(lang: str, chunk: int, keys: dict[str, pa.Array], counts: np.ndarray, codes: np.ndarray, hashes: np.ndarray, buckets: int) -> pa.Table:
+    """One row: what was met in a chunk and how often, dealt into buckets by its hash, and where: a code for each place, which
+    is the number of what stands there, across buckets, and -1 where there is none."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    starts = np.searchsorted(bucket[order], np.arange(buckets + 1)).astype(np.int32)
+    number = np.full(len(order) + 1, -1, np.int32)  # the last stands for -1
+    number[order] = np.arange(len(order))
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    cols = [pa.array([lang]), pa.array([chunk], pa.int64()), *map(one, keys), one(pa.array(counts, pa.int64())), one(pa.array(codes, pa.int32()))]
-    return pa.table(cols, ["lang", "chunk", *names, "counts", "codes"])
+    dealt = lambda x: one(pa.ListArray.from_arrays(pa.array(starts), x.take(pa.array(order))))
+    cols = {"lang": pa.array([lang]), "chunk": pa.array([chunk], pa.int64())} | {k: dealt(x) for k, x in keys.items()}
+    return pa.table(cols | {"counts": dealt(pa.array(counts, pa.int32())), "starts": one(pa.array(starts[:-1])), "codes": one(pa.array(number[codes]))})
 
 
-def _words(lang: str, chunk: int, texts: list[str]) -> pa.Table:
+def _words(lang: str, chunk: int, texts: list[str], buckets: int) -> pa.Table:
     """Words of the texts of a chunk, and the places of each; a place between pieces or texts has none."""
     data = _LOWER[np.frombuffer("\n".join(texts).encode(), np.uint8)]
     kind = _KIND[data]
@@ -46,31 +75,82 @@ def _words(lang: str, chunk: int, texts: list[str]) -> pa.Table:
     words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[kind == 0]))
     met = words.dictionary_encode()
     own = met.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-    piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
-    gaps = np.flatnonzero(np.diff(piece)) + 1
-    return _coded(lang, chunk, [met.dictionary.cast(pa.string())], np.bincount(own, minlength=len(met.dictionary)), np.insert(own, gaps, -1), ["words"])
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of the texts (lang, text) of a partition, numbered so that no two of the table are alike."""
-    chunk, held, sizes = TaskContext.get().partitionId() << 32, {}, {}
-
-    def emit(langs: list[str]) -> Iterator[pa.RecordBatch]:
-        nonlocal chunk
-        for lang in langs:
-            yield from _words(lang, chunk, held.pop(lang)).to_batches()
-            sizes.pop(lang)
-            chunk += 1
-
-    for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            held.setdefault(lang, []).append(text)
-            sizes[lang] = sizes.get(lang, 0) + len(text)
-            if sizes[lang] >= CHUNK:
-                yield from emit([lang])
-        if sum(sizes.values()) >= 2 * CHUNK:
-            yield from emit(list(held))
-    yield from emit(list(held))
+    gaps = np.flatnonzero(np.diff(np.searchsorted(np.flatnonzero(kind == 2), starts))) + 1
+    counts = np.bincount(own, minlength=len(met.dictionary))
+    return _coded(lang, chunk, {"words": met.dictionary.cast(pa.string())}, counts, np.insert(own, gaps, -1), _hashed(met.dictionary), buckets)
+
+
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in short ones, so that not all its texts are copied out at once."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
+def _reader(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of the texts (lang, text) of a partition, numbered so that no two of the table are alike."""
+        chunk, held, sizes = TaskContext.get().partitionId() << 32, {}, {}
+
+        def emit(langs: list[str]) -> Iterator[pa.RecordBatch]:
+            nonlocal chunk
+            for lang in langs:
+                yield from _words(lang, chunk, held.pop(lang), buckets).to_batches()
+                sizes.pop(lang)
+                chunk += 1
+
+        for batch in itertools.chain.from_iterable(map(_slices, batches)):
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + len(text)
+                if sizes[lang] >= CHUNK:
+                    yield from emit([lang])
+            if sum(sizes.values()) >= 2 * CHUNK:
+                yield from emit(list(held))
+        yield from emit(list(held))
+
+    return read
+
+
+def _counter(keys: list[str], least: int, placed: bool, buckets: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    def counted(key: tuple[pa.Scalar, ...], met: pa.Table) -> pa.Table:
+        """What is frequent of a bucket of a language: a row without a chunk that has the keys, their frequencies and ids, and, if
+        ``placed``, a row a chunk with their numbers there and ids.
+
+        A bucket numbers its keys by frequency, and takes every ``buckets``-th id: as keys are dealt by a hash, ids rank the
+        keys of a language by frequency, nearly, and are its own without a sort of the table.
+        """
+        lang, bucket = key[0].as_py(), key[1].as_py()
+        flat = lambda c: pc.list_flatten(met.column(c)).combine_chunks()
+        if keys == ["words"]:
+            words = flat("words").dictionary_encode()
+            words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+            own, distinct = words.indices.to_numpy(), [words.dictionary]
+        else:
+            pairs, own = np.unique(flat("us").to_numpy().astype(np.int64) << 32 | flat("vs").to_numpy(), return_inverse=True)
+            distinct = [pa.array(pairs >> 32, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32())]
+        f = np.zeros(len(distinct[0]), np.int64)
+        np.add.at(f, own, flat("counts").to_numpy())
+        often = np.flatnonzero(f >= least)
+        often = often[np.argsort(-f[often], kind="stable")]
+        ids = np.full(len(f), -1, np.int64)
+        ids[often] = np.arange(len(often)) * buckets + bucket
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        cols = {"lang": pa.array([lang]), "chunk": pa.array([None], pa.int64()), "ats": pa.array([None], pa.list_(pa.int32())), "ids": one(pa.array(ids[often], pa.int32()))}
+        cols |= {k: one(x.take(pa.array(often))) for k, x in zip(keys, distinct, strict=True)}
+        out = pa.table(cols | {"fs": one(pa.array(f[often]))})
+        if not placed:
+            return out
+        here = ids[own]
+        hit = np.flatnonzero(here >= 0)
+        sizes = pc.list_value_length(met.column("counts")).to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        number = np.arange(len(own)) + (met.column("starts").to_numpy() - np.cumsum(sizes) + sizes)[row]
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=len(sizes)))]), pa.int32())
+        cols = {"lang": met.column("lang"), "chunk": met.column("chunk")}
+        cols |= {"ats": pa.ListArray.from_arrays(ends, pa.array(number[hit], pa.int32())), "ids": pa.ListArray.from_arrays(ends, pa.array(here[hit], pa.int32()))}
+        cols |= {k: pa.nulls(len(sizes), out.column(k).type) for k in [*keys, "fs"]}
+        return pa.concat_tables([out, pa.table(cols).cast(out.schema)])
+
+    return counted
 
 
 def tiles(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,50 +184,28 @@ def tiles(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate([*us, coo >> 32]), np.concatenate([*vs, coo & 0xFFFFFFFF]), np.concatenate([*counts, n]), code
 
 
-def _pairs(key: tuple[pa.Scalar, ...], coded: pa.Table, ids: pa.Table) -> pa.Table:
-    """The chunk with pairs of neighbours in place of what was met; ``ids`` (at, id) are those of frequent ones."""
-    codes = coded.column("codes").combine_chunks()
-    codes = (pa.concat_arrays(codes.chunks) if isinstance(codes, pa.ChunkedArray) else codes).flatten().to_numpy()
-    name = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)  # the last stands for -1
-    name[ids.column("at").to_numpy()] = ids.column("id").to_numpy()
-    here = name[codes]
-    both = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-    u, v, counts, code = tiles(here[both], here[both + 1])
-    out = np.full(max(len(here) - 1, 0), -1, np.int32)
-    out[both] = code
-    return _coded(key[0].as_py(), key[1].as_py(), [pa.array(u, pa.int32()), pa.array(v, pa.int32())], counts, out, ["us", "vs"])
+def _pairer(buckets: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table, pa.Table], pa.Table]:
+    def pairs(key: tuple[pa.Scalar, ...], coded: pa.Table, often: pa.Table) -> pa.Table:
+        """The chunk with pairs of neighbours in place of what was met; ``often`` (ats, ids) are those of frequent ones."""
+        codes = pc.list_flatten(coded.column("codes")).to_numpy()
+        name = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)  # the last stands for -1
+        name[pc.list_flatten(often.column("ats")).to_numpy()] = pc.list_flatten(often.column("ids")).to_numpy()
+        here = name[codes]
+        both = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
+        u, v, counts, code = tiles(here[both], here[both + 1])
+        out = np.full(max(len(here) - 1, 0), -1, np.int32)
+        out[both] = code
+        return _coded(key[0].as_py(), key[1].as_py(), {"us": pa.array(u, pa.int32()), "vs": pa.array(v, pa.int32())}, counts, out, _mixed(u, v), buckets)
 
+    return pairs
 
-def _ranked(met: DataFrame, keys: list[str], least: int, placed: bool) -> DataFrame:
-    """(lang, keys, f, id, chunks, ats) of all that was met ``least`` times or more in its language, id its rank, the most
-    frequent of a language first; chunks and ats, if ``placed``, say where it was met.
 
-    A key has a row a chunk at most, so that the window over a key is small, and what is frequent becomes a row a key
-    before it is ranked. Ranks are numbers inside of ranges of the order, which are moved by what earlier ranges hold: a
-    number a range comes to the driver.
-    """
-    key, where = ["lang", *keys], ["chunks", "ats"] if placed else []
-    if placed:
-        often = met.withColumn("f", F.sum("n").over(Window.partitionBy(*key))).filter(F.col("f") >= least)
-        often = often.groupBy(*key, "f").agg(F.collect_list("chunk").alias("chunks"), F.collect_list("at").alias("ats"))
-    else:
-        often = met.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    often = staged(often, "often")
-    order = [F.col("lang"), F.desc("f"), *map(F.col, keys)]
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cut = often.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
-    cut = staged(cut.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order))), "ranks")
-    discard(often)
-    ends = {r["_range"]: r["n"] for r in cut.groupBy("_range").agg(F.max("_place").alias("n")).collect()}
-    before = list(itertools.accumulate([ends.get(i, 0) for i in range(max([parts, *ends]))], initial=0))
-    place = F.get(F.array(*[F.lit(n - 1).cast("long") for n in before]), F.col("_range")) + F.col("_place")
-    return cut.select(*key, "f", *where, place.cast("int").alias("id"))
-
-
-def _exploded(coded: DataFrame, cols: dict[str, str]) -> DataFrame:
-    """(lang, chunk, at, .., n) of what each chunk has met."""
-    zipped = F.posexplode(F.arrays_zip(*cols, "counts")).alias("at", "_m")
-    return coded.select("lang", "chunk", zipped).select("lang", "chunk", "at", *[F.col(f"_m.{a}").alias(b) for a, b in cols.items()], F.col("_m.counts").alias("n"))
+def _often(coded: DataFrame, keys: dict[str, str], least: int, placed: bool, buckets: int) -> DataFrame:
+    """What ``_counter`` gives for all buckets of what the chunks have met; ``keys`` are columns and their types."""
+    dealt = F.posexplode(F.arrays_zip(*keys, "counts", "starts")).alias("bucket", "_m")
+    met = coded.select("lang", "chunk", dealt).select("lang", "chunk", "bucket", "_m.*").filter(F.size("counts") > 0)
+    schema = OFTEN.format(keys=", ".join(f"{k} array<{kind}>" for k, kind in keys.items()))
+    return staged(met.groupBy("lang", "bucket").applyInArrow(_counter(list(keys), least, placed, buckets), schema), "counted")
 
 
 def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -156,31 +214,38 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
 
     lefts and rights are the frequencies of its first and its last 1, 2, .. words; inside is the highest frequency of a
     frequent phrase that is one word longer and holds it, if any.
+
+    What a chunk has met is dealt by a hash into as many buckets as a shuffle has partitions, and shuffled as a row of
+    arrays a chunk and bucket. A task holds one bucket of one language.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    coded = staged(rows.mapInArrow(_read, CODED.format(keys="words array<string>")), "words")
-    met, keys, levels = _exploded(coded, {"words": "word"}), ["word"], []
-    words = staged(met.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nested = lambda keys: CODED.format(keys=", ".join(f"{k} array<array<{kind}>>" for k, kind in keys.items()))
+    keys, pair, levels = {"words": "string"}, {"us": "int", "vs": "int"}, []
+    coded = staged(rows.mapInArrow(_reader(buckets), nested(keys)), "words")
+    words = staged(coded.select("lang", F.explode(F.flatten("counts")).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     for size in range(1, longest + 1):
-        ids = _ranked(met, keys, least, size < longest)
-        ranks = ids.select("lang", *keys, "f", "id")
+        counted = _often(coded, keys, least, size < longest, buckets)
+        names = {k: k[:-1] for k in [*keys, "fs", "ids"]}
+        often = counted.filter(F.col("chunk").isNull()).select("lang", F.explode(F.arrays_zip(*names)).alias("_m"))
+        often = staged(often.select("lang", *[F.col(f"_m.{k}").alias(x) for k, x in names.items()]), "often")
         if size == 1:
-            rows = ranks.select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("tail"), F.array("f").alias("lefts"), F.array("f").alias("rights"))
+            rows = often.select("lang", "id", "f", "word", F.col("word").alias("phrase"), F.col("word").alias("tail"), F.array("f").alias("lefts"), F.array("f").alias("rights"))
         else:
             a = levels[-1].select("lang", F.col("id").alias("u"), F.col("phrase").alias("_head"), F.col("lefts").alias("_lefts"))
             b = levels[-1].select("lang", F.col("id").alias("v"), "tail", F.col("rights").alias("_rights"))
-            rows = ranks.join(a, ["lang", "u"]).join(b, ["lang", "v"])
+            rows = often.join(a, ["lang", "u"]).join(b, ["lang", "v"])
             rows = rows.select("lang", "id", "f", "u", "v", F.concat_ws(" ", "_head", "tail").alias("phrase"), "tail", F.concat("_lefts", F.array("f")).alias("lefts"), F.concat("_rights", F.array("f")).alias("rights"))
-        levels.append(staged(rows, "phrases"))
+        levels.append(staged(rows, "ranks"))
         if size < longest:
-            at = ids.select(F.col("lang").alias("_lang"), "id", F.explode(F.arrays_zip("chunks", "ats")).alias("_m"))
-            at = at.select("_lang", F.col("_m.chunks").alias("_chunk"), F.col("_m.ats").alias("at"), "id")
+            at = counted.filter(F.col("chunk").isNotNull()).select(F.col("lang").alias("_lang"), F.col("chunk").alias("_chunk"), "ats", "ids")
             both = coded.select("lang", "chunk", "codes").groupBy("lang", "chunk").cogroup(at.groupBy("_lang", "_chunk"))
-            pairs = both.applyInArrow(_pairs, CODED.format(keys="us array<int>, vs array<int>"))
+            pairs = both.applyInArrow(_pairer(buckets), nested(pair))
             pairs = staged(pairs if size + 1 < longest else pairs.drop("codes"), "pairs")  # the longest are counted only
             discard(coded)
-            coded, met, keys = pairs, _exploded(pairs, {"us": "u", "vs": "v"}), ["u", "v"]
-        discard(ids)
+            coded, keys = pairs, pair
+        discard(counted)
+        discard(often)
     discard(coded)
     out = None
     for size in range(2, longest + 1):
@@ -198,9 +263,9 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, most: int =
     """(lang, rank, phrase, a, l, r, n, score): the best ``most`` phrases of each language in documents (text, lang).
 
     A chunk of texts is read once into word codes; then words, and in turn pairs of words, of pairs and of triples that
-    are frequent in the whole table are ranked by frequency and get the rank as id, and the neighbouring
+    are frequent in the whole table get ids that rank them by frequency, nearly, and the neighbouring
     ids of each chunk are counted in tiles (``tiles``): two triples that overlap in two words are
-    four words. Only counts of a chunk are shuffled, and its codes; nothing is broadcast.
+    four words. Only counts of a chunk are shuffled, and its codes and ids; nothing is broadcast.
 
     A phrase that stands in a longer one with ``share`` per cent of its frequency or more goes; as a phrase is
     no more frequent than any part of it, the phrases that are one word longer decide this.

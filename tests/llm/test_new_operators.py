@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +86,56 @@ def test_op11_ranks_a_row_a_key_and_keeps_no_places_of_the_longest(spark, monkey
     assert [n for n, _ in keys] == [n for _, n in keys] == [6, 6, 5, 5, 4, 4, 3, 3] and codes == [True, True, False]
 
 
+def shuffled(spark):
+    """Rows and bytes that the session's stages have written for shuffles."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return {(s.stageId(), s.attemptId()): (s.shuffleWriteRecords(), s.shuffleWriteBytes()) for s in stages}
+
+
+def test_op11_shuffles_a_row_a_chunk_and_bucket_and_not_one_a_key(spark):
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(600)])
+    texts = [" ".join(words[rng.integers(0, 600, 200)]) for _ in range(1000)]
+    docs = spark.createDataFrame([(x, "en") for x in texts], "text string, lang string").repartition(3)
+    old = shuffled(spark)
+    found = collocations.collocations(docs, least=3)
+    assert found.count() == 2000
+    new = [x for k, x in shuffled(spark).items() if k not in old]
+    places = sum(len(x.split()) - 1 for x in texts)  # of pairs; some 80,000 a third of the texts, nearly all distinct there
+    assert sum(rows for rows, _ in new) < places, new
+
+
+def test_op11_a_bucket_counts_its_keys():
+    rng = np.random.default_rng(4)
+    one = lambda x, kind: pa.array(x, pa.list_(kind))
+    rows = [sorted({(int(u), int(v)) for u, v in rng.integers(0, 12, (60, 2))}) for _ in range(5)] + [[(2**31 - 2, 2**31 - 1)]] * 3
+    n = [rng.integers(1, 9, len(x)).tolist() for x in rows]
+    starts = [7 * i for i in range(len(rows))]
+    met = pa.table({
+        "lang": ["en"] * len(rows), "chunk": pa.array(range(len(rows)), pa.int64()), "us": one([[u for u, _ in x] for x in rows], pa.int32()),
+        "vs": one([[v for _, v in x] for x in rows], pa.int32()), "counts": one(n, pa.int32()), "starts": pa.array(starts, pa.int32()),
+    })
+    f = collections.Counter()
+    for x, m in zip(rows, n, strict=True):
+        f.update(dict(zip(x, m, strict=True)))
+    for least, placed in ((1, True), (12, True), (12, False), (10**6, True)):
+        keys, *chunks = collocations._counter(["us", "vs"], least, placed, 16)((pa.scalar("en"), pa.scalar(5)), met).to_pylist()
+        ids = dict(zip(zip(keys["us"], keys["vs"], strict=True), keys["ids"], strict=True))
+        assert dict(zip(ids, keys["fs"], strict=True)) == {k: a for k, a in f.items() if a >= least} and keys["fs"] == sorted(keys["fs"], reverse=True)
+        assert keys["chunk"] is None and sorted(ids.values()) == [16 * i + 5 for i in range(len(ids))]
+        assert [(x["chunk"], list(zip(x["ats"], x["ids"], strict=True))) for x in chunks] == ([
+            (i, [(starts[i] + j, ids[k]) for j, k in enumerate(x) if k in ids]) for i, x in enumerate(rows)
+        ] if placed else [])
+
+
+def test_op11_refuses_ids_that_are_too_large():
+    met = pa.table({"lang": ["en"], "chunk": pa.array([0], pa.int64()), "words": [["a", "b"]], "counts": pa.array([[9, 9]], pa.list_(pa.int32())), "starts": pa.array([0], pa.int32())})
+    with pytest.raises(pa.ArrowInvalid):
+        collocations._counter(["words"], 1, True, 2**31)((pa.scalar("en"), pa.scalar(0)), met)
+
+
 def test_op11_tiles_count_dense_and_sparse_alike():
     rng = np.random.default_rng(1)
     size = 1 << collocations.TILE
