@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Callable, Iterator
 
@@ -12,13 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cratelake.llm.common import discard, staged
+from cratelake import staging
+from cratelake.llm.common import discard
 
 #: Characters of text of a language that are counted together, in one chunk; a longer text is in one chunk, whole.
 CHUNK = 4_000_000
 #: Ids on each side of a tile, as a power of two; a tile is counted densely where at least one in so many cells is met.
 TILE, DENSE = 9, 16
 
+# What chunks have met is staged for two sizes of phrases at a time, and is most of the disk.
+staged = functools.partial(staging.staged, codec="zstd")
+
 # Kinds of bytes: of words, between words, between pieces; and A-Z as a-z.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -103,7 +108,7 @@ def _reader(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 sizes[lang] = sizes.get(lang, 0) + len(text)
                 if sizes[lang] >= CHUNK:
                     yield from emit([lang])
-            if sum(sizes.values()) >= 2 * CHUNK:
+            if sum(sizes.values()) >= 4 * CHUNK:
                 yield from emit(list(held))
         yield from emit(list(held))
 

@@ -21,9 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage and plan end here, on storage that
-    outlives executors, and later reads prune columns."""
+    outlives executors, and later reads prune columns. ``codec`` compresses it, else the session's."""
     path = f"{shared_dir(df.sparkSession)}/cratelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
