@@ -21,8 +21,11 @@ CHUNK = 4_000_000
 #: Ids on each side of a tile, as a power of two; a tile is counted densely where at least one in so many cells is met.
 TILE, DENSE = 9, 16
 
-# What chunks have met is staged for two sizes of phrases at a time, and is most of the disk.
-staged = functools.partial(staging.staged, codec="zstd")
+#: Bytes of text to a bucket: what a task counts at a time, whatever the table's size and the number of partitions.
+BUCKET_BYTES = 20_000_000
+
+# What chunks have met is staged for two sizes of phrases at a time, and is most of the disk. A chunk is a row of megabytes.
+staged = functools.partial(staging.staged, codec="zstd", group_bytes=8_000_000)
 
 # Kinds of bytes: of words, between words, between pieces; and A-Z as a-z.
 _KIND = np.zeros(256, np.uint8)
@@ -220,11 +223,13 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
     lefts and rights are the frequencies of its first and its last 1, 2, .. words; inside is the highest frequency of a
     frequent phrase that is one word longer and holds it, if any.
 
-    What a chunk has met is dealt by a hash into as many buckets as a shuffle has partitions, and shuffled as a row of
-    arrays a chunk and bucket. A task holds one bucket of one language.
+    What a chunk has met is dealt by a hash into as many buckets as a shuffle has partitions, more where the texts have
+    over ``BUCKET_BYTES`` for each, and shuffled as a row of arrays a chunk and bucket. A task holds one bucket of one
+    language at a time.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     nested = lambda keys: CODED.format(keys=", ".join(f"{k} array<array<{kind}>>" for k, kind in keys.items()))
     keys, pair, levels = {"words": "string"}, {"us": "int", "vs": "int"}, []
     coded = staged(rows.mapInArrow(_reader(buckets), nested(keys)), "words")

@@ -21,9 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None, group_bytes: int | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage and plan end here, on storage that
-    outlives executors, and later reads prune columns. ``codec`` compresses it, else the session's."""
+    outlives executors, and later reads prune columns. ``codec`` compresses it, else the session's.
+
+    ``group_bytes`` ends a row group at so many bytes, looked at after each row: else rows are not looked at
+    before the hundredth, and a task that writes or reads rows of megabytes holds a hundred of them."""
     path = f"{shared_dir(df.sparkSession)}/cratelake-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    groups = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+    df.write.options(**groups).parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)

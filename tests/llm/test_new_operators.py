@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,43 @@ def test_op11_shuffles_a_row_a_chunk_and_bucket_and_not_one_a_key(spark):
     assert sum(rows for rows, _ in new) < places, new
 
 
+def kept_tables(monkeypatch, *names):
+    """What the operator stages under the names, kept on."""
+    whole, tables = collocations.staged, {x: [] for x in names}
+
+    def kept(df, name):
+        out = whole(df, name)
+        if name in tables:
+            tables[name].append(out)
+        return out
+
+    monkeypatch.setattr(collocations, "staged", kept)
+    monkeypatch.setattr(collocations, "discard", lambda df: None)
+    return tables
+
+
+def test_op11_has_more_buckets_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "BUCKET_BYTES", 2000, raising=False)
+    tables, rows = kept_tables(monkeypatch, "words", "pairs"), [(t, x) for t, x in odd_texts() if x != "long"]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert phrases_of(collocations.collocations(docs, most=50)) == brute_phrases(rows, most=50)
+    size = sum(len((x or "").encode()) for x, _ in rows)
+    assert size > 4 * 2000  # and the session has 4 partitions
+    for df in [*tables["words"], *tables["pairs"]]:
+        assert {x for (x,) in df.select(F.size("counts")).distinct().collect()} == {-(-size // 2000)}
+
+
+def test_op11_holds_few_chunks_that_are_written_or_read(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 500_000)
+    tables = kept_tables(monkeypatch, "words")
+    rng = np.random.default_rng(6)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 75_000))) for _ in range(40)]
+    assert collocations.collocations(spark.createDataFrame([(x, "en") for x in texts], "text string, lang string").coalesce(1)).count() == 0
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for df in tables["words"] for f in df.inputFiles()]
+    sizes = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(m.num_rows for m in files) == 40 and sum(sizes) > 30_000_000 and max(sizes) < 16_000_000, sizes
+
+
 def test_op11_a_bucket_counts_its_keys():
     rng = np.random.default_rng(4)
     one = lambda x, kind: pa.array(x, pa.list_(kind))
