@@ -228,8 +228,11 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
     language at a time.
     """
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text")).filter("text <> ''")
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-total // BUCKET_BYTES))
+    # By a hash of few chunks some tasks get many of them, of megabytes each: a task to a chunk, where there are more chunks.
+    spread = lambda df, *keys: df.repartition(total // CHUNK, *keys) if total // CHUNK > parts else df
     nested = lambda keys: CODED.format(keys=", ".join(f"{k} array<array<{kind}>>" for k, kind in keys.items()))
     keys, pair, levels = {"words": "string"}, {"us": "int", "vs": "int"}, []
     coded = staged(rows.mapInArrow(_reader(buckets), nested(keys)), "words")
@@ -249,7 +252,8 @@ def phrases(docs: DataFrame, least: int = 30, longest: int = 4) -> tuple[DataFra
         levels.append(staged(rows, "ranks"))
         if size < longest:
             at = counted.filter(F.col("chunk").isNotNull()).select(F.col("lang").alias("_lang"), F.col("chunk").alias("_chunk"), "ats", "ids")
-            both = coded.select("lang", "chunk", "codes").groupBy("lang", "chunk").cogroup(at.groupBy("_lang", "_chunk"))
+            places = spread(coded.select("lang", "chunk", "codes"), "lang", "chunk").groupBy("lang", "chunk")
+            both = places.cogroup(spread(at, "_lang", "_chunk").groupBy("_lang", "_chunk"))
             pairs = both.applyInArrow(_pairer(buckets), nested(pair))
             pairs = staged(pairs if size + 1 < longest else pairs.drop("codes"), "pairs")  # the longest are counted only
             discard(coded)

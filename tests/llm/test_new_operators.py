@@ -145,6 +145,15 @@ def test_op11_holds_few_chunks_that_are_written_or_read(spark, monkeypatch):
     assert sum(m.num_rows for m in files) == 40 and sum(sizes) > 30_000_000 and max(sizes) < 16_000_000, sizes
 
 
+def test_op11_deals_chunks_to_more_tasks_than_partitions(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "CHUNK", 500)
+    tables = kept_tables(monkeypatch, "pairs")
+    docs = spark.createDataFrame([("a b c d e f " * 20, "en")] * 100, "text string, lang string").repartition(3)
+    assert collocations.collocations(docs).count() > 0
+    for df in tables["pairs"]:
+        assert df.count() > 20 and len(df.inputFiles()) > 8  # the session has 4 partitions
+
+
 def test_op11_a_bucket_counts_its_keys():
     rng = np.random.default_rng(4)
     one = lambda x, kind: pa.array(x, pa.list_(kind))
